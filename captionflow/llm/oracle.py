@@ -7,4 +7,14 @@ link AS (SELECT DISTINCT a, e AS b FROM pairs JOIN star USING (l) WHERE a <> e),
 both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(v, r) AS (SELECT a, a FROM both_ways UNION SELECT b, r FROM reach JOIN both_ways ON a = v)
 SELECT v AS listing_id, min(r) AS group_id FROM reach GROUP BY v""",
+    "p10_found": """WITH w AS (SELECT doc_id, substring(text, i::BIGINT, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+several AS (SELECT s, list(DISTINCT doc_id) AS ids FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+a AS (SELECT DISTINCT ids FROM several), x AS (SELECT ids, unnest(ids) AS doc_a FROM a), y AS (SELECT doc_a, unnest(ids) AS doc_b FROM x)
+SELECT DISTINCT doc_a, doc_b FROM y WHERE doc_a < doc_b""",
+    "p10_shared": """WITH w AS (SELECT doc_id, i, substring(text, i::BIGINT, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+several AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE s IN (SELECT s FROM several)),
+tot AS (SELECT doc_id, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN p IS NULL THEN 200 ELSE least(200, i - p) END) AS c FROM hit GROUP BY 1)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(n, 0) AS n_passages, coalesce(c, 0) AS shared_chars, coalesce(c / length(d.text), 0.0) AS shared_share
+FROM documents d LEFT JOIN tot USING (doc_id) WHERE d.doc_id IS NOT NULL""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import splits
+from captionflow.llm import spans, splits
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -19,4 +19,12 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES)
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(spans.occurrences(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p10_found": p10_found, "p10_shared": p10_shared}
