@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import spans, splits
+from captionflow.llm import overlap, spans, splits
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -19,6 +19,18 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES)
 
 
+def _caption_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "captions"), "item_id", "caption", "split", "photo_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _caption_pairs(spark, d).select("item_a", "item_b")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "captions"), "item_id", "split", "source", _caption_pairs(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(spans.occurrences(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -27,4 +39,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p10_found": p10_found, "p10_shared": p10_shared}
