@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import overlap, spans, splits
+from captionflow.llm import mixing, overlap, packing, spans, splits, tokens
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -31,6 +31,27 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "captions"), "item_id", "split", "source", _caption_pairs(spark, d))
 
 
+def document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", ("source",))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, d, "pack_sizes").limit(1000).collect()}
+    return packing.packed(document_tokens(spark, d), capacities)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_packed(spark, d))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(document_tokens(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(spans.occurrences(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -39,4 +60,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
