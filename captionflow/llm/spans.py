@@ -100,8 +100,8 @@ def blocks(texts: list[str], span: int) -> Iterator[tuple[np.ndarray, np.ndarray
         if text is None or len(text) < span:
             continue
         whole = codes(text)
-        for offset in range(0, max(1, len(whole) - span + 1), BLOCK - 2 * span):
-            piece = whole[offset : offset + BLOCK - span]
+        for offset in range(0, max(1, len(whole) - 2 * span), BLOCK - 2 * span):
+            piece = whole[offset : offset + BLOCK]
             if size and size + len(piece) > BLOCK:
                 yield flush()
                 held, parts, size = [], [], 0
@@ -113,19 +113,24 @@ def blocks(texts: list[str], span: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _windows(batch: pa.RecordBatch, span: int, anchor: int) -> Iterator[tuple[Prints, np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """(hashes of a block, text number and offset in its text of each kept window, the texts, ids)."""
+    """(hashes of a block, text number and offset in its text of each kept window, the texts, ids); each window once."""
     ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
     for chars, ends, parts in blocks(texts, span):
         prints = Prints(chars, ends, span, anchor)
         number, place, offset = (np.array(x) for x in zip(*parts))
         part = np.searchsorted(place, prints.kept, "right") - 1
-        yield prints, number[part], prints.kept - place[part] + offset[part], texts, ids
+        within = prints.kept - place[part]
+        # neighbouring blocks of one text overlap by two spans; the middle of the overlap divides them
+        last = np.append(number[1:] != number[:-1], True)
+        own = ((within >= span) | (offset[part] == 0)) & ((within < BLOCK - span) | last[part])
+        prints.hashes = prints.hashes[own]
+        yield prints, number[part][own], (within + offset[part])[own], texts, ids
 
 
 def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of a window in the two rows of the sketch."""
     mask = np.uint64((1 << bits) - 1)
-    return hashes & mask, (hashes >> np.uint64(64 - bits)) & mask
+    return hashes & mask, _mix(hashes) & mask
 
 
 def sketch_bits(n_windows: int, least: int = 16, most: int = 25) -> int:
@@ -215,8 +220,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor
                 around = [texts[n][o - a : o + span] for n, o, a in zip(number[keep].tolist(), offset[keep].tolist(), lead.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(prints.hashes[keep].astype(np.int64)), pa.array(ids[number[keep]].astype(np.int64)), pa.array(offset[keep].astype(np.int32)), pa.array(lead), pa.array(around, pa.string())], names=["h", "doc_id", "pos", "lead", "around"])
 
-    found = source.mapInArrow(run, OCCURRENCE)
-    return written(found.dropDuplicates(["doc_id", "pos"]), "occurrences")
+    return written(source.mapInArrow(run, OCCURRENCE).withColumn("c", F.xxhash64("around", "lead")), "occurrences")
 
 
 def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,21 +242,24 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(h, c, lead, around, n_docs, low, mark): occurrences of a window with the same text around them.
+    """(h, c, n_docs, low, mark, alone): the occurrences of a window with the same text around them, grouped by c.
 
     Only windows in two or more documents are kept, grouped exactly. ``mark`` is equal for
-    classes with the same documents.
+    classes with the same documents; ``alone`` says that the window has no other class.
     """
-    keyed = found.withColumn("c", F.xxhash64("around", "lead"))
-    one = keyed.groupBy("h", "c", "doc_id").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))
-    grouped = one.groupBy("h", "c").agg(F.first("lead").alias("lead"), F.first("around").alias("around"), F.count("*").alias("n_docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"))
-    several = grouped.groupBy("h").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi")).where("_lo < _hi").select("h")
-    return written(grouped.join(several, "h", "left_semi"), "classes")
+    one = found.select("h", "c", "doc_id").distinct()
+    grouped = one.groupBy("h", "c").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"))
+    several = grouped.groupBy("h").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi").select("h", (F.col("_n") == 1).alias("alone"))
+    return written(grouped.drop("high").join(several, "h"), "classes")
 
 
-def class_pairs(groups: DataFrame, span: int) -> DataFrame:
+def class_pairs(found: DataFrame, groups: DataFrame, span: int) -> DataFrame:
     """(h, c_a, c_b, n_a, n_b, low_a, low_b, l, r) of different classes of a window that share a run of ``span`` characters."""
-    side = lambda x: groups.select("h", F.col("c").alias(f"c_{x}"), F.col("lead").alias(f"lead_{x}"), F.col("around").alias(f"around_{x}"), F.col("n_docs").alias(f"n_{x}"), F.col("low").alias(f"low_{x}"))
+    mixed = groups.where("not alone").select("h", "c", "n_docs", "low")
+    # the text of one occurrence speaks for its class; only windows with several classes need it
+    texts = found.join(mixed, ["h", "c"]).where("doc_id = low").groupBy("h", "c", "n_docs", "low").agg(F.min(F.struct("lead", "around")).alias("t"))
+    texts = written(texts.select("h", "c", "n_docs", "low", "t.lead", "t.around"), "texts")
+    side = lambda x: texts.select("h", F.col("c").alias(f"c_{x}"), F.col("lead").alias(f"lead_{x}"), F.col("around").alias(f"around_{x}"), F.col("n_docs").alias(f"n_{x}"), F.col("low").alias(f"low_{x}"))
     met = side("a").join(side("b"), "h").where("c_a < c_b")
     schema = "h long, c_a long, lead_a int, n_a long, low_a long, c_b long, lead_b int, n_b long, low_b long, l int, r int"
     return met.mapInArrow(_reach, schema).where(F.col("l") + F.col("r") >= span)
@@ -261,12 +268,12 @@ def class_pairs(groups: DataFrame, span: int) -> DataFrame:
 def sharing_pairs(found: DataFrame, span: int = 200) -> DataFrame:
     """Distinct (doc_a, doc_b), doc_a < doc_b, of documents that share a run of ``span`` characters."""
     groups = classes(found)
-    member = found.select("h", F.xxhash64("around", "lead").alias("c"), "doc_id").distinct()
+    member = found.select("h", "c", "doc_id").distinct()
     # of classes with the same documents one is enough: a long shared passage keeps many windows
     chosen = groups.where("n_docs > 1").groupBy("mark", "n_docs", "low").agg(F.min(F.struct("h", "c")).alias("k")).select("k.h", "k.c")
     inside = member.join(chosen, ["h", "c"])
     same = inside.select("h", "c", F.col("doc_id").alias("doc_a")).join(inside.select("h", "c", F.col("doc_id").alias("doc_b")), ["h", "c"]).where("doc_a < doc_b").select("doc_a", "doc_b")
-    across = written(class_pairs(groups, span).where("n_a > 1 or n_b > 1 or low_a <> low_b").select("h", "c_a", "c_b"), "across")
+    across = written(class_pairs(found, groups, span).where("n_a > 1 or n_b > 1 or low_a <> low_b").select("h", "c_a", "c_b"), "across")
     one = across.join(member.select("h", F.col("c").alias("c_a"), F.col("doc_id").alias("x")), ["h", "c_a"])
     two = one.join(member.select("h", F.col("c").alias("c_b"), F.col("doc_id").alias("y")), ["h", "c_b"]).where("x <> y")
     return same.union(two.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
@@ -281,14 +288,14 @@ def shared_parts(docs: DataFrame, id_col: str, text: str, span: int = 200, ancho
     """
     found = occurrences(docs, id_col, text, span, anchor)
     groups = classes(found)
-    pairs = class_pairs(groups, span)
+    pairs = class_pairs(found, groups, span)
     ends = pairs.select("h", F.col("c_a").alias("c"), F.col("n_b").alias("n"), F.col("low_b").alias("other"), "l", "r").union(pairs.select("h", "c_b", "n_a", "low_a", "l", "r"))
     lone = groups.where("n_docs = 1").select("h", "c", "low")
     partial = ends.join(lone, ["h", "c"]).where("n > 1 or other <> low").groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    full = groups.where("n_docs > 1").select("h", "c", F.col("lead").alias("l"), (F.length("around") - F.col("lead")).alias("r"))
+    full = groups.where("n_docs > 1").select("h", "c", F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
     reach = full.unionByName(partial)
-    member = found.select("h", F.xxhash64("around", "lead").alias("c"), "doc_id", "pos")
-    stretches = member.join(reach, ["h", "c"]).select("doc_id", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).distinct()
+    member = found.select("h", "c", "doc_id", "pos", "lead", (F.length("around") - F.col("lead")).alias("tail"))
+    stretches = member.join(reach, ["h", "c"]).select("doc_id", (F.col("pos") - F.coalesce("l", "lead")).alias("a"), (F.col("pos") + F.coalesce("r", "tail")).alias("b")).distinct()
     line = Window.partitionBy("doc_id").orderBy("a", "b")
     reached = stretches.withColumn("m", F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = reached.withColumn("new", (F.col("m").isNull() | (F.col("a") > F.col("m"))).cast("int")).withColumn("gain", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("m", F.lit(0)))))
