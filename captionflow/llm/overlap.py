@@ -4,7 +4,9 @@ A pair may differ by at most one edit for every ``per`` words of the longer text
 k = longer // per edits. Evaluation texts are cut into k + 1 segments; by the pigeonhole
 principle one of them stands unchanged in any training text within k edits, at a place
 that the edits before and after it allow. Segments and training substrings are joined on
-their hashes and each pair is verified by banded dynamic programming.
+their hashes and each pair is verified by banded dynamic programming. A segment so common that
+it would pair many texts is cut once more: what stands beside it must match within the
+same k edits, so one of k + 1 segments of the rest is unchanged too.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARK = regex.compile(r"\p{M}+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CACHE: dict[str, int] = {}
+#: A segment that would give more pairs than this is joined together with a second segment.
+HOT_PAIRS = 100
 
 
 def words(text: str | None) -> list[str]:
@@ -85,8 +89,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _keys(texts: list[str], ids: np.ndarray, places) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, keys) of the parts that ``places(n)`` names as (n, k, segment, start, length)."""
+def _keys(texts: list[str], ids: np.ndarray, places) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(ids, keys, place) of the parts that ``places(n)`` names as (n, k, segment, start, length); place holds n, k, segment and start."""
     by_length: dict[int, list[int]] = {}
     split = [t.split(" ") for t in texts]
     for row, w in enumerate(split):
@@ -100,7 +104,7 @@ def _keys(texts: list[str], ids: np.ndarray, places) -> Iterator[tuple[np.ndarra
         own = ids[rows]
         for n, k, i, p, size in places(m):
             tag = np.uint64((n * 1_000_003 + k * 10_007 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            yield own, _mix((sums[:, p + size] - sums[:, p]) * inverse[p] ^ tag)
+            yield own, _mix((sums[:, p + size] - sums[:, p]) * inverse[p] ^ tag), ((n * 65536 + k) * 65536 + i) * 65536 + p
 
 
 def _key_rows(places):
@@ -110,7 +114,55 @@ def _key_rows(places):
                 part = batch.slice(at, 2000)
                 made = list(_keys(part.column("norm").to_pylist(), part.column("tid").to_numpy(), places))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in made])), pa.array(np.concatenate([b for _, b in made]).astype(np.int64))], names=["tid", "key"])
+                    tids, keys = np.concatenate([a for a, _, _ in made]), np.concatenate([b for _, b, _ in made]).astype(np.int64)
+                    place = np.repeat([c for _, _, c in made], [len(a) for a, _, _ in made])
+                    yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(keys), pa.array(place)], names=["tid", "key", "place"])
+
+    return run
+
+
+def rest_segments(n: int, k: int, at: int, size: int) -> list[tuple[int, int, int]]:
+    """(side, start, length) of k + 1 segments of what stands before (side 0) and after (side 1) a segment."""
+    left, right = at, n - at - size
+    before = round((k + 1) * left / (left + right)) if left + right else 0
+    before = max(min(before, k if right else k + 1), 1 if left else 0)
+    out = [(0, s, z) for s, z in segments(left, before - 1)] if before else []
+    return out + ([(1, at + size + s, z) for s, z in segments(right, k - before)] if before <= k else [])
+
+
+def rest_places(m: int, n: int, k: int, at: int, size: int, p: int) -> list[tuple[int, int, int, int]]:
+    """(side, segment start, start in the training text, length) of where segments of the rest may stand, if the segment stands at p."""
+    moved, ends = p - at, m - n
+    out = []
+    for side, s, z in rest_segments(n, k, at, size):
+        for shift in range(-k, k + 1):
+            q = s + shift
+            if side == 0:
+                fits = abs(shift) + abs(moved - shift) <= k and q >= 0 and q + z <= p
+            else:
+                fits = abs(shift - moved) + abs(ends - shift) <= k and q >= p + size and q + z <= m
+            if fits:
+                out.append((side, s, q, z))
+    return out
+
+
+def _second(probing: bool):
+    """Rows (tid, norm, key, place) to (tid, key) with the segment and a segment of the rest as the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tids, keys = [], []
+            for tid, norm, key, place in zip(*(batch.column(c).to_pylist() for c in ("tid", "norm", "key", "place"))):
+                w = norm.split(" ")
+                place, p = divmod(place, 65536)
+                place, i = divmod(place, 65536)
+                n, k = divmod(place, 65536)
+                at, size = segments(n, k)[i]
+                spots = rest_places(len(w), n, k, at, size, p) if probing else [(side, s, s, z) for side, s, z in rest_segments(n, k, at, size)]
+                for side, s, q, z in spots:
+                    tids.append(tid)
+                    keys.append(xxhash.xxh3_64_intdigest(f"{key} {side} {s} {' '.join(w[q : q + z])}") - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(keys, pa.int64())], names=["tid", "key"])
 
     return run
 
@@ -182,9 +234,23 @@ def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo:
 
     items = written(normalised(rows, id_col, text, least).withColumn("tid", F.xxhash64("norm")), "items")
     texts = written(items.groupBy("tid", "norm").agg(F.max("held").alias("in_eval"), (~F.min("held")).alias("in_train")), "texts")
-    cut = texts.where("in_eval").select("tid", "norm").mapInArrow(_key_rows(lambda n: [(n, k, i, at, size) for k in eval_edits(n, per) for i, (at, size) in enumerate(segments(n, k))]), "tid long, key long")
-    probe = texts.where("in_train").select("tid", "norm").mapInArrow(_key_rows(lambda m: probes(m, per, least)), "tid long, key long")
-    met = cut.select(F.col("tid").alias("tid_a"), "key").join(probe.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b").select("tid_a", "tid_b").distinct()
+    cut = texts.where("in_eval").select("tid", "norm").mapInArrow(_key_rows(lambda n: [(n, k, i, at, size) for k in eval_edits(n, per) for i, (at, size) in enumerate(segments(n, k))]), "tid long, key long, place long")
+    probe = texts.where("in_train").select("tid", "norm").mapInArrow(_key_rows(lambda m: probes(m, per, least)), "tid long, key long, place long")
+    cut = written(cut, "segments")
+    of_eval = cut.groupBy("key").agg(F.count("*").alias("n_cut"))
+    probe = written(probe.join(of_eval, "key"), "probes")
+    pairs_of = probe.groupBy("key", "n_cut").agg(F.count("*").alias("n")).select("key", (F.col("n") * F.col("n_cut") > HOT_PAIRS).alias("hot"))
+    info = written(pairs_of, "segment_pairs")
+    few, many = info.where("not hot").select("key"), info.where("hot").select("key")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.select(F.col("tid").alias("tid_a"), "key").join(right.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b").select("tid_a", "tid_b")
+
+    def refined(rows: DataFrame, probing: bool) -> DataFrame:
+        hot = rows.join(many, "key").join(texts.select("tid", "norm"), "tid")
+        return hot.select("tid", "norm", "key", "place").mapInArrow(_second(probing), "tid long, key long")
+
+    met = meet(cut.join(few, "key"), probe).union(meet(refined(cut, False), refined(probe, True))).distinct()
     sides = met.join(texts.select(F.col("tid").alias("tid_a"), F.col("norm").alias("norm_a")), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), F.col("norm").alias("norm_b")), "tid_b")
     near = sides.mapInArrow(_verify(per), "tid_a long, tid_b long")
     same = texts.where("in_eval and in_train").select(F.col("tid").alias("tid_a"), F.col("tid").alias("tid_b"))
