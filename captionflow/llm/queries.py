@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import mixing, overlap, packing, spans, splits, tokens
+from captionflow.llm import language, mixing, overlap, packing, spans, splits, tokens
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
 
+def _review_languages(spark: SparkSession, d: str) -> DataFrame:
+    reviews = table(spark, d, "reviews")
+    return language.detect(reviews, "review_id", "comment", "language", language.train(reviews, "review_id", "comment", "language"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(_review_languages(spark, d)).select(F.col("id").alias("review_id"), "lang")
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.assigned(_review_languages(spark, d)).withColumnRenamed("id", "review_id").distinct()
+
+
+def p2_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return language.stretches(_review_languages(spark, d)).withColumnRenamed("id", "review_id").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_groups(table(spark, d, "images"), "listing_id", "photo_id")
 
@@ -60,4 +77,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
