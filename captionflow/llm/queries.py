@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import language, mixing, overlap, packing, spans, splits, tokens
+from captionflow.llm import language, mixing, overlap, packing, pii, spans, splits, tokens
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -40,6 +40,19 @@ def _caption_pairs(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, d, "captions"), "item_id", "caption", "split", "photo_id")
 
 
+def private_texts(spark: SparkSession, d: str) -> DataFrame:
+    reviews = table(spark, d, "reviews").select(F.lit("comment").alias("field"), F.col("review_id").alias("id"), F.col("comment").alias("text"))
+    return reviews.unionByName(table(spark, d, "listings").select(F.lit("description").alias("field"), F.col("listing_id").alias("id"), F.col("description").alias("text")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(private_texts(spark, d)).select("field", F.col("id").alias("record_id"), "kind")
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(private_texts(spark, d)).withColumnRenamed("id", "record_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _caption_pairs(spark, d).select("item_a", "item_b")
 
@@ -77,4 +90,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
