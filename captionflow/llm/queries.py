@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionflow.llm import language, mixing, overlap, packing, pii, spans, splits, tokens
+from captionflow.llm import language, markup, mixing, overlap, packing, pii, spans, splits, tokens
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
 
+LISTING_TEXTS = ("description", "neighborhood", "getting_around")
+
+
+def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(table(spark, d, "listings"), "listing_id", LISTING_TEXTS).withColumnRenamed("id", "listing_id").distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.cleaned(table(spark, d, "listings"), "listing_id", LISTING_TEXTS).where("has_markup and id is not null")
+    return found.select(F.col("id").alias("listing_id"), "field").distinct()
+
+
 def _review_languages(spark: SparkSession, d: str) -> DataFrame:
     reviews = table(spark, d, "reviews")
     return language.detect(reviews, "review_id", "comment", "language", language.train(reviews, "review_id", "comment", "language"))
@@ -90,4 +102,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
