@@ -9,15 +9,16 @@ their words, and a first-order chain over the sentences of a text smooths the ch
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captionflow.llm.pii import DIGIT_WORDS, without_addresses
 from captionflow.llm.tokens import TOKENIZERS
 
 #: Languages told apart (fixed by the test data).
@@ -37,10 +38,10 @@ SWITCH_NATS, SURE_NATS = 3.0, 3.0
 #: Share of the background in each model.
 SMOOTHING = 2e-3
 
-_BREAK = regex.compile(r"<br ?/?>|[\r\n]+| [/|–—] |[.!?…]+(?=\s|<|$)|[\p{So}]+")
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
-_ADDRESS = regex.compile(r"\S*[@＠]\S*|https?:\S+|www\.\S+")
+_BREAK = re.compile("<br ?/?>|[\\r\\n]+| [/|–—] |[.!?…]+(?=[\\s<]|$)|[\u2600-\u27bf\U0001f300-\U0001faff]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_ADDRESS = re.compile(r"\S*[@＠]\S*|https?:\S+|www\.\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -112,6 +113,8 @@ class Models:
     def score(self, word: str) -> np.ndarray:
         """Log-probability of a word in each language, at most MOST_NATS below the best."""
         most = MOST_NATS
+        if word in DIGIT_WORDS:  # mostly spelled-out numbers
+            return np.zeros(self.table.shape[1], dtype=np.float32)
         if word[:1] == NAME_MARK:
             word, most = word[1:], NAME_NATS
         got = np.log(np.maximum(self.forward(word)[1][-1], 1e-280))
@@ -182,6 +185,7 @@ class Detector:
         for row, text in enumerate(texts):
             if not text:
                 continue
+            text = without_addresses(text)
             for a, b in sentences(text):
                 words = sentence_words(text[a:b])
                 if words:
@@ -231,8 +235,8 @@ def _smooth(sums: np.ndarray) -> np.ndarray:
 
 def label(column: Column) -> Column:
     """A stored label without outer blanks, in lower case, up to the first - or _; null if that is none of the known codes."""
-    code = F.regexp_extract(F.lower(F.regexp_replace(column, r"^\s+|\s+$", "")), "^[^-_]*", 0)
-    return F.when(code.isin(*LANGUAGES), code)
+    code = F.substring_index(F.substring_index(F.lower(F.btrim(column, F.lit(" \t\r\n\f\v\u00a0"))), "-", 1), "_", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for code in LANGUAGES for x in (code, code)]), code)
 
 
 def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int = SAMPLE_ROWS, folder: str = TOKENIZERS, rounds: int = 2) -> Models:
@@ -243,8 +247,8 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     """
     labelled = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text, label(F.col(language)).alias("_l")).where("_l is not null")
     sizes = {r["_l"]: r["count"] for r in labelled.groupBy("_l").count().collect()}
-    share = F.coalesce(*[F.when(F.col("_l") == x, F.lit(min(1.0, sample_rows / n))) for x, n in sizes.items()], F.lit(0.0))
-    chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col), 1) / float(1 << 63) < share)
+    shares = F.create_map(*[F.lit(x) for lang, n in (sizes or {"": 1}).items() for x in (lang, min(1.0, sample_rows / n))])
+    chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col), 1) / float(1 << 63) < F.element_at(shares, F.col("_l")))
     rows = chosen.select("_l", text).collect()
     vocab = vocabulary(folder)
     counts = [Counter() for _ in LANGUAGES]
