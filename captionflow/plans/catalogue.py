@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from captionflow.plans import records
+from captionflow.plans import corpus, records
 
-QUERIES = {**records.QUERIES}
-ORACLE = {**records.ORACLE}
+QUERIES = {**corpus.QUERIES, **records.QUERIES}
+ORACLE = {**corpus.ORACLE, **records.ORACLE}
