@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def missing_images(captions: DataFrame, files: DataFrame) -> DataFrame:
 
 def corrupt_images(images: DataFrame, decode) -> DataFrame:
     """(reason, path) of image files that ``decode(bytes)`` can't read, and of those without metadata if it returns None."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def reason(content: pd.Series) -> pd.Series:
         out = []

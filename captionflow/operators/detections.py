@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def indoor_keys(detections: DataFrame) -> DataFrame:
 
 def infer(images: DataFrame, model, batch: int = 100) -> DataFrame:
     """Detections of any model: ``model(list of bytes) -> list of (category, attributes, is_indoor)``, in Arrow batches."""
-    import pandas as pd
-
     def run(batches):
         for pdf in batches:
             got = []

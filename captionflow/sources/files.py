@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,17 +15,17 @@ from captionflow.functions import views
 def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType | str, header: bool = False, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """TSV with quotes doubled inside quotes and line breaks inside fields, of any field length.
 
-    Empty unquoted fields are read as empty texts, short rows have null at the end.
+    There are no nulls in the format: empty and missing text fields are read as empty texts,
+    numbers that can't be read as null.
     """
     reader = spark.read.schema(schemas.schema(schema) if isinstance(schema, str) and schema in schemas.names() else schema).options(sep="\t", header=header, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\u0000", maxCharsPerColumn=-1)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", recursive).csv(path)
+    return reader.option("recursiveFileLookup", recursive).csv(path).fillna("")
 
 
 def read_captions(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    df = read_tsv(spark, path, "captions", **options)
-    return df.withColumn("caption", F.coalesce("caption", F.lit("")))
+    return read_tsv(spark, path, "captions", **options)
 
 
 def read_json_items(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -78,7 +79,7 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, listing_id, photo_id, length, content); the content is read only where it is used."""
+    """(path, listing_id, photo_id, length, content) of the files that aren't empty; the content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path)
     name = F.regexp_extract("path", r"/(\d+)[-_](\d+)\.[^./]+$", 1).try_cast("long")
     return files.select("path", name.alias("listing_id"), T.photo_of_path(F.col("path")).alias("photo_id"), "length", "content")
@@ -89,8 +90,6 @@ def decoded_images(images: DataFrame, decode) -> DataFrame:
 
     ``decode`` is given, as no image library is required; it runs in Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<width: int, height: int>")
     def size(content: pd.Series) -> pd.DataFrame:
         got = []
