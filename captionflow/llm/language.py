@@ -243,7 +243,8 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     """Models fitted on about ``sample_rows`` labelled rows of each language, chosen by hash.
 
     Labels may be wrong and texts mixed: the first fit takes the labels, the second takes
-    the sentences that the first is sure about. Languages without rows score below all others.
+    the sentences that the first is sure about. A word counts once for each row, so that no
+    long text outweighs the others. Languages without rows score below all others.
     """
     labelled = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text, label(F.col(language)).alias("_l")).where("_l is not null")
     sizes = {r["_l"]: r["count"] for r in labelled.groupBy("_l").count().collect()}
@@ -253,15 +254,14 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     vocab = vocabulary(folder)
     counts = [Counter() for _ in LANGUAGES]
     for lang, comment in rows:
-        for a, b in sentences(comment):
-            counts[LANGUAGES.index(lang)].update(w.lstrip(NAME_MARK) for w in sentence_words(comment[a:b]))
+        every = {w.lstrip(NAME_MARK) for a, b in sentences(comment) for w in sentence_words(comment[a:b])}
+        counts[LANGUAGES.index(lang)].update(every)
     models = fit(counts, vocab)
     for _ in range(rounds - 1):
         counts = [Counter() for _ in LANGUAGES]
         for (_, comment), found in zip(rows, Detector(models).batch([c for _, c in rows])):
-            for a, b, lang, _, sure in found:
-                if sure:
-                    counts[lang].update(w.lstrip(NAME_MARK) for w in sentence_words(comment[a:b]))
+            for lang, word in {(lang, w.lstrip(NAME_MARK)) for a, b, lang, _, sure in found if sure for w in sentence_words(comment[a:b])}:
+                counts[lang][word] += 1
         models = fit(counts, vocab)
     used = np.flatnonzero((models.table[:-1] != models.table[:-1].min(0)).any(1))
     names = list(vocab)
