@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from captionflow.functions import geo
 
 #: Bits for each axis of the cells that cover regions; a region uses cells of several of these sizes.
-LEVELS = (2, 4, 6, 8, 10, 12, 14)
+LEVELS = (2, 4, 6, 8, 10, 12, 14, 16)
 
 
 def located(df: DataFrame, id_col: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -107,7 +107,7 @@ def _touches(xy: np.ndarray, x0: np.ndarray, y0: np.ndarray, w: float, h: float)
     return (enter <= leave).any(1)
 
 
-def cover(ring: list | None, hole: list | None, fine: int = 48) -> list[tuple[int, int, int, bool]]:
+def cover(ring: list | None, hole: list | None, fine: int = 160) -> list[tuple[int, int, int, bool]]:
     """(bits, column, row, whole) of the cells that cover a region; ``whole`` cells need no further test.
 
     Cells are cut until there are about ``fine`` of them or the smallest size is reached.
@@ -186,8 +186,9 @@ def in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     coded = points.withColumn("_row", geo.row_of(F.col("lat"), LEVELS[-1])).withColumn("_col", geo.col_of(F.col("lng"), LEVELS[-1]))
     ladder = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), geo.zorder(F.shiftright("_col", LEVELS[-1] - b), F.shiftright("_row", LEVELS[-1] - b)).alias("cell")) for b in LEVELS]))
     met = coded.select("id", "lat", "lng", ladder.alias("at")).select("id", "lat", "lng", "at.bits", "at.cell").join(cells, ["bits", "cell"])
-    sure = met.where("whole").select("id", "region")
-    doubt = met.where("not whole").select("id", "lat", "lng", "region").join(regions.select("region", "ring", "hole"), "region")
+    # cells wholly inside take no part in the join with the rings
+    shapes = regions.select(F.col("region").alias("_region"), "ring", "hole")
+    tested = met.join(shapes, (F.col("region") == F.col("_region")) & ~F.col("whole"), "left")
     hole = F.coalesce(in_ring(F.col("hole"), F.col("lat"), F.col("lng")), F.lit(False))
-    tested = doubt.where(in_ring(F.col("ring"), F.col("lat"), F.col("lng")) & ~hole).select("id", "region")
-    return sure.unionByName(tested).distinct()
+    inside = F.col("whole") | (in_ring(F.col("ring"), F.col("lat"), F.col("lng")) & ~hole)
+    return tested.where(inside).select("id", "region").distinct()
