@@ -33,6 +33,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm > 0, 1 - dot(a, b) / norm)
 
 
+def unit(values: Column) -> Column:
+    """The vector over its length; null for a zero vector."""
+    norm = F.sqrt(dot(values, values))
+    return F.when(norm > 0, F.transform(values, lambda x: x.cast("double") / norm))
+
+
 def argmax(values: Column) -> Column:
     """Place from 0 of the first greatest value."""
     return F.array_position(values, F.array_max(values)) - 1

@@ -45,8 +45,8 @@ def suppress(xyxy: np.ndarray, scores: np.ndarray, threshold: float) -> list[int
     return kept
 
 
-def by_groups(df: DataFrame, keys: list[str], order: str, keep: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
-    """Rows that ``keep`` names within each group, in the given order.
+def by_groups(df: DataFrame, keys: list[str], order: str, columns: list[str], keep: Callable[..., list[int]]) -> DataFrame:
+    """Rows that ``keep`` names within each group, in the given order; it gets the group's part of each of the columns.
 
     Rows are hashed and sorted by group once and cut into groups as the batches pass, so
     many small groups cost no call each and a group may span batches.
@@ -63,7 +63,8 @@ def by_groups(df: DataFrame, keys: list[str], order: str, keep: Callable[[pd.Dat
                 starts, ends, rest = starts[:-1], ends[:-1], rows.iloc[starts[-1] :]
             else:
                 rest = rows.iloc[:0]
-            places = [a + i for a, b in zip(starts, ends) for i in (keep(rows.iloc[a:b]) if b - a > 1 else [0])]
+            cells = [rows[c].to_numpy() for c in columns]
+            places = [a + i for a, b in zip(starts, ends) for i in (keep(*[x[a:b] for x in cells]) if b - a > 1 else [0])]
             return rows.iloc[places], rest
 
         for batch in batches:
@@ -86,10 +87,10 @@ def non_maximum(boxes: DataFrame, threshold: float, classes: str | None = None)
     """
     keys = ["image", *([classes] if classes else [])]
 
-    def keep(pdf: pd.DataFrame) -> list[int]:
-        return suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float), threshold)
+    def keep(confidence: np.ndarray, *corners: np.ndarray) -> list[int]:
+        return suppress(np.stack(corners, 1).astype(float), confidence.astype(float), threshold)
 
-    return by_groups(boxes, keys, "box", keep)
+    return by_groups(boxes, keys, "box", ["confidence", "x1", "y1", "x2", "y2"], keep)
 
 
 def thin_out(features: np.ndarray, headings: np.ndarray, elevations: np.ndarray, best: np.ndarray, most: int) -> list[int]:
@@ -115,10 +116,10 @@ def thin_out(features: np.ndarray, headings: np.ndarray, elevations: np.ndarray,
 def without_redundant(boxes: DataFrame, most: int = 100) -> DataFrame:
     """Rows kept by ``thin_out`` within each image. Columns: image, box, feature, heading, elevation, best. A group is one panorama's boxes."""
 
-    def keep(pdf: pd.DataFrame) -> list[int]:
-        return thin_out(np.array(pdf["feature"].tolist(), dtype=float), pdf["heading"].to_numpy(float), pdf["elevation"].to_numpy(float), pdf["best"].to_numpy(float), most)
+    def keep(feature: np.ndarray, heading: np.ndarray, elevation: np.ndarray, best: np.ndarray) -> list[int]:
+        return thin_out(np.array(feature.tolist(), dtype=float), heading.astype(float), elevation.astype(float), best.astype(float), most)
 
-    return by_groups(boxes, ["image"], "box", keep)
+    return by_groups(boxes, ["image"], "box", ["feature", "heading", "elevation", "best"], keep)
 
 
 def extract(images: DataFrame, detector, schema: str) -> DataFrame:

@@ -437,9 +437,10 @@ def mask_tokens(spark, d):
 
 @query("""SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id""")
 def cosine_pairs(spark, d):
-    e = table(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("i > j").select("label", "i", "j", F.round(A.cosine_distance(F.col("x"), F.col("y")), 4).alias("distance"))
+    # each vector is scaled once, so a pair costs one product
+    e = table(spark, d, "embeddings").select("label", "vec_id", A.unit(F.col("embedding")).alias("u"))
+    a, b = e.select("label", F.col("vec_id").alias("i"), F.col("u").alias("x")), e.select("label", F.col("vec_id").alias("j"), F.col("u").alias("y"))
+    return a.join(b, "label").where("i > j").select("label", "i", "j", F.round(1 - A.dot(F.col("x"), F.col("y")), 4).alias("distance"))
 
 
 _FOCAL = V.focal_length(480, 60)

@@ -7,10 +7,22 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
+
+
+def _remove_written() -> None:
+    """At the end of the driver its intermediate tables go, where the shared folder is a mounted one."""
+    for path in _WRITTEN:
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+atexit.register(_remove_written)
 
 
 def build_session(master: str | None = None, app: str = "captionflow", **conf: str) -> SparkSession:
@@ -29,6 +41,30 @@ def build_session(master: str | None = None, app: str = "captionflow", **conf: s
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers; once for an application.
+
+    A probe asks a worker first, as a cluster whose workers have the package on their
+    path needs no copy; otherwise a compiled archive is sent to all executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    scope: dict = {"__name__": "__main__"}
+    exec("def probe(_):\n    import importlib.util\n    return importlib.util.find_spec('captionflow') is not None", scope)  # noqa: S102 - pickled by value
+    n = max(1, spark.sparkContext.defaultParallelism)
+    if not all(spark.sparkContext.parallelize(range(n), n).map(scope["probe"]).collect()):
+        folder = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="captionflow-"), "captionflow.zip")
+        with zipfile.PyZipFile(archive, "w", optimize=0) as out:
+            out.writepy(folder)
+        spark.sparkContext.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
@@ -55,4 +91,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "captionflow", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
