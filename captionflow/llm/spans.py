@@ -16,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionflow.session import written
 
+#: A window with more classes than this is compared by whole spans, not class by class.
+MANY_CLASSES = 64
 #: Characters hashed at once; longer documents are cut into overlapping blocks.
 BLOCK = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -242,29 +245,56 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(h, c, n_docs, low, mark, alone): the occurrences of a window with the same text around them, grouped by c.
+    """(h, c, n_docs, low, mark, alone, many): the occurrences of a window with the same text around them, grouped by c.
 
     Only windows in two or more documents are kept, grouped exactly. ``mark`` is equal for
-    classes with the same documents; ``alone`` says that the window has no other class.
+    classes with the same documents; ``alone`` says that the window has no other class, ``many`` that it has very many.
     """
     one = found.select("h", "c", "doc_id").distinct()
     grouped = one.groupBy("h", "c").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"))
-    several = grouped.groupBy("h").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi").select("h", (F.col("_n") == 1).alias("alone"))
+    several = grouped.groupBy("h").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi").select("h", (F.col("_n") == 1).alias("alone"), (F.col("_n") > MANY_CLASSES).alias("many"))
     return written(grouped.drop("high").join(several, "h"), "classes")
 
 
-def class_pairs(found: DataFrame, groups: DataFrame, span: int) -> DataFrame:
-    """(h, c_a, c_b, n_a, n_b, low_a, low_b, l, r) of different classes of a window that share a run of ``span`` characters."""
-    mixed = groups.where("not alone").select("h", "c", "n_docs", "low")
-    # the text of one occurrence speaks for its class; only windows with several classes need it
-    texts = found.join(mixed, ["h", "c"]).where("doc_id = low").groupBy("h", "c", "n_docs", "low").agg(F.min(F.struct("lead", "around")).alias("t"))
-    texts = written(texts.select("h", "c", "n_docs", "low", "t.lead", "t.around"), "texts")
-    side = lambda x: texts.select("h", F.col("c").alias(f"c_{x}"), F.col("lead").alias(f"lead_{x}"), F.col("around").alias(f"around_{x}"), F.col("n_docs").alias(f"n_{x}"), F.col("low").alias(f"low_{x}"))
+def class_texts(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, c, n_docs, low, lead, around, many) of the windows with several classes; one occurrence speaks for its class."""
+    mixed = groups.where("not alone").select("h", "c", "n_docs", "low", "many")
+    texts = found.join(mixed, ["h", "c"]).where("doc_id = low").groupBy("h", "c", "n_docs", "low", "many").agg(F.min(F.struct("lead", "around")).alias("t"))
+    return written(texts.select("h", "c", "n_docs", "low", "t.lead", "t.around", "many"), "texts")
+
+
+def class_pairs(texts: DataFrame, span: int) -> DataFrame:
+    """(h, c_a, c_b, n_a, n_b, low_a, low_b, l, r) of different classes of a window that share a run of ``span`` characters, for windows with few classes."""
+    few = texts.where("not many")
+    side = lambda x: few.select("h", F.col("c").alias(f"c_{x}"), F.col("lead").alias(f"lead_{x}"), F.col("around").alias(f"around_{x}"), F.col("n_docs").alias(f"n_{x}"), F.col("low").alias(f"low_{x}"))
     met = side("a").join(side("b"), "h").where("c_a < c_b")
     schema = "h long, c_a long, lead_a int, n_a long, low_a long, c_b long, lead_b int, n_b long, low_b long, l int, r int"
     return met.mapInArrow(_reach, schema).where(F.col("l") + F.col("r") >= span)
 
 
+def whole_spans(texts: DataFrame, span: int) -> DataFrame:
+    """(h, c, n_docs, low, o, k): every run of ``span`` characters around a window that holds it, by its offset and hash, for windows with many classes.
+
+    A short text common to many documents gives many classes that share too little.
+    Grouping whole runs finds the classes that share enough without comparing any two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, offsets, keys = [], [], []
+            for row, (text, lead) in enumerate(zip(batch.column("around").to_pylist(), batch.column("lead").to_pylist())):
+                for o in range(lead + 1):
+                    piece = text[lead - o : lead - o + span]
+                    if len(piece) == span:
+                        rows.append(row)
+                        offsets.append(o)
+                        keys.append(xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("h", "c", "n_docs", "low")], pa.array(offsets, pa.int32()), pa.array(keys, pa.int64())], names=["h", "c", "n_docs", "low", "o", "k"])
+
+    return texts.where("many").select("h", "c", "n_docs", "low", "lead", "around").mapInArrow(run, "h long, c long, n_docs long, low long, o int, k long")
+
+
 def sharing_pairs(found: DataFrame, span: int = 200) -> DataFrame:
     """Distinct (doc_a, doc_b), doc_a < doc_b, of documents that share a run of ``span`` characters."""
     groups = classes(found)
@@ -273,7 +303,14 @@ def sharing_pairs(found: DataFrame, span: int = 200) -> DataFrame:
     chosen = groups.where("n_docs > 1").groupBy("mark", "n_docs", "low").agg(F.min(F.struct("h", "c")).alias("k")).select("k.h", "k.c")
     inside = member.join(chosen, ["h", "c"])
     same = inside.select("h", "c", F.col("doc_id").alias("doc_a")).join(inside.select("h", "c", F.col("doc_id").alias("doc_b")), ["h", "c"]).where("doc_a < doc_b").select("doc_a", "doc_b")
-    across = written(class_pairs(found, groups, span).where("n_a > 1 or n_b > 1 or low_a <> low_b").select("h", "c_a", "c_b"), "across")
+    texts = class_texts(found, groups)
+    across = class_pairs(texts, span).where("n_a > 1 or n_b > 1 or low_a <> low_b").select("h", "c_a", "c_b")
+    runs = written(whole_spans(texts, span), "runs")
+    # of the runs shared by the same classes one is enough
+    shared = runs.groupBy("h", "o", "k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("n > 1")
+    one = runs.join(shared.groupBy("h", "n", "mark").agg(F.min(F.struct("o", "k")).alias("r")).select("h", "r.o", "r.k"), ["h", "o", "k"]).select("h", "o", "k", "c")
+    among = one.withColumnRenamed("c", "c_a").join(one.withColumnRenamed("c", "c_b"), ["h", "o", "k"]).where("c_a < c_b").select("h", "c_a", "c_b")
+    across = written(across.union(among).distinct(), "across")
     one = across.join(member.select("h", F.col("c").alias("c_a"), F.col("doc_id").alias("x")), ["h", "c_a"])
     two = one.join(member.select("h", F.col("c").alias("c_b"), F.col("doc_id").alias("y")), ["h", "c_b"]).where("x <> y")
     return same.union(two.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
@@ -288,10 +325,15 @@ def shared_parts(docs: DataFrame, id_col: str, text: str, span: int = 200, ancho
     """
     found = occurrences(docs, id_col, text, span, anchor)
     groups = classes(found)
-    pairs = class_pairs(found, groups, span)
+    texts = class_texts(found, groups)
+    pairs = class_pairs(texts, span)
     ends = pairs.select("h", F.col("c_a").alias("c"), F.col("n_b").alias("n"), F.col("low_b").alias("other"), "l", "r").union(pairs.select("h", "c_b", "n_a", "low_a", "l", "r"))
     lone = groups.where("n_docs = 1").select("h", "c", "low")
     partial = ends.join(lone, ["h", "c"]).where("n > 1 or other <> low").groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    runs = written(whole_spans(texts, span), "runs")
+    shared = runs.groupBy("h", "o", "k").agg(F.min("low").alias("_lo"), F.max("low").alias("_hi"), F.max("n_docs").alias("_n")).where("_lo < _hi or _n > 1").select("h", "o", "k")
+    wide = runs.where("n_docs = 1").join(shared, ["h", "o", "k"]).groupBy("h", "c").agg(F.max("o").alias("l"), (F.lit(span) - F.min("o")).alias("r"))
+    partial = partial.unionByName(wide)
     full = groups.where("n_docs > 1").select("h", "c", F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
     reach = full.unionByName(partial)
     member = found.select("h", "c", "doc_id", "pos", "lead", (F.length("around") - F.col("lead")).alias("tail"))

@@ -42,9 +42,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, block, bits", [(1, 400_000, None), (2, 1000, None), (3, 400_000, 6)])
-def test_pairs_and_shares_equal_brute_force(spark, monkeypatch, seed, block, bits):
+@pytest.mark.parametrize("seed, block, bits, many", [(1, 400_000, None, 64), (2, 1000, None, 1), (3, 400_000, 6, 64), (4, 400_000, None, 2)])
+def test_pairs_and_shares_equal_brute_force(spark, monkeypatch, seed, block, bits, many):
     monkeypatch.setattr(spans, "BLOCK", block)
+    monkeypatch.setattr(spans, "MANY_CLASSES", many)
     if bits:  # a sketch far too small only lets more windows through
         monkeypatch.setattr(spans, "sketch_bits", lambda n: bits)
     rows = corpus(seed)
