@@ -162,15 +162,16 @@ def without_stop_words(sentence: str) -> Iterator[str]:
     yield "".join(m[0] for m in re.finditer(r"(?:\w+|[^\w\s])\s*", sentence) if m[0].strip().lower() not in STOP_WORDS)
 
 
-def direction_segments(sentence: str) -> list[Segment]:
-    """Direction words right after an action verb or at the start; replaced by the words of all other directions.
+def direction_segments(sentence: str, hangs_on_verb: Callable[[str, int, int], bool] | None = None) -> list[Segment]:
+    """Direction words right after an action verb; replaced by the words of all other directions.
 
-    Without a dependency parser only the rule of the word before is applied.
+    ``hangs_on_verb(sentence, start, end)`` may be a dependency parser's word on whether the
+    parent is a verb; without one only the rule of the word before is applied.
     """
     out = []
     for m in re.finditer(r"(?<!\w)(?:" + "|".join(w for group in DIRECTIONS for w in group) + r")(?!\w)", sentence):
         before = re.findall(r"\w+", sentence[: m.start()])
-        if before and before[-1] in ACTION_VERBS:
+        if before and before[-1] in ACTION_VERBS or hangs_on_verb is not None and hangs_on_verb(sentence, m.start(), m.end()):
             others = tuple(w for group in DIRECTIONS if m[0] not in group for w in group)
             out.append(Segment(m[0], (m.start(), m.end() - 1), "DIRECTION", others))
     return tiled(sentence, out)

@@ -110,14 +110,27 @@ def related(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     return pairs.join(both, (F.col("a") == F.col("word")) & (F.col("b") == F.col("related")), "left").withColumn("same", (F.col("a") == F.col("b")) | F.coalesce("_r", F.lit(False))).drop("word", "related", "_r")
 
 
-def highlights(rows: DataFrame, column: str, tagger: Callable[[str], list[tuple[str, str]]], tags: tuple[str, ...] = ("NN", "NNS", "NNP", "VB", "JJ", "RB", "CD"), forbidden: tuple[str, ...] = ("next", "then", "there", "just")) -> DataFrame:
-    """Adds ``highlights``: for each instruction of an array the words with one of the tags. ``tagger`` gives (word, tag) pairs."""
+Tagger = Callable[[str], list[tuple[str, str]]]
+TAGS = ("NN", "NNS", "NNP", "VB", "JJ", "RB", "CD")
+NOT_HIGHLIGHTED = ("next", "then", "there", "just")
 
-    @F.pandas_udf("array<array<string>>")
-    def run(items: pd.Series) -> pd.Series:
-        return pd.Series([[[w for w, t in tagger(s.lower()) if t in tags and w not in forbidden] for s in x] if x is not None else None for x in items], dtype=object)
 
-    return rows.withColumn("highlights", run(column))
+def highlighted(sentence: str, tagger: Tagger, tags: tuple[str, ...] = TAGS, forbidden: tuple[str, ...] = NOT_HIGHLIGHTED) -> list[str]:
+    """The words of a sentence with one of the tags, in order. ``tagger`` gives (word, tag) pairs."""
+    return [w for w, t in tagger(sentence.lower()) if t in tags and w not in forbidden]
+
+
+def highlights(rows: DataFrame, column: str, tagger: Tagger, tags: tuple[str, ...] = TAGS, perturbations: str | None = None) -> DataFrame:
+    """Adds ``highlights`` for each instruction of an array and, if named, ``perturbation_highlights`` for each of its perturbations."""
+
+    def one(items: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [highlighted(s, tagger, tags) for s in x] for x in items], dtype=object)
+
+    def two(items: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [[highlighted(s, tagger, tags) for s in y] for y in x] for x in items], dtype=object)
+
+    out = rows.withColumn("highlights", F.pandas_udf(one, "array<array<string>>")(column))
+    return out if perturbations is None else out.withColumn("perturbation_highlights", F.pandas_udf(two, "array<array<array<string>>>")(perturbations))
 
 
 def batches_of(values: list, n: int) -> Iterator[list]:

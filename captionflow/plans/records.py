@@ -60,10 +60,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(kind: str):
-    """One flat table: key, parent key, titles and scalar fields."""
+    """One flat table: key, parent key and title; ``nested.table_of`` also has the other scalar fields."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return nested.table_of(page_nodes(spark, d), PAGE_TABLES[kind]).select("node_key", "parent_key", F.col("key").alias("page_id"), "title", "fields")
+        return nested.table_of(page_nodes(spark, d), PAGE_TABLES[kind]).select("node_key", "parent_key", F.col("key").alias("page_id"), "title")
 
     return query
 
@@ -120,3 +120,17 @@ UNION ALL SELECT DISTINCT page_id, 'amenity', section_no, pos1, pos2, -1 FROM a
 UNION ALL SELECT DISTINCT page_id, 'option', section_no, pos1, pos2, pos3 FROM o
 UNION ALL SELECT DISTINCT page_id, 'room', section_no, pos1, -1, -1 FROM r
 UNION ALL SELECT DISTINCT page_id, 'bed', section_no, pos1, pos2, -1 FROM b"""
+
+
+_TABLES = f"""WITH good AS (SELECT page_id, body::JSON AS b FROM room_pages WHERE page_id IS NOT NULL AND body IS NOT NULL AND json_valid(body)),
+secs AS ({_members("good", "b->'data'->'merlin'->'pdpSections'", "page_id", "section_no")}),
+am AS (SELECT page_id, section_no, node->'section' AS s FROM secs WHERE json_type(node) = 'OBJECT' AND node->>'sectionId' = 'AMENITIES_DEFAULT' AND json_type(node->'section') = 'OBJECT'),
+sl AS (SELECT page_id, section_no, node->'section' AS s FROM secs WHERE json_type(node) = 'OBJECT' AND node->>'sectionId' = 'SLEEPING_ARRANGEMENT_DEFAULT' AND json_type(node->'section') = 'OBJECT'),
+g AS ({_members("am", "s->'seeAllAmenitiesGroups'", "page_id, section_no", "pos1")}),
+a AS ({_members("(SELECT * FROM g WHERE json_type(node) = 'OBJECT')", "node->'amenities'", "page_id, section_no, pos1", "pos2")}),
+o AS ({_members("(SELECT * FROM a WHERE json_type(node) = 'OBJECT')", "node->'options'", "page_id, section_no, pos1, pos2", "pos3")}),
+r AS ({_members("sl", "s->'arrangementDetails'", "page_id, section_no", "pos1")}),
+b AS ({_members("(SELECT * FROM r WHERE json_type(node) = 'OBJECT')", "node->'beds'", "page_id, section_no, pos1", "pos2")})"""
+_TITLE = "CASE WHEN json_type(node) = 'VARCHAR' THEN node->>'$' WHEN json_type(node->'title') = 'VARCHAR' THEN node->>'title' END AS title"
+for _name, _from, _label in (("groups", "g", "section_no, pos1"), ("amenities", "a", "section_no, pos1, pos2"), ("options", "o", "section_no, pos1, pos2, pos3"), ("rooms", "r", "section_no, pos1"), ("beds", "b", "section_no, pos1, pos2")):
+    ORACLE[f"p7_{_name}"] = f"{_TABLES} SELECT concat_ws('.', page_id, {_label}) AS node_key, concat_ws('.', page_id, {_label.rpartition(', ')[0]}) AS parent_key, page_id, {_TITLE} FROM {_from}"

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from captionflow.operators import audit, boxes, captions, crawl, detections, documents, merging, nested, perturb, phrases, running, spatial, trajectories
+from captionflow.functions import arrays
+from captionflow.operators import audit, boxes, captions, crawl, detections, documents, features, merging, nested, perturb, phrases, running, spatial, trajectories
 
 CAPTIONS = "listing_id long, photo_id long, url string, caption string, pos long"
 
@@ -300,3 +301,26 @@ def test_nested_nodes(spark):
     assert {r.parent_key for r in items.collect()} <= parents and items.where("fields is not null").first().fields == '{"n": 1}'
     deep = '{"data": ' * 50_000
     assert nested.nodes(spark.createDataFrame([(1, deep)], "id long, body string"), "id", "body", root, "sectionId", "section", shapes).count() == 0
+
+
+def test_feature_tables(spark):
+    m = lambda rows: arrays._encoded(__import__("pandas").Series([rows]), __import__("pandas").Series(["float64"]))[0]
+    box, feature = m([[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]]), m([[0.5, 0.25], [1.0, 2.0]])
+    rows = [("7", "71", 1, "", feature), ("7", "71", 2, box, feature), ("7", "72", 3, box, feature), ("8", "x", 4, box, feature), ("8", "73", 5, "???", feature), ("9", "74", 6, None, None)]
+    df = spark.createDataFrame(rows, "listing_id string, photo_id string, pos int, boxes string, features string")
+    keys = spark.createDataFrame([(71,), (72,), (73,), (74,)], "photo_id long")
+    kv = features.key_values(df, keys, "pos")
+    assert [r.key for r in kv.collect()] == ["7-72"]  # the first copy of 71 has no boxes and hides the second
+    flat = features.per_box(features.decoded(features.keyed(df, keys, "pos"), 2), ["listing_id", "photo_id"]).orderBy("box").collect()
+    assert [(r.box, r.x1, r.y2, r.feature) for r in flat] == [(0, 1.0, 4.0, [0.5, 0.25]), (1, 5.0, 8.0, [1.0, 2.0])]
+    images = spark.createDataFrame([(7, 71, b"x"), (7, 72, b"")], "listing_id long, photo_id long, content binary")
+    found = features.build(images, lambda l, p, c: [(p, i, 0.9 - i / 10, 0.0, 0.0, 10.0, 10.0) for i in range(3)] if c else [], "image long, box int, confidence double, x1 double, y1 double, x2 double, y2 double", "image", 0.5, 0.3)
+    assert [(r.image, r.box) for r in found.collect()] == [(71, 0)]
+
+
+def test_highlights_and_directions(spark):
+    df = spark.createDataFrame([(["walk then stop"], [["walk next"]]), (None, None)], "i array<string>, p array<array<string>>")
+    tagger = lambda s: [(w, "VB") for w in s.split()]
+    got = phrases.highlights(df, "i", tagger, perturbations="p").collect()
+    assert [(r.highlights, r.perturbation_highlights) for r in got] == [([["walk", "stop"]], [[["walk"]]]), (None, None)]
+    assert [p.text for p in perturb.direction_segments("turn left , bear right", lambda s, a, b: True) if p.mode != "NONE"] == ["left", "right"]
