@@ -5,8 +5,10 @@ k = longer // per edits. Evaluation texts are cut into k + 1 segments; by the pi
 principle one of them stands unchanged in any training text within k edits, at a place
 that the edits before and after it allow. Segments and training substrings are joined on
 their hashes and each pair is verified by banded dynamic programming. A segment so common that
-it would pair many texts is cut once more: what stands beside it must match within the
-same k edits, so one of k + 1 segments of the rest is unchanged too.
+it would pair many texts is not paired: what stands beside it must match within the same
+k edits, so one of k + 1 segments of the rest is unchanged too, and the two together are
+the key; if that is still too common, the rest of the rest is cut, and so on until too
+few words are left to differ.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARK = regex.compile(r"\p{M}+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CACHE: dict[str, int] = {}
-#: A segment that would give more pairs than this is joined together with a second segment.
+#: A key that would give more pairs than this is joined together with a further segment.
 HOT_PAIRS = 100
 
 
@@ -121,48 +123,70 @@ def _key_rows(places):
     return run
 
 
-def rest_segments(n: int, k: int, at: int, size: int) -> list[tuple[int, int, int]]:
-    """(side, start, length) of k + 1 segments of what stands before (side 0) and after (side 1) a segment."""
-    left, right = at, n - at - size
-    before = round((k + 1) * left / (left + right)) if left + right else 0
-    before = max(min(before, k if right else k + 1), 1 if left else 0)
-    out = [(0, s, z) for s, z in segments(left, before - 1)] if before else []
-    return out + ([(1, at + size + s, z) for s, z in segments(right, k - before)] if before <= k else [])
+Block = tuple[int, int, int]
 
 
-def rest_places(m: int, n: int, k: int, at: int, size: int, p: int) -> list[tuple[int, int, int, int]]:
-    """(side, segment start, start in the training text, length) of where segments of the rest may stand, if the segment stands at p."""
-    moved, ends = p - at, m - n
+def gaps(n: int, m: int, blocks: list[Block]) -> list[tuple[int, int, int, int, int, int]]:
+    """What lies between matched blocks (start, length, start in the training text): start and end in either text, and the shifts of the blocks on both sides."""
+    out, at, p, shift = [], 0, 0, 0
+    for start, size, q in [*blocks, (n, 0, m)]:
+        out.append((at, start, p, q, shift, q - start))
+        at, p, shift = start + size, q + size, q - start
+    return out
+
+
+def rest_segments(n: int, k: int, blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """(gap, start, length) of k + 1 segments of the words outside the blocks, shared out by the lengths of the gaps; none if there are fewer words."""
+    spaces = [(a, b) for a, b, *_ in gaps(n, n, [(s, z, s) for s, z, _ in blocks])]
+    words = sum(b - a for a, b in spaces)
+    if words <= k:
+        return []
+    shares = [(k + 1) * (b - a) / words for a, b in spaces]
+    counts = [int(x) for x in shares]
+    for g in sorted(range(len(spaces)), key=lambda g: (counts[g] - shares[g], g)):
+        if sum(counts) <= k and counts[g] < spaces[g][1] - spaces[g][0]:
+            counts[g] += 1
+    return [(g, a + s, z) for g, ((a, _), c) in enumerate(zip(spaces, counts)) if c for s, z in segments(spaces[g][1] - a, c - 1)]
+
+
+def rest_places(m: int, n: int, k: int, blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """(start, start in the training text, length) of where those segments may stand, given where the blocks stand."""
+    between = gaps(n, m, blocks)
+    needed = [abs(after - before) for *_, before, after in between]
     out = []
-    for side, s, z in rest_segments(n, k, at, size):
+    for g, s, z in rest_segments(n, k, blocks):
+        _, _, low, high, before, after = between[g]
+        spare = k - sum(needed) + needed[g]
         for shift in range(-k, k + 1):
             q = s + shift
-            if side == 0:
-                fits = abs(shift) + abs(moved - shift) <= k and q >= 0 and q + z <= p
-            else:
-                fits = abs(shift - moved) + abs(ends - shift) <= k and q >= p + size and q + z <= m
-            if fits:
-                out.append((side, s, q, z))
+            if abs(shift - before) + abs(after - shift) <= spare and q >= low and q + z <= high:
+                out.append((s, q, z))
     return out
 
 
-def _second(probing: bool):
-    """Rows (tid, norm, key, place) to (tid, key) with the segment and a segment of the rest as the key."""
+def _deeper(probing: bool):
+    """Rows (tid, norm, key, place, blocks) to (tid, key, blocks) with one more segment in the key; ``blocks`` holds n, k and the matched blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tids, keys = [], []
-            for tid, norm, key, place in zip(*(batch.column(c).to_pylist() for c in ("tid", "norm", "key", "place"))):
+            tids, keys, made = [], [], []
+            for tid, norm, key, place, known in zip(*(batch.column(c).to_pylist() for c in ("tid", "norm", "key", "place", "blocks"))):
                 w = norm.split(" ")
-                place, p = divmod(place, 65536)
-                place, i = divmod(place, 65536)
-                n, k = divmod(place, 65536)
-                at, size = segments(n, k)[i]
-                spots = rest_places(len(w), n, k, at, size, p) if probing else [(side, s, s, z) for side, s, z in rest_segments(n, k, at, size)]
-                for side, s, q, z in spots:
+                if known:
+                    n, k, *flat = known
+                    blocks = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
+                else:
+                    place, p = divmod(place, 65536)
+                    place, i = divmod(place, 65536)
+                    n, k = divmod(place, 65536)
+                    at, size = segments(n, k)[i]
+                    blocks = [(at, size, p)]
+                spots = rest_places(len(w), n, k, blocks) if probing else [(s, s, z) for _, s, z in rest_segments(n, k, blocks)]
+                for s, q, z in spots:
                     tids.append(tid)
-                    keys.append(xxhash.xxh3_64_intdigest(f"{key} {side} {s} {' '.join(w[q : q + z])}") - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(keys, pa.int64())], names=["tid", "key"])
+                    keys.append(xxhash.xxh3_64_intdigest(f"{key} {s} {' '.join(w[q : q + z])}") - (1 << 63))
+                    made.append([n, k, *(x for b in sorted([*blocks, (s, z, q)]) for x in b)])
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(keys, pa.int64()), pa.array(made, pa.list_(pa.int32()))], names=["tid", "key", "blocks"])
 
     return run
 
@@ -221,6 +245,35 @@ def normalised(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("item"), "held", F.col(text).alias("text")).where("text is not null").mapInArrow(run, "item long, held boolean, norm string")
 
 
+def _candidates(texts: DataFrame, cut: DataFrame, probe: DataFrame, most_levels: int = 8) -> DataFrame:
+    """(tid_a, tid_b) with a key in common, repeats possible; keys that are too common get further segments first."""
+    norms, met = texts.select("tid", "norm"), None
+    none = F.lit(None).cast("array<int>")
+    cut, probe = cut.withColumn("blocks", none), probe.withColumn("blocks", none)
+    for level in range(most_levels):
+        cut = written(cut, "segments")
+        probe = written(probe.join(cut.groupBy("key").agg(F.count("*").alias("n_cut")), "key"), "probes")
+        heat = F.count("*") * F.first("n_cut") > HOT_PAIRS
+        if level:  # too few words outside the blocks: what they leave open are at most the allowed edits
+            n, k, blocks = F.col("blocks")[0], F.col("blocks")[1], F.slice("blocks", F.lit(3), F.size("blocks"))
+            matched = F.aggregate(F.transform(blocks, lambda x, i: F.when(i % 3 == 1, x).otherwise(0)), F.lit(0), lambda s, x: s + x)
+            heat = heat & (F.min(n - matched - k) > 0)
+        info = written(probe.groupBy("key").agg(heat.alias("hot")), "segment_pairs")
+        few, many = info.where("not hot").select("key"), info.where("hot").select("key")
+        pairs = cut.join(few, "key").select(F.col("tid").alias("tid_a"), "key").join(probe.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b").select("tid_a", "tid_b")
+        met = pairs if met is None else met.union(pairs)
+        if many.isEmpty():
+            return met
+        last = level + 1 == most_levels
+        hot = lambda rows: rows.join(many, "key").join(norms, "tid").select("tid", "norm", "key", F.col("place") if "place" in rows.columns else F.lit(None).cast("long").alias("place"), "blocks")
+        if last:
+            rest = cut.join(many, "key").select(F.col("tid").alias("tid_a"), "key").join(probe.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b")
+            return met.union(rest.select("tid_a", "tid_b"))
+        schema = "tid long, key long, blocks array<int>"
+        cut, probe = hot(cut).mapInArrow(_deeper(False), schema), hot(probe).mapInArrow(_deeper(True), schema)
+    return met
+
+
 def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo: str, train: str = "train", per: int = 5, least: int = 8) -> DataFrame:
     """Distinct (item_a, item_b, same_photo, near_text), item_a < item_b, exactly one of them in ``train``.
 
@@ -236,21 +289,7 @@ def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo:
     texts = written(items.groupBy("tid", "norm").agg(F.max("held").alias("in_eval"), (~F.min("held")).alias("in_train")), "texts")
     cut = texts.where("in_eval").select("tid", "norm").mapInArrow(_key_rows(lambda n: [(n, k, i, at, size) for k in eval_edits(n, per) for i, (at, size) in enumerate(segments(n, k))]), "tid long, key long, place long")
     probe = texts.where("in_train").select("tid", "norm").mapInArrow(_key_rows(lambda m: probes(m, per, least)), "tid long, key long, place long")
-    cut = written(cut, "segments")
-    of_eval = cut.groupBy("key").agg(F.count("*").alias("n_cut"))
-    probe = written(probe.join(of_eval, "key"), "probes")
-    pairs_of = probe.groupBy("key", "n_cut").agg(F.count("*").alias("n")).select("key", (F.col("n") * F.col("n_cut") > HOT_PAIRS).alias("hot"))
-    info = written(pairs_of, "segment_pairs")
-    few, many = info.where("not hot").select("key"), info.where("hot").select("key")
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.select(F.col("tid").alias("tid_a"), "key").join(right.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b").select("tid_a", "tid_b")
-
-    def refined(rows: DataFrame, probing: bool) -> DataFrame:
-        hot = rows.join(many, "key").join(texts.select("tid", "norm"), "tid")
-        return hot.select("tid", "norm", "key", "place").mapInArrow(_second(probing), "tid long, key long")
-
-    met = meet(cut.join(few, "key"), probe).union(meet(refined(cut, False), refined(probe, True))).distinct()
+    met = _candidates(texts, cut, probe).distinct()
     sides = met.join(texts.select(F.col("tid").alias("tid_a"), F.col("norm").alias("norm_a")), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), F.col("norm").alias("norm_b")), "tid_b")
     near = sides.mapInArrow(_verify(per), "tid_a long, tid_b long")
     same = texts.where("in_eval and in_train").select(F.col("tid").alias("tid_a"), F.col("tid").alias("tid_b"))
