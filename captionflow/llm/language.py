@@ -38,38 +38,50 @@ SWITCH_NATS, SURE_NATS = 3.0, 3.0
 #: Share of the background in each model.
 SMOOTHING = 2e-3
 
-_BREAK = re.compile("<br ?/?>|[\\r\\n]+| [/|–—] |[.!?…]+(?=[\\s<]|$)|[\u2600-\u27bf\U0001f300-\U0001faff]+")
+_BREAK = re.compile("<[bB][rR] ?/?>|[\\r\\n]+| [/|–—] |[.!?…]+(?=[\\s<]|$)|[\u2600-\u27bf\U0001f300-\U0001faff]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_TAG = re.compile(r"</?(?!br[ /]*>)[A-Za-z][^<>]*>", re.I)
 _ADDRESS = re.compile(r"\S*[@＠]\S*|https?:\S+|www\.\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text: parts between sentence ends, line breaks and separating signs."""
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, end of the words, end) of the sentences of a text: parts between sentence ends, line breaks and separating signs."""
     out, at = [], 0
     for m in _BREAK.finditer(text):
-        if m.end() > at:
-            out.append((at, m.end()))
-            at = m.end()
+        begin, end = m.span()
+        if begin > at:
+            out.append((at, begin, end))
+        at = end
     if at < len(text):
-        out.append((at, len(text)))
+        out.append((at, len(text), len(text)))
     return out
 
 
+def readable(text: str) -> str:
+    """The text with mail, street and web addresses and tags other than line breaks blanked, all other characters in their places."""
+    text = without_addresses(text)
+    if "@" in text or "://" in text or "www." in text:
+        text = _ADDRESS.sub(lambda m: " " * len(m[0]), text)
+    if "<" in text:
+        text = _TAG.sub(lambda m: " " * len(m[0]), text)
+    return text
+
+
 def sentence_words(part: str) -> list[str]:
-    """The words of a sentence in lower case, without tags, mail and web addresses.
+    """The words of a sentence in lower case.
 
     A capitalised word inside a sentence that isn't all capitals may be a name, which has
     no language; it is marked with NAME_MARK and weighs little.
     """
-    if "@" in part or "://" in part or "www." in part:
-        part = _ADDRESS.sub(" ", part)
-    if "<" in part:
-        part = _TAG.sub(" ", part)
     words = _WORD.findall(part)
-    if not words or part.isupper() or part.islower():
+    if not words:
+        return words
+    words[0] = words[0].lower()
+    if part.lstrip()[1:].islower():
+        return words
+    if part.isupper():
         return [w.lower() for w in words]
-    return [words[0].lower(), *[w if w.islower() else NAME_MARK + w.lower() for w in words[1:]]]
+    return [words[0], *[w if w.islower() else NAME_MARK + w.lower() for w in words[1:]]]
 
 
 def vocabulary(folder: str = TOKENIZERS, name: str = "piece_bpe_32k.model") -> dict[str, int]:
@@ -171,51 +183,57 @@ class Detector:
             i = known.get(w)
             if i is None:
                 i = known[w] = len(known)
-                if i >= len(self.rows):
+                while i >= len(self.rows):
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 self.rows[i] = self.models.score(w)
             out.append(i)
         return out
 
-    def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float, bool]]]:
-        """For each text (start, end, language, confidence, sure) of its sentences with words; an empty list where there are none."""
+    def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """(text number, start, end, language, confidence, sure) of all sentences with words, in order."""
         if len(self.known) > self.most:
             self.known.clear()
-        spans, owners, ids, offsets, firm = [], [], [], [], []
+        starts, stops, owners, ids, offsets, firm = [], [], [], [], [], []
         for row, text in enumerate(texts):
             if not text:
                 continue
-            text = without_addresses(text)
-            for a, b in sentences(text):
-                words = sentence_words(text[a:b])
+            text = readable(text)
+            for a, end, b in sentences(text):
+                words = sentence_words(text[a:end])
                 if words:
-                    spans.append((a, b))
+                    starts.append(a)
+                    stops.append(b)
                     owners.append(row)
                     offsets.append(len(ids))
-                    firm.append(sum(w[0] != NAME_MARK for w in words) >= LEAST_WORDS)
+                    firm.append(len(words) > LEAST_WORDS + 2 or sum(w[0] != NAME_MARK for w in words) >= LEAST_WORDS)
                     ids += self._ids(words)
-        out: list[list[tuple[int, int, int, float, bool]]] = [[] for _ in texts]
-        if not spans:
-            return out
+        owner = np.array(owners, dtype=np.int64)
+        if not len(owner):
+            return owner, owner, owner, owner, np.zeros(0), np.zeros(0, dtype=bool)
         sums = np.add.reduceat(self.rows[ids], offsets, axis=0).astype(float)
-        best = sums.argmax(1)
+        lang = sums.argmax(1)
         top2 = np.partition(sums, -2, axis=1)[:, -2:]
-        margin = top2[:, 1] - top2[:, 0]
-        soft = np.exp(sums - sums.max(1, keepdims=True))
-        soft = soft.max(1) / soft.sum(1)
-        start = 0
-        owner = np.array(owners)
+        sure = np.array(firm) & (top2[:, 1] - top2[:, 0] >= SURE_NATS)
+        soft = np.exp(sums - top2[:, 1:])
+        confidence = soft.max(1) / soft.sum(1)
         cuts = np.flatnonzero(np.diff(owner)) + 1
-        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)]):
-            langs = best[start:stop]
-            if (langs != langs[0]).any():
-                langs = _smooth(sums[start:stop])
-            for s, lang in zip(range(start, stop), langs.tolist()):
-                if lang == best[s]:
-                    out[owners[s]].append((*spans[s], lang, float(soft[s]), firm[s] and bool(margin[s] >= SURE_NATS)))
-                else:
-                    own = 1 / np.exp(np.minimum(sums[s] - sums[s, lang], 50)).sum()
-                    out[owners[s]].append((*spans[s], lang, float(own), False))
+        first = np.concatenate([[0], cuts])
+        mixed = np.flatnonzero(np.minimum.reduceat(lang, first) != np.maximum.reduceat(lang, first))
+        ends = np.append(cuts, len(owner))
+        for g in mixed:
+            part = slice(first[g], ends[g])
+            path = _smooth(sums[part])
+            changed = np.flatnonzero(path != lang[part]) + first[g]
+            lang[part] = path
+            sure[changed] = False
+            confidence[changed] = soft[changed, lang[changed]] / soft[changed].sum(1)
+        return owner, np.array(starts), np.array(stops), lang, confidence, sure
+
+    def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float, bool]]]:
+        """For each text (start, end, language, confidence, sure) of its sentences with words; an empty list where there are none."""
+        out: list[list[tuple[int, int, int, float, bool]]] = [[] for _ in texts]
+        for row, *found in zip(*(x.tolist() for x in self.arrays(texts))):
+            out[row].append(tuple(found))
         return out
 
 
@@ -254,13 +272,14 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     vocab = vocabulary(folder)
     counts = [Counter() for _ in LANGUAGES]
     for lang, comment in rows:
-        every = {w.lstrip(NAME_MARK) for a, b in sentences(comment) for w in sentence_words(comment[a:b])}
+        text = readable(comment)
+        every = {w.lstrip(NAME_MARK) for a, end, _ in sentences(text) for w in sentence_words(text[a:end])}
         counts[LANGUAGES.index(lang)].update(every)
     models = fit(counts, vocab)
     for _ in range(rounds - 1):
         counts = [Counter() for _ in LANGUAGES]
         for (_, comment), found in zip(rows, Detector(models).batch([c for _, c in rows])):
-            for lang, word in {(lang, w.lstrip(NAME_MARK)) for a, b, lang, _, sure in found if sure for w in sentence_words(comment[a:b])}:
+            for lang, word in {(lang, w.lstrip(NAME_MARK)) for a, b, lang, _, sure in found if sure for w in sentence_words(_BREAK.sub(" ", readable(comment)[a:b]))}:
                 counts[lang][word] += 1
         models = fit(counts, vocab)
     used = np.flatnonzero((models.table[:-1] != models.table[:-1].min(0)).any(1))
@@ -268,9 +287,6 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     return Models({names[p]: i for i, p in enumerate(used)}, np.vstack([models.table[used], models.table[-1:]]))
 
 
-SENTENCE = "id long, label string, start int, end int, lang string, confidence double, sure boolean"
-
-
 def detect(df: DataFrame, id_col: str, text: str, language: str, models: Models) -> DataFrame:
     """(id, label, has_words, parts) with parts the sentences: array of (start, end, lang, confidence, sure).
 
@@ -284,11 +300,10 @@ def detect(df: DataFrame, id_col: str, text: str, language: str, models: Models)
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 piece = batch.slice(at, 4000)
-                found = detector.batch(piece.column("text").to_pylist())
-                flat = [x for f in found for x in f]
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                cols = list(zip(*flat)) if flat else [(), (), (), (), ()]
-                values = pa.StructArray.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array([LANGUAGES[x] for x in cols[2]], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], fields=list(part))
+                owner, start, end, lang, confidence, sure = detector.arrays(piece.column("text").to_pylist())
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=piece.num_rows))]).astype(np.int32)
+                names = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(LANGUAGES)).cast(pa.string())
+                values = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), names, pa.array(confidence, pa.float64()), pa.array(sure, pa.bool_())], fields=list(part))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "label", "parts"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), label(F.col(language)).alias("label"), F.col(text).alias("text"))
