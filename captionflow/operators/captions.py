@@ -1,4 +1,4 @@
-"""Operators on caption tables: blanking repeats, grouping with conditions, key joins and row splits."""
+"""Operators on caption tables: blanking repeats, conditions on listings, key joins and row splits."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from captionflow.functions import text as T
 def blank_repeats(captions: DataFrame, order: str, listing: str = "listing_id", caption: str = "caption") -> DataFrame:
     """The second and later use of a caption within a listing becomes the empty text; no row is removed.
 
-    Equality is of the raw text, ``order`` says which use is first (ties: arbitrary but one
-    of them). Empty captions and null stay as they are. Grouping by listing and caption
-    keeps a hot listing spread over its captions.
+    Equality is of the raw text. ``order`` says which use is first; rows that share the
+    first place all keep their caption. Empty captions and null stay as they are. First
+    uses are pre-aggregated and joined back, so a caption that fills a hot listing is in
+    no single task.
     """
-    same = Window.partitionBy(listing, caption).orderBy(order)
-    again = (F.row_number().over(same) > 1) & ~T.is_empty(F.col(caption))
-    return captions.withColumn(caption, F.when(again, F.lit("")).otherwise(F.col(caption)))
+    filled = captions.where(~T.is_empty(F.col(caption)))
+    first = filled.groupBy(F.col(listing).alias("_l"), F.col(caption).alias("_c")).agg(F.min(order).alias("_first"))
+    joined = captions.join(first, F.col(listing).eqNullSafe(F.col("_l")) & (F.col(caption) == F.col("_c")), "left")
+    return joined.withColumn(caption, F.when(F.col("_first") < F.col(order), F.lit("")).otherwise(F.col(caption))).drop("_l", "_c", "_first")
 
 
 def fit_listings(captions: DataFrame, min_captions: int = 2, min_length: int = 4, captionless: bool = True, listing: str = "listing_id", caption: str = "caption") -> DataFrame:
@@ -36,11 +38,14 @@ def listing_items(captions: DataFrame, order: str) -> DataFrame:
     return captions.select("listing_id", "photo_id", T.caption_items(F.col("caption")).alias("instructions"), order)
 
 
-def listing_captions(captions: DataFrame, order: str) -> DataFrame:
-    """(listing_id, n_photos, captions): the captions of each listing in order, captionless ones left out."""
-    filled = F.when(~T.is_captionless(F.col("caption")), F.struct(F.col(order).alias("o"), F.col("caption").alias("c")))
-    grouped = captions.groupBy("listing_id").agg(F.count("*").alias("n_photos"), F.sort_array(F.collect_list(filled)).alias("cs"))
-    return grouped.select("listing_id", "n_photos", F.transform("cs", lambda x: x["c"]).alias("captions"))
+def listing_counts(captions: DataFrame) -> DataFrame:
+    """(listing_id, n_photos, n_captioned) of each listing."""
+    return captions.groupBy("listing_id").agg(F.count("*").alias("n_photos"), F.count_if(~T.is_captionless(F.col("caption"))).alias("n_captioned"))
+
+
+def value_lists(rows: DataFrame, key: str, value: str, span: int = 100_000) -> DataFrame:
+    """(key, part, values): the sorted values of each key, cut into parts by ranges of ``span`` of an integer value, so no list grows with the data."""
+    return rows.groupBy(key, F.floor(F.col(value) / span).alias("part")).agg(F.sort_array(F.collect_set(value)).alias("values"))
 
 
 def totals(captions: DataFrame) -> DataFrame:
@@ -97,9 +102,8 @@ def strided(numbered: DataFrame, n: int) -> DataFrame:
 
 def ranged(numbered: DataFrame, n: int, start: int = 0) -> DataFrame:
     """Adds ``part``: contiguous parts of ceil(rows / n) rows from row ``start`` on; rows before it are left out."""
-    total = numbered.sparkSession.createDataFrame([(numbered.count(),)], "_t long")
-    per = F.greatest(F.ceil((F.col("_t") - start) / n), F.lit(1))
-    return numbered.where(F.col("row_no") >= start).crossJoin(F.broadcast(total)).withColumn("part", F.floor((F.col("row_no") - start) / per)).drop("_t")
+    per = max(1, -(-(numbered.count() - start) // n))
+    return numbered.where(F.col("row_no") >= start).withColumn("part", F.floor((F.col("row_no") - start) / per))
 
 
 def tail_split(numbered: DataFrame, share: float = 0.05) -> DataFrame:

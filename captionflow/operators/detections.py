@@ -48,8 +48,8 @@ def room_votes(scores: DataFrame, hierarchy: DataFrame, keys: list[str]) -> Data
     rooms = hierarchy.groupBy("room").agg(F.min("pos").alias("room_pos"))
     known = scores.join(F.broadcast(hierarchy), "name").groupBy(*keys, "room").agg(F.sum("prob").alias("score"))
     best = known.join(F.broadcast(rooms), "room").groupBy(*keys).agg(F.max_by(F.struct("room", "score"), F.struct(F.col("score"), -F.col("room_pos"))).alias("b"))
-    first = hierarchy.orderBy("pos").select("room").limit(1).select(F.col("room").alias("_first"))
-    return scores.select(*keys).distinct().join(best, keys, "left").crossJoin(F.broadcast(first)).select(*keys, F.coalesce("b.room", "_first").alias("room"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    first = hierarchy.orderBy("pos").first()
+    return scores.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("b.room", F.lit(first["room"] if first else None)).alias("room"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 def indoor_votes(scores: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

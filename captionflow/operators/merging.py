@@ -7,8 +7,6 @@ until a listing has enough of them, is sequential; it sees group heads, not phot
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,50 +46,45 @@ def balanced(photos: DataFrame, min_captioned: int = 2, min_length: int = 4, see
     While too few groups hold a caption, one captioned photo leaves a group that holds
     several; while there are too few groups, one photo leaves a group of several. Choices
     follow a seeded hash, so they are the same on every run. A listing needs at most
-    ``min_captioned + min_length`` photos taken out, so the candidates are cut to that
-    many of each group by window rank before the sequential step: what a task gathers is
-    bounded by the groups that can still matter, however large the listing is.
+    ``min_captioned + min_length`` photos taken out. So only that many groups of several
+    photos, and that many photos of each, reach the sequential step, by window ranks: what
+    a task gathers is bounded by the limits, however large the listing is.
     """
     spare = min_captioned + min_length
-    key = F.sha1(F.concat_ws("|", F.lit(str(seed)), "photo_id"))
-    per_group = photos.groupBy("listing_id", "room_group", "chunk").agg(F.count("*").alias("n"), F.count_if("captioned").alias("c"))
-    need = per_group.groupBy("listing_id").agg(F.count("*").alias("groups"), F.count_if(F.col("c") > 0).alias("with_caption")).where((F.col("groups") < min_length) | (F.col("with_caption") < min_captioned)).select("listing_id")
-    line = Window.partitionBy("listing_id", "room_group", "chunk", "captioned").orderBy(key)
-    heads = photos.join(need, "listing_id", "left_semi").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= spare)
-    heads = heads.join(per_group, ["listing_id", "room_group", "chunk"])
+    group = ["listing_id", "room_group", "chunk"]
+    per_group = photos.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("captioned").alias("c"))
+    need = per_group.groupBy("listing_id").agg(F.count("*").alias("groups"), F.count_if(F.col("c") > 0).alias("with_caption")).where((F.col("groups") < min_length) | (F.col("with_caption") < min_captioned))
+    place = F.sha1(F.concat_ws("|", F.lit(str(seed)), "room_group", "chunk"))
+    rank = lambda many: F.row_number().over(Window.partitionBy("listing_id").orderBy(F.when(many, 0).otherwise(1), place, "room_group", "chunk"))
+    large = per_group.where("n > 1").join(need, "listing_id").withColumns({"rich_rank": rank(F.col("c") > 1), "rank": rank(F.lit(True))})
+    large = large.where((F.col("rich_rank") <= spare) | (F.col("rank") <= spare))
+    line = Window.partitionBy(*group, "captioned").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), "photo_id")), "photo_id")
+    heads = photos.select(*group, "photo_id", "captioned").join(large, group).withColumn("place", F.row_number().over(line)).where(F.col("place") <= spare)
 
     def take_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple, dict] = {}
-        for r in pdf.itertuples():
-            g = groups.setdefault((r.room_group, r.chunk), {"n": r.n, "c": r.c, "photos": []})
-            g["photos"].append((r.photo_id, bool(r.captioned)))
-        order = lambda x: hashlib.sha1(f"{seed}|{x}".encode()).hexdigest()
-        n_groups, n_captioned = len(groups), sum(g["c"] > 0 for g in groups.values())
+        found: dict[tuple, dict] = {}
+        for r in pdf.sort_values("place").itertuples():
+            g = found.setdefault((r.room_group, r.chunk), {"n": r.n, "c": r.c, "rank": r.rank, "rich_rank": r.rich_rank, True: [], False: []})
+            g[bool(r.captioned)].append(r.photo_id)
+        n_groups, n_captioned = int(pdf["groups"].iloc[0]), int(pdf["with_caption"].iloc[0])
         taken: list[int] = []
 
-        def move(g: dict, photo: tuple[int, bool]) -> None:
-            g["photos"].remove(photo)
-            g["n"], g["c"] = g["n"] - 1, g["c"] - photo[1]
-            taken.append(photo[0])
-
-        while n_captioned < min_captioned:
-            rich = sorted((k for k, g in groups.items() if g["c"] > 1 and any(p[1] for p in g["photos"])), key=order)
-            if not rich:
-                break
-            g = groups[rich[0]]
-            move(g, min((p for p in g["photos"] if p[1]), key=lambda p: order(p[0])))
-            n_captioned, n_groups = n_captioned + 1, n_groups + 1
-        while n_groups < min_length:
-            large = sorted((k for k, g in groups.items() if g["n"] > 1 and g["photos"]), key=order)
-            if not large:
-                break
-            g = groups[large[0]]
-            plain = [p for p in g["photos"] if not p[1] or g["c"] > 1] or g["photos"]
-            move(g, min(plain, key=lambda p: order(p[0])))
-            n_groups += 1
+        def move(g: dict, captioned: bool) -> None:
+            taken.append(g[captioned].pop(0))
+            g["n"], g["c"] = g["n"] - 1, g["c"] - captioned
+
+        for g in sorted(found.values(), key=lambda g: g["rich_rank"]):
+            while n_captioned < min_captioned and g["c"] > 1 and g[True]:
+                move(g, True)
+                n_captioned, n_groups = n_captioned + 1, n_groups + 1
+        for g in sorted(found.values(), key=lambda g: g["rank"]):
+            while n_groups < min_length and g["n"] > 1 and (g[False] or g[True]):
+                # a captioned photo only leaves if another one stays or no other photo is there
+                move(g, not g[False] or bool(g["c"] > 1 and g[True]))
+                n_groups += 1
         return pd.DataFrame({"_l": pdf["listing_id"].iloc[0], "_p": pd.Series(taken, dtype="int64")})
 
-    out = heads.select("listing_id", "room_group", "chunk", "photo_id", "captioned", "n", "c").groupBy("listing_id").applyInPandas(take_out, "_l long, _p long")
+    out = heads.groupBy("listing_id").applyInPandas(take_out, "_l long, _p long")
     return photos.join(out, (F.col("listing_id") == F.col("_l")) & (F.col("photo_id") == F.col("_p")), "left").withColumn("part", F.coalesce(F.col("_p"), F.lit(0))).drop("_l", "_p")
 
 

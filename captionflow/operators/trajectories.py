@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionflow.functions import text as T
+from captionflow.session import written
 
 
 def positives(photos: DataFrame, seed: int = 0, min_length: int = 4, max_length: int = 7, min_captioned: int = 2, max_captioned: int = 7) -> DataFrame:
@@ -35,17 +36,19 @@ def rotated(values: Column, by: Column) -> Column:
     return F.concat(F.slice(values, k + 1, n), F.slice(values, F.lit(1), k))
 
 
-def with_negatives(positive: DataFrame, n_negatives: int = 2) -> DataFrame:
+def with_negatives(positive: DataFrame, n_negatives: int = 2, per_slot: int = 1000) -> DataFrame:
     """Adds neg_captions, neg_images and neg_randoms with ``n_negatives`` sequences each.
 
     Permutations are rotations by 1, 2, ...; the other listing of a random negative is
-    found by hash order: listings are put into slots by hash, each takes the photos of
+    found by hash order: listings are put into slots of about ``per_slot`` by hash, each takes the photos of
     the listing that follows it in its slot (the slot's first after its last). A listing
     alone in its slot has no random negatives.
     """
+    positive = written(positive, "positives")
+    slots = max(1, positive.count() // per_slot)
     times = F.sequence(F.lit(1), F.lit(n_negatives))
     turned = positive.withColumns({"neg_images": F.transform(times, lambda k: rotated(F.col("photos"), k)), "neg_captions": F.transform(times, lambda k: rotated(F.col("captioned"), k))})
-    line = Window.partitionBy(F.pmod(F.xxhash64(F.lit("slot"), "listing_id"), F.lit(64))).orderBy(F.sha1(F.col("listing_id").cast("string")), "listing_id")
+    line = Window.partitionBy(F.pmod(F.xxhash64(F.lit("slot"), "listing_id"), F.lit(slots))).orderBy(F.sha1(F.col("listing_id").cast("string")), "listing_id")
     every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     others = [F.coalesce(F.lead("photos", k).over(line), F.when(F.count("*").over(every) > k, F.nth_value("photos", k).over(every))) for k in range(1, n_negatives + 1)]
     return turned.withColumn("neg_randoms", F.filter(F.array(*others), lambda x: x.isNotNull() & (x != F.col("photos"))))

@@ -66,11 +66,19 @@ def caption_dedup_blank(spark, d):
     return captions.blank_repeats(caption_rows(spark, d), "pos").select("listing_id", "photo_id", "url", "pos", "caption")
 
 
-@query(f"""WITH c AS ({_DEDUP}), f AS (SELECT listing_id AS l FROM c GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (WHERE NOT ({P2})) >= 2)
-SELECT listing_id, count(*) AS n_photos, coalesce(list(caption ORDER BY pos) FILTER (WHERE NOT ({P2})), []) AS captions FROM c JOIN f ON c.listing_id IS NOT DISTINCT FROM f.l GROUP BY 1""")
+_FIT = f"""c AS ({_DEDUP}), f AS (SELECT listing_id AS l, count(*) AS n_photos, count(*) FILTER (WHERE NOT ({P2})) AS n_captioned FROM c GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (WHERE NOT ({P2})) >= 2)"""
+
+
+@query(f"WITH {_FIT} SELECT listing_id, photo_id, pos, [CASE WHEN {P2} THEN '' ELSE caption END] AS instructions FROM c JOIN f ON c.listing_id IS NOT DISTINCT FROM f.l")
 def caption_listings(spark, d):
     blanked = captions.blank_repeats(caption_rows(spark, d), "pos")
-    return captions.listing_captions(captions.fit_listings(blanked), "pos")
+    return captions.listing_items(captions.fit_listings(blanked), "pos").select("listing_id", "photo_id", "pos", "instructions")
+
+
+@query(f"WITH {_FIT} SELECT l AS listing_id, n_photos, n_captioned FROM f")
+def caption_listing_counts(spark, d):
+    blanked = captions.blank_repeats(caption_rows(spark, d), "pos")
+    return captions.listing_counts(captions.fit_listings(blanked))
 
 
 @query(f"""WITH c AS (SELECT * FROM captions WHERE NOT ({P2})), f AS (SELECT listing_id AS l FROM c GROUP BY 1 HAVING count(*) >= 4)
@@ -191,11 +199,11 @@ def distinct_locations(spark, d):
     return both.select(T.location_slug(F.col("location")).alias("slug")).distinct()
 
 
-@query("SELECT n_name, list(c_custkey ORDER BY c_custkey) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(n_name, 'NATION_1') GROUP BY 1")
+@query("SELECT n_name, c_custkey // 100000 AS part, list(DISTINCT c_custkey ORDER BY c_custkey) AS \"values\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(n_name, 'NATION_1') GROUP BY ALL")
 def country_listing_lists(spark, d):
     n = crawl.in_country(table(spark, d, "nation"), "n_name", "NATION_1")
     joined = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.sort_array(F.collect_list("c_custkey")).alias("customers"))
+    return captions.value_lists(joined, "n_name", "c_custkey")
 
 
 @query("SELECT DISTINCT location, sha1(location) AS slug FROM images WHERE location IS NOT NULL")

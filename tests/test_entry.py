@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 def test_flagship_has_rows(spark):
     df = entry.entry(spark)
-    assert df.count() > 0 and df.columns == ["listing_id", "n_photos", "captions"]
+    assert df.count() > 0 and df.columns == ["listing_id", "photo_id", "pos", "instructions"]
 
 
 def test_sql_belongs_to_queries():
