@@ -66,18 +66,42 @@ KINDS = tuple(k for k, _ in _SIGNS)
 _MAY_BE = re.compile(r"[<>&`\\$\[\]{}*_~#|=]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^-+[ \t]*$", re.M)
 
 
-def _compiled() -> re.Pattern:
-    """The alternatives as one pattern; backward references are renamed, as groups are numbered over all."""
-    parts = []
-    for kind, pattern in _SIGNS:
-        mark = f"b_{kind}"
-        if r"\1" in pattern:
-            pattern = re.sub(r"\((?!\?)", f"(?P<{mark}>", pattern, count=1).replace(r"\1", f"(?P={mark})")
-        parts.append(f"(?P<{kind}>{pattern})")
-    return re.compile("|".join(parts), re.S | re.M)
-
-
-_SCAN = _compiled()
+#: With which signs a kind begins; kinds that begin a line are looked for at line starts only.
+_FIRST = {
+    "comment": "<", "autolink": "<", "tag": "<", "ref": "&", "code": "`", "display": "\\$", "inline": "\\", "dollars": "$", "template": "{", "wikilink": "[", "extlink": "[", "link": "![", "environment": "\\", "command": "\\",
+    "accent": "\\", "escape": "\\", "quotes": "'", "strong": "*_", "strike": "~", "emphasis": "*_", "sign": "<>&$%#~|*_={}[]",
+}
+_AT_LINE = ("fence", "wikitable", "wikiheading", "rule", "heading", "tablerow", "quote", "items", "item")
+_PATTERNS = {k: re.compile(p, re.S | re.M) for k, p in _SIGNS}
+_BY_SIGN = {c: [(k, _PATTERNS[k]) for k in KINDS if c in _FIRST.get(k, "")] for c in "<>&$%#~|*_={}[]`\\!'"}
+_LINE_KINDS = {c: [(k, _PATTERNS[k]) for k in KINDS if k in _AT_LINE] for c in "`{=-*_#|>:;+0123456789"}
+_PLACE = re.compile(r"^[ \t]*(?=[`{=*_#|>:;+\d-])|[<>&$%#~|*_={}\[\]`\\!]|''", re.M)
+
+
+def _signs(text: str) -> Iterator[tuple[str, re.Match]]:
+    """(kind, match) of the signs from left to right; at one place the kinds are tried in their order."""
+    at, n = 0, len(text)
+    while at < n:
+        place = _PLACE.search(text, at)
+        if place is None:
+            return
+        start = place.start()
+        got = None
+        # a line start is seen only where the search stands at it
+        if start == 0 or text[start - 1] == "\n":
+            first = place.end() if not place[0].strip() else start
+            kinds = _LINE_KINDS.get(text[first : first + 1], [])
+            own = _BY_SIGN.get(text[start], [])
+            order = sorted({k for k, _ in [*kinds, *own]}, key=KINDS.index)
+        else:
+            order = [k for k, _ in _BY_SIGN.get(text[start], [])]
+        for kind in order:
+            got = _PATTERNS[kind].match(text, start)
+            if got and got.end() > start:
+                yield kind, got
+                break
+            got = None
+        at = got.end() if got else start + 1
 
 
 class Node:
@@ -93,7 +117,7 @@ class Node:
 
 
 def nodes(text: str) -> list[Node]:
-    out = [Node(m.lastgroup if not m.lastgroup.startswith("b_") and m.lastgroup != "name" else next(k for k in KINDS if m[k] is not None), m) for m in _SCAN.finditer(text)]
+    out = [Node(kind, m) for kind, m in _signs(text)]
     kinds = [n.kind for n in out]
     for i, n in enumerate(out):
         n.features = _features(text, n, sum(kinds[j] == n.kind for j in (i - 1, i + 1) if 0 <= j < len(out)))
@@ -418,6 +442,23 @@ def _titled(before: str) -> str:
     return f"{head}{newline}\n# {line.strip()}\n"
 
 
+def _fields(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")
+    return df.select(F.col(id_col).cast("long").alias("id"), fields).select("id", "f.field", "f.text")
+
+
+def marked(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
+    """(id, field) of the texts in which the cut leaves any sign on the side of markup; repeated rows repeat."""
+    weights = train()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([bool(t) and bool(label(t, weights)) for t in batch.column("text").to_pylist()], pa.bool_())
+            yield batch.select(["id", "field"]).filter(keep)
+
+    return _fields(df, id_col, columns).where("text is not null").mapInArrow(run, "id long, field string")
+
+
 def cleaned(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
     """(id, field, has_markup, clean, blocks) for each row and text column.
 
@@ -435,6 +476,4 @@ def cleaned(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
                 names=["id", "field", "has_markup", "clean", "blocks"],
             )
 
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), fields).select("id", "f.field", "f.text")
-    return rows.mapInArrow(run, "id long, field string, has_markup boolean, clean string, blocks array<struct<kind: string, text: string>>")
+    return _fields(df, id_col, columns).mapInArrow(run, "id long, field string, has_markup boolean, clean string, blocks array<struct<kind: string, text: string>>")

@@ -19,7 +19,7 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = markup.cleaned(table(spark, d, "listings"), "listing_id", LISTING_TEXTS).where("has_markup and id is not null")
+    found = markup.marked(table(spark, d, "listings").where("listing_id is not null"), "listing_id", LISTING_TEXTS)
     return found.select(F.col("id").alias("listing_id"), "field").distinct()
 
 

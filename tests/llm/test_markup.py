@@ -85,5 +85,7 @@ def test_whole_table(spark):
     df = spark.createDataFrame(rows, "listing_id long, description string, neighborhood string, id string")
     got = markup.cleaned(df, "listing_id", ("description", "neighborhood")).collect()
     assert len(got) == 10 and {(r.id, r.field) for r in got if r.has_markup} == {(1, "description"), (None, "description"), (3, "description")}
+    flagged = {(r.id, r.field) for r in markup.marked(df, "listing_id", ("description", "neighborhood")).collect()}
+    assert flagged == {(r.id, r.field) for r in got if r.has_markup}
     assert [r.clean for r in got if r.id == 1 and r.field == "neighborhood"] == [None, None]
     assert markup.cleaned(df.limit(0), "listing_id", ("description",)).count() == 0
