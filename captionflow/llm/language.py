@@ -25,6 +25,8 @@ from captionflow.llm.tokens import TOKENIZERS
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "sv", "pl", "ru")
 #: Labelled rows for each language that the models are fitted on, about; the only sample taken.
 SAMPLE_ROWS = 2500
+#: Characters of a sample row that are used, so that the sample is bounded; only fitting is bounded, every text is scored whole.
+SAMPLE_CHARS = 20_000
 #: Longest piece in characters, and longest word that is segmented (longer ones are cut).
 MOST_PIECE, MOST_WORD = 12, 40
 #: A word weighs at most this many nats for or against a language, so that a name or typing error can't decide alone.
@@ -268,7 +270,7 @@ def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int
     sizes = {r["_l"]: r["count"] for r in labelled.groupBy("_l").count().collect()}
     shares = F.create_map(*[F.lit(x) for lang, n in (sizes or {"": 1}).items() for x in (lang, min(1.0, sample_rows / n))])
     chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col), 1) / float(1 << 63) < F.element_at(shares, F.col("_l")))
-    rows = chosen.select("_l", text).collect()
+    rows = chosen.select("_l", F.substring(text, 1, SAMPLE_CHARS)).collect()
     vocab = vocabulary(folder)
     counts = [Counter() for _ in LANGUAGES]
     for lang, comment in rows:

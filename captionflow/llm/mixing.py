@@ -42,11 +42,12 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 29) -> DataFrame:
     of whose sources has documents is empty. The document that the cut falls into is taken
     if its middle lies before the cut, so a source misses its part by half a document at most.
     """
-    docs = written(docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens"), "doc_tokens")
-    size = {r["source"]: (r["t"], r["n"]) for r in docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     wanted = [tuple(r) for r in targets.select("mix_name", "source", "target_share", "max_repeats").take(MOST_TARGETS + 1)]
     if len(wanted) > MOST_TARGETS:
         raise ValueError("too many targets")
+    docs = written(docs.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens"), "doc_tokens")
+    named = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    size = {r["source"]: (r["t"], r["n"]) for r in named.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     rows = []
     for (mix, source), (share, take) in budgets(wanted, {s: t for s, (t, _) in size.items()}).items():
         rows.append((mix, source, share, take, size[source][0], -int(-take // size[source][0])))
