@@ -84,6 +84,8 @@ def balanced(photos: DataFrame, min_captioned: int = 2, min_length: int = 4, see
                 n_groups += 1
         return pd.DataFrame({"_l": pdf["listing_id"].iloc[0], "_p": pd.Series(taken, dtype="int64")})
 
+    # a fixed number of partitions: few bytes, but much work in each
+    heads = heads.repartition(int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "listing_id")
     out = heads.groupBy("listing_id").applyInPandas(take_out, "_l long, _p long")
     return photos.join(out, (F.col("listing_id") == F.col("_l")) & (F.col("photo_id") == F.col("_p")), "left").withColumn("part", F.coalesce(F.col("_p"), F.lit(0))).drop("_l", "_p")
 

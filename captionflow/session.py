@@ -93,3 +93,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads rows by a key over all cores if the input comes in fewer than half as many partitions.
+
+    For steps whose work is far greater than their bytes: a small file is one partition.
+    Inputs of many files or row groups are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
