@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from captionflow.llm.pii import DIGIT_WORDS, without_addresses
 from captionflow.llm.tokens import TOKENIZERS
+from captionflow.session import spread
 
 #: Languages told apart (fixed by the test data).
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "sv", "pl", "ru")
@@ -309,7 +310,7 @@ def detect(df: DataFrame, id_col: str, text: str, language: str, models: Models)
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "label", "parts"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), label(F.col(language)).alias("label"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, label string, parts array<struct<start: int, end: int, lang: string, confidence: double, sure: boolean>>")
+    return spread(rows, "id").mapInArrow(run, "id long, label string, parts array<struct<start: int, end: int, lang: string, confidence: double, sure: boolean>>")
 
 
 def stands(parts: str = "parts") -> Column:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captionflow.session import spread
+
 # Element names of HTML.
 TAGS = frozenset("""a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup
 data dd del details dfn dialog div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img
@@ -444,7 +446,7 @@ def _titled(before: str) -> str:
 
 def _fields(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")
-    return df.select(F.col(id_col).cast("long").alias("id"), fields).select("id", "f.field", "f.text")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), *columns), "id").select("id", fields).select("id", "f.field", "f.text")
 
 
 def marked(df: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionflow.session import written
+from captionflow.session import spread, written
 
 #: A window with more classes than this is compared by whole spans, not class by class.
 MANY_CLASSES = 64
@@ -207,6 +207,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor
     before it (at most span - anchor) to ``span`` characters after its start.
     """
     source = docs.where(F.col(id_col).isNotNull() & (F.length(text) >= span)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    source = spread(source, "id")
     total = source.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     bits = sketch_bits(2 * total // (span - anchor))
     held = docs.sparkSession.sparkContext.broadcast(sketch(source, span, anchor, bits))

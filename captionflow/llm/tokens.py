@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captionflow.session import spread
+
 #: Folder of the public vocabulary files; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
 #: How the byte-level vocabulary cuts text before merging (fixed value of the public tokenizer).
@@ -43,4 +45,4 @@ def token_counts(df: DataFrame, id_col: str, text: str, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sizes, pa.int64())], names=[*kept, "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*kept).schema)
-    return chosen.mapInArrow(run, f"{fields}, n_tokens long")
+    return spread(chosen, "doc_id").mapInArrow(run, f"{fields}, n_tokens long")
