@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionflow.session import written
+
 MERGING_ROOMS = ("bedroom", "living_room", "bathroom", "kitchen")
 
 
@@ -50,6 +52,7 @@ def balanced(photos: DataFrame, min_captioned: int = 2, min_length: int = 4, see
     photos, and that many photos of each, reach the sequential step, by window ranks: what
     a task gathers is bounded by the limits, however large the listing is.
     """
+    photos = written(photos, "chunked")  # read four times below
     spare = min_captioned + min_length
     group = ["listing_id", "room_group", "chunk"]
     per_group = photos.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("captioned").alias("c"))
@@ -63,9 +66,10 @@ def balanced(photos: DataFrame, min_captioned: int = 2, min_length: int = 4, see
 
     def take_out(pdf: pd.DataFrame) -> pd.DataFrame:
         found: dict[tuple, dict] = {}
-        for r in pdf.sort_values("place").itertuples():
-            g = found.setdefault((r.room_group, r.chunk), {"n": r.n, "c": r.c, "rank": r.rank, "rich_rank": r.rich_rank, True: [], False: []})
-            g[bool(r.captioned)].append(r.photo_id)
+        cells = pdf.sort_values("place")[["room_group", "chunk", "n", "c", "rank", "rich_rank", "captioned", "photo_id"]]
+        for room, chunk, n, c, place, rich, captioned, photo in zip(*(cells[x].tolist() for x in cells.columns)):
+            g = found.setdefault((room, chunk), {"n": n, "c": c, "rank": place, "rich_rank": rich, True: [], False: []})
+            g[bool(captioned)].append(photo)
         n_groups, n_captioned = int(pdf["groups"].iloc[0]), int(pdf["with_caption"].iloc[0])
         taken: list[int] = []
 
