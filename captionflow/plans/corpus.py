@@ -484,7 +484,7 @@ def class_max(spark, d):
     return boxes.class_maximum(b, ["image"])
 
 
-@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS class, list_max(embedding[2:]) AS best FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS class, list_max(embedding[2:]) AS best FROM embeddings")
 def class_argmax(spark, d):
     return table(spark, d, "embeddings").select("vec_id", A.argmax(F.col("embedding")).alias("class"), A.best_class(F.col("embedding")).alias("best"))
 
