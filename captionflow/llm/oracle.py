@@ -15,6 +15,6 @@ SELECT DISTINCT doc_a, doc_b FROM y WHERE doc_a < doc_b""",
 several AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE s IN (SELECT s FROM several)),
 tot AS (SELECT doc_id, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN p IS NULL THEN 200 ELSE least(200, i - p) END) AS c FROM hit GROUP BY 1)
-SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(n, 0) AS n_passages, coalesce(c, 0) AS shared_chars, coalesce(c / length(d.text), 0.0) AS shared_share
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_passages, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c / length(d.text), 0.0) AS shared_share
 FROM documents d LEFT JOIN tot USING (doc_id) WHERE d.doc_id IS NOT NULL""",
 }
