@@ -62,6 +62,10 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     metres = geo.distance_m(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     close = F.abs(F.col("lat_a") - F.col("lat_b")) <= reach
     pairs = covers.join(home, "cell").where((F.col("id_a") < F.col("id_b")) & close).withColumn("metres", metres).where(F.col("metres") <= radius_m)
+    pairs = pairs.select("id_a", "id_b", "metres")
+    # a point has one home cell and a cover has each cell once, so only ids with several places repeat a pair
+    if points.groupBy("id").count().where("count > 1").isEmpty():
+        return pairs
     return pairs.groupBy("id_a", "id_b").agg(F.min("metres").alias("metres"))
 
 

@@ -324,3 +324,9 @@ def test_highlights_and_directions(spark):
     got = phrases.highlights(df, "i", tagger, perturbations="p").collect()
     assert [(r.highlights, r.perturbation_highlights) for r in got] == [([["walk", "stop"]], [[["walk"]]]), (None, None)]
     assert [p.text for p in perturb.direction_segments("turn left , bear right", lambda s, a, b: True) if p.mode != "NONE"] == ["left", "right"]
+
+
+def test_near_pairs_of_ids_with_several_places(spark):
+    rows = [(1, 10.0, 10.0), (1, 50.0, 50.0), (2, 10.0005, 10.0), (2, 50.0001, 50.0), (3, -10.0, 0.0)]
+    got = spatial.near_pairs(spark.createDataFrame(rows, "id long, lat double, lng double"), 150.0).collect()
+    assert [(r.id_a, r.id_b) for r in got] == [(1, 2)] and got[0].metres < 12
