@@ -46,10 +46,10 @@ def members(value: object) -> list:
 
 
 def walk(node: dict, shape: dict, path: str, label: tuple[int, ...], out: list) -> None:
-    """Appends (path, label, object) for the nodes below ``node`` that ``shape`` names, parents first."""
+    """Appends (path, label, object, names below it) for the nodes below ``node`` that ``shape`` names, parents first."""
     for field, below in shape.items():
         for place, child in members(node.get(field)):
-            out.append((f"{path}/{field}", (*label, place), child))
+            out.append((f"{path}/{field}", (*label, place), child, below))
             walk(child, below, f"{path}/{field}", (*label, place), out)
 
 
@@ -59,7 +59,8 @@ def nodes(df: DataFrame, key: str, body: str, root: tuple[str, ...], section_id:
     ``root`` leads to the array of sections, ``shapes`` maps a section id to the nested
     names of the arrays to take. The first place of ``dewey`` is the section's place in
     that array, each further place that of an object in its array, all from 0.
-    ``fields`` holds the object's other scalars as JSON. Rows with a null key or a body that
+    ``fields`` holds all else of the object as JSON: everything but a title that is text and
+    the members that are nodes of their own. Rows with a null key or a body that
     is null, cut off or without the root array give nothing; other sections are passed over.
     """
 
@@ -77,9 +78,9 @@ def nodes(df: DataFrame, key: str, body: str, root: tuple[str, ...], section_id:
                     shape = shapes.get(sid) if isinstance(sid, str) else None
                     if shape and isinstance(holder.get(section), dict):
                         walk(holder[section], shape, sid, (place,), found)
-                for path, label, node in found:
+                for path, label, node, below in found:
                     title = node.get("title")
-                    rest = {a: b for a, b in node.items() if a != "title" and not isinstance(b, dict | list)}
+                    rest = {a: b for a, b in node.items() if not (isinstance(b, str) if a == "title" else a in below and isinstance(b, dict | list | str))}
                     for column, cell in zip(rows, (k, path, label, title if isinstance(title, str) else None, json.dumps(rest, ensure_ascii=False) if rest else None)):
                         column.append(cell)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
@@ -95,3 +96,45 @@ def table_of(all_nodes: DataFrame, path: str) -> DataFrame:
     """The flat table of one schema path: node_key, parent_key (the label without its last place), ordinals, title, fields."""
     label = F.col("dewey")
     return all_nodes.where(F.col("path") == path).select(dewey_key(F.col("key"), label).alias("node_key"), dewey_key(F.col("key"), F.slice(label, F.lit(1), F.size(label) - 1)).alias("parent_key"), F.col("key"), label.alias("dewey"), "title", "fields")
+
+
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
+
+
+def typed(value: object, kind: str) -> object:
+    """The value of a column of that type, None if it is of any other. A whole number may be written as text."""
+    if kind == "long":
+        if isinstance(value, str) and value.isascii() and value.isdigit() and len(value) < 19:
+            return int(value)
+        return value if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63 else None
+    return value if isinstance(value, {"string": str, "boolean": bool}[kind]) else None
+
+
+def columns_of(flat: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(node_key, parent_key, key, title, the named columns, rest) of a ``table_of``.
+
+    ``fields`` maps a column to the name of its field and its type: string, boolean or long.
+    ``rest`` is the JSON of all fields that no column holds: others, and those of another
+    type than their column's. A field that is null is null in its column and not in the rest.
+    """
+    names = ["node_key", "parent_key", "key", "title"]
+    schema = pa.schema([("node_key", pa.string()), ("parent_key", pa.string()), ("key", pa.int64()), ("title", pa.string()), *((c, _ARROW[t]) for c, (_, t) in fields.items()), ("rest", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells: list[list] = [[] for _ in fields]
+            rests: list[str | None] = []
+            for text in batch.column("fields").to_pylist():
+                held = json.loads(text) if text else {}
+                for column, (name, kind) in zip(cells, fields.values()):
+                    column.append(typed(held.get(name), kind))
+                    if column[-1] is not None or held.get(name, 0) is None:
+                        del held[name]
+                if held.get("title", 0) is None:
+                    del held["title"]
+                rests.append(json.dumps(held, ensure_ascii=False, separators=(",", ":")) if held else None)
+            made = [pa.array(c, _ARROW[t]) for c, (_, t) in zip(cells, fields.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).cast(schema.field(n).type) for n in names], *made, pa.array(rests, pa.string())], schema=schema)
+
+    ddl = ", ".join(["node_key string, parent_key string, key long, title string", *(f"{c} {t}" for c, (_, t) in fields.items()), "rest string"])
+    return flat.select(*names, "fields").mapInArrow(run, ddl)

@@ -21,6 +21,15 @@ PAGE_TABLES = {
     "room": "SLEEPING_ARRANGEMENT_DEFAULT/arrangementDetails",
     "bed": "SLEEPING_ARRANGEMENT_DEFAULT/arrangementDetails/beds",
 }
+#: The columns of each full table: the field that each holds, and its type.
+PAGE_FIELDS = {
+    "group": {"typename": ("__typename", "string")},
+    "amenity": {"subtitle": ("subtitle", "string"), "available": ("available", "boolean")},
+    "option": {},
+    "room": {"subtitle": ("subtitle", "string")},
+    "bed": {"kind": ("kind", "string"), "count": ("count", "long")},
+}
+PLURALS = {"group": "groups", "amenity": "amenities", "option": "options", "room": "rooms", "bed": "beds"}
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +69,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(kind: str):
-    """One flat table: key, parent key and title; ``nested.table_of`` also has the other scalar fields."""
+    """The keys and titles of one flat table; ``p7_full`` has all of its fields."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         return nested.table_of(page_nodes(spark, d), PAGE_TABLES[kind]).select("node_key", "parent_key", F.col("key").alias("page_id"), "title")
@@ -68,7 +77,17 @@ def p7_table(kind: str):
     return query
 
 
+def p7_full(kind: str):
+    """One flat table whole: key, parent key, title, a typed column for each known field, and all else as JSON in ``rest``."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.columns_of(nested.table_of(page_nodes(spark, d), PAGE_TABLES[kind]), PAGE_FIELDS[kind]).withColumnRenamed("key", "page_id")
+
+    return query
+
+
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_found": p7_found} | {f"p7_{k}s" if k != "amenity" else "p7_amenities": p7_table(k) for k in PAGE_TABLES}
+QUERIES |= {f"p7_full_{PLURALS[k]}": p7_full(k) for k in PAGE_TABLES}
 
 _POINTS = """pts AS (SELECT DISTINCT listing_id AS id, lat, lng FROM listings
   WHERE listing_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng)
@@ -134,3 +153,25 @@ b AS ({_members("(SELECT * FROM r WHERE json_type(node) = 'OBJECT')", "node->'be
 _TITLE = "CASE WHEN json_type(node) = 'VARCHAR' THEN node->>'$' WHEN json_type(node->'title') = 'VARCHAR' THEN node->>'title' END AS title"
 for _name, _from, _label in (("groups", "g", "section_no, pos1"), ("amenities", "a", "section_no, pos1, pos2"), ("options", "o", "section_no, pos1, pos2, pos3"), ("rooms", "r", "section_no, pos1"), ("beds", "b", "section_no, pos1, pos2")):
     ORACLE[f"p7_{_name}"] = f"{_TABLES} SELECT concat_ws('.', page_id, {_label}) AS node_key, concat_ws('.', page_id, {_label.rpartition(', ')[0]}) AS parent_key, page_id, {_TITLE} FROM {_from}"
+
+
+def _column(name: str, field: str, kind: str) -> tuple[str, str]:
+    """SQL of a typed column, and the condition that it, or a null, holds the whole field."""
+    at, of = f"node->'{field}'", f"json_type(node->'{field}')"
+    fits = {"string": f"{of} = 'VARCHAR'", "boolean": f"{of} = 'BOOLEAN'", "long": f"({of} IN ('BIGINT', 'UBIGINT') AND TRY_CAST({at} AS BIGINT) IS NOT NULL OR {of} = 'VARCHAR' AND regexp_full_match(node->>'{field}', '[0-9]{{1,18}}'))"}[kind]
+    value = {"string": f"node->>'{field}'", "boolean": f"({at})::BOOLEAN", "long": f"(node->>'{field}')::BIGINT"}[kind]
+    return f"CASE WHEN {fits} THEN {value} END AS {name}", f"({fits} OR {of} = 'NULL')"
+
+
+def _full(kind: str, src: str, label: str) -> str:
+    made = [(field, *_column(name, field, t)) for name, (field, t) in PAGE_FIELDS[kind].items()]
+    below = {"group": ["amenities"], "amenity": ["options"], "room": ["beds"]}.get(kind, [])
+    gone = [("title", "json_type(node->'title') IN ('VARCHAR', 'NULL')"), *((f, fits) for f, _, fits in made), *((f, f"json_type(node->'{f}') IN ('ARRAY', 'OBJECT', 'VARCHAR')") for f in below)]
+    kept = "list_filter(json_keys(node), lambda k: NOT (" + " OR ".join(f"(k = '{f}' AND {fits})" for f, fits in gone) + "))"
+    rest = f"""CASE WHEN json_type(node) = 'OBJECT' AND len({kept}) > 0 THEN '{{' || array_to_string(list_transform({kept}, lambda k: to_json(k)::VARCHAR || ':' || (node->k)::VARCHAR), ',') || '}}' END AS rest"""
+    cut = label.rpartition(", ")[0]
+    return f"{_TABLES} SELECT concat_ws('.', page_id, {label}) AS node_key, concat_ws('.', page_id, {cut}) AS parent_key, page_id, {_TITLE}, {''.join(sql + ', ' for _, sql, _ in made)}{rest} FROM {src}"
+
+
+for _kind, _from, _label in (("group", "g", "section_no, pos1"), ("amenity", "a", "section_no, pos1, pos2"), ("option", "o", "section_no, pos1, pos2, pos3"), ("room", "r", "section_no, pos1"), ("bed", "b", "section_no, pos1, pos2")):
+    ORACLE[f"p7_full_{PLURALS[_kind]}"] = _full(_kind, _from, _label)

@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from captionflow.functions import arrays
 from captionflow.operators import audit, boxes, captions, crawl, detections, documents, features, merging, nested, perturb, phrases, running, spatial, trajectories
+from captionflow.plans import records
 
 CAPTIONS = "listing_id long, photo_id long, url string, caption string, pos long"
 
@@ -330,3 +332,20 @@ def test_near_pairs_of_ids_with_several_places(spark):
     rows = [(1, 10.0, 10.0), (1, 50.0, 50.0), (2, 10.0005, 10.0), (2, 50.0001, 50.0), (3, -10.0, 0.0)]
     got = spatial.near_pairs(spark.createDataFrame(rows, "id long, lat double, lng double"), 150.0).collect()
     assert [(r.id_a, r.id_b) for r in got] == [(1, 2)] and got[0].metres < 12
+
+
+def test_flat_tables_hold_every_field(spark, tmp_path):
+    bed = [{"kind": "cot", "count": 3}, {"kind": "cot", "count": "2"}, {"kind": None, "count": "two", "size": {"cm": [90, 200]}}, {"title": 5, "kind": 1, "count": 2.5}, "bare"]
+    amenity = [{"title": "Dryer", "subtitle": "In the hallway", "available": True, "options": 7}, {"title": "Iron", "available": "yes", "options": [{"title": "x", "extra": 1}]}]
+    body = {"data": {"merlin": {"pdpSections": [{"sectionId": "SLEEPING_ARRANGEMENT_DEFAULT", "section": {"arrangementDetails": [{"title": "r", "subtitle": "s", "beds": bed}]}}, {"sectionId": "AMENITIES_DEFAULT", "section": {"seeAllAmenitiesGroups": [{"title": "g", "__typename": "T", "amenities": amenity}]}}]}}}
+    spark.createDataFrame([(1, json.dumps(body))], "page_id long, body string").write.parquet(f"{tmp_path}/room_pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW room_pages AS SELECT * FROM '{tmp_path}/room_pages.parquet/*.parquet'")
+    got = {}
+    for name in ("groups", "amenities", "options", "rooms", "beds"):
+        df = records.QUERIES[f"p7_full_{name}"](spark, str(tmp_path))
+        got[name] = sorted(map(tuple, df.collect()), key=str)
+        assert got[name] == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({records.ORACLE[f'p7_full_{name}']})").fetchall(), key=str)
+    assert [r[3:] for r in got["beds"]] == [(None, "cot", 3, None), (None, "cot", 2, None), (None, None, None, '{"count":"two","size":{"cm":[90,200]}}'), (None, None, None, '{"title":5,"kind":1,"count":2.5}'), ("bare", None, None, None)]
+    assert [r[3:] for r in got["amenities"]] == [("Dryer", "In the hallway", True, '{"options":7}'), ("Iron", None, None, '{"available":"yes"}')]
+    assert got["groups"][0][3:] == ("g", "T", None) and got["rooms"][0][3:] == ("r", "s", None) and got["options"][0][3:] == ("x", '{"extra":1}')
