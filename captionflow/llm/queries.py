@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES)
+    return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES, none_rows=True)
 
 
 def _caption_pairs(spark: SparkSession, d: str) -> DataFrame:

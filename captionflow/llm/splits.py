@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from captionflow.operators.running import hash_order, running_total
 from captionflow.session import written
 
+#: Rows with neither entity nor link are dealt out in so many slots.
+NONE_SLOTS = 1 << 14
+
 
 def star_links(df: DataFrame, entity: str, link: str) -> DataFrame:
     """Edges (a, b) that join all entities sharing a link value, one star for each value.
@@ -69,14 +72,25 @@ def linked_groups(df: DataFrame, entity: str, link: str) -> DataFrame:
     return components(star_links(df, entity, link)).select(F.col("v").alias(entity), F.col("component").alias("group_id"))
 
 
-def split_units(df: DataFrame, entity: str, link: str, shares: dict[str, float], seed: int = 17) -> DataFrame:
+def slotted(df: DataFrame, entity: str, link: str, seed: int = 17) -> DataFrame:
+    """The rows with neither an entity nor a link above 0, each with its ``slot``, a hash of the row and its place in ``df``.
+
+    Such rows are interchangeable. Equal ones get different slots, so they are dealt out
+    evenly too; a table stored in other files may deal them otherwise, in the same shares.
+    """
+    rows = df.withColumn("_at", F.monotonically_increasing_id()).where(F.col(entity).isNull() & ~F.coalesce(F.col(link) > 0, F.lit(False)))
+    return rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), *df.columns, "_at"), F.lit(NONE_SLOTS))).drop("_at")
+
+
+def split_units(df: DataFrame, entity: str, link: str, shares: dict[str, float], seed: int = 17, none_rows: bool = False) -> DataFrame:
     """One row for each unit that must stay whole: (kind, id, unit, n_rows, split).
 
     kind ``entity``: id is an entity and unit its component (itself where it has no
     link). kind ``link``: rows without an entity, held together by their link value;
     where an entity has the same link value, unit is that entity's component, so a photo
-    never lies in two splits. kind ``none``: rows with neither, which are interchangeable
-    and are dealt out by hash where they are used (their unit is null here, id is null).
+    never lies in two splits. kind ``none``, only with ``none_rows``: the rows with neither,
+    by their slots (``slotted``): id is the slot, unit is null. With them n_rows adds up
+    to all rows of ``df``, and the shares are taken of all rows.
 
     Units are placed in hash order along a line of all rows, and a unit goes to the split
     in whose stretch its middle falls. A unit larger than half of the smallest share
@@ -88,7 +102,11 @@ def split_units(df: DataFrame, entity: str, link: str, shares: dict[str, float],
     of_entity = counts.where("e is not null").groupBy("e").agg(F.sum("count").alias("n")).join(groups, "e", "left").select(F.lit("entity").alias("kind"), F.col("e").alias("id"), F.lit(0).alias("space"), F.coalesce("group_id", "e").alias("unit"), "n")
     owner = counts.where("e is not null and l is not null").groupBy("l").agg(F.min("e").alias("e")).join(groups, "e", "left").select("l", F.coalesce("group_id", "e").alias("u"))
     of_link = counts.where("e is null and l is not null").join(owner, "l", "left").select(F.lit("link").alias("kind"), F.col("l").alias("id"), F.when(F.col("u").isNull(), 1).otherwise(0).alias("space"), F.coalesce("u", "l").alias("unit"), F.col("count").alias("n"))
-    members = written(of_entity.unionByName(of_link), "members")
+    members = of_entity.unionByName(of_link)
+    if none_rows:
+        slots = slotted(df, entity, link, seed).groupBy("slot").agg(F.count("*").alias("n"))
+        members = members.unionByName(slots.select(F.lit("none").alias("kind"), F.col("slot").alias("id"), F.lit(2).alias("space"), F.col("slot").alias("unit"), "n"))
+    members = written(members, "members")
     units = members.groupBy("space", "unit").agg(F.sum("n").alias("n")).withColumn("h", hash_order("space", "unit", seed=seed))
     units = written(units, "units")
     size = units.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
@@ -101,4 +119,4 @@ def split_units(df: DataFrame, entity: str, link: str, shares: dict[str, float],
         split = F.when(middle <= total * edge, F.lit(name)).otherwise(split)
         edge -= share / scale
     placed = lined.select("space", "unit", split.alias("split"))
-    return members.join(placed, ["space", "unit"]).select("kind", "id", "unit", F.col("n").alias("n_rows"), "split")
+    return members.join(placed, ["space", "unit"]).select("kind", "id", F.when(F.col("space") < 2, F.col("unit")).alias("unit"), F.col("n").alias("n_rows"), "split")

@@ -52,3 +52,19 @@ def test_splits_keep_groups_and_shares(spark):
     assert abs(share["train"] - 0.8) < 0.1 and share["valid"] > 0.03 and share["test"] > 0.03
     assert total == sum(1 for p, l, _, _ in rows if l is not None or (p or 0) > 0)
     assert splits.split_units(df.limit(0), "listing_id", "photo_id", {"train": 0.8, "test": 0.2}).count() == 0
+
+
+def test_every_row_gets_a_split(spark, tmp_path):
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    rows = [(i, i % 900, 0, "x") for i in range(1, 2001)] + [(None, 1000, 0, "x")] * 1000 + [(0, None, 0, "x")] * 900 + [(None, None, i, "y") for i in range(600)] + [(9999, None, 0, "x")]
+    path = str(tmp_path / "images.parquet")
+    spark.createDataFrame(rows, IMAGES).write.parquet(path)
+    df = spark.read.parquet(path)
+    got = splits.split_units(df, "listing_id", "photo_id", shares, none_rows=True).collect()
+    assert sum(r.n_rows for r in got) == len(rows) and len({(r.kind, r.id) for r in got}) == len(got)
+    share = {s: sum(r.n_rows for r in got if r.split == s) / len(rows) for s in shares}
+    assert all(abs(share[s] - shares[s]) < 0.01 for s in shares)
+    none = {r.id: r for r in got if r.kind == "none"}
+    assert all(r.unit is None for r in none.values()) and {r.split for r in none.values()} == set(shares)
+    dealt = [r.slot for r in splits.slotted(df, "listing_id", "photo_id").collect()]
+    assert len(dealt) == 1500 and all(dealt.count(i) == r.n_rows for i, r in none.items())
