@@ -17,4 +17,10 @@ hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM
 tot AS (SELECT doc_id, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN p IS NULL THEN 200 ELSE least(200, i - p) END) AS c FROM hit GROUP BY 1)
 SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_passages, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c / length(d.text), 0.0) AS shared_share
 FROM documents d LEFT JOIN tot USING (doc_id) WHERE d.doc_id IS NOT NULL""",
+    "p10_passages": """WITH w AS (SELECT doc_id, i, substring(text, i::BIGINT, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+several AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE s IN (SELECT s FROM several)),
+run AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM hit),
+tot AS (SELECT doc_id, min(i) - 1 AS a, max(i) + 199 AS b FROM run GROUP BY doc_id, n)
+SELECT doc_id, a AS start, b AS "end", substring(text, a + 1, b - a) AS passage FROM tot JOIN documents USING (doc_id)""",
 }

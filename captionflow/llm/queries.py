@@ -98,8 +98,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(spans.occurrences(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.passages(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared": p10_shared}

@@ -317,14 +317,11 @@ def sharing_pairs(found: DataFrame, span: int = 200) -> DataFrame:
     return same.union(two.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
 
 
-def shared_parts(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor: int = 100) -> DataFrame:
-    """One row for each document: (doc_id, n_chars, n_passages, shared_chars, shared_share).
+def stretches(found: DataFrame, span: int) -> DataFrame:
+    """Distinct (doc_id, a, b): the places, from a up to before b, that lie in a run of ``span`` characters which another document holds too.
 
-    ``shared_chars`` counts the characters within some run of at least ``span`` characters
-    that another document holds too; n_passages the maximal stretches of them. Null and
-    short texts have none; an empty text has share 0.
+    They overlap; every such run lies in the stretches around the windows that it keeps.
     """
-    found = occurrences(docs, id_col, text, span, anchor)
     groups = classes(found)
     texts = class_texts(found, groups)
     pairs = class_pairs(texts, span)
@@ -338,9 +335,37 @@ def shared_parts(docs: DataFrame, id_col: str, text: str, span: int = 200, ancho
     full = groups.where("n_docs > 1").select("h", "c", F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
     reach = full.unionByName(partial)
     member = found.select("h", "c", "doc_id", "pos", "lead", (F.length("around") - F.col("lead")).alias("tail"))
-    stretches = member.join(reach, ["h", "c"]).select("doc_id", (F.col("pos") - F.coalesce("l", "lead")).alias("a"), (F.col("pos") + F.coalesce("r", "tail")).alias("b")).distinct()
+    return member.join(reach, ["h", "c"]).select("doc_id", (F.col("pos") - F.coalesce("l", "lead")).alias("a"), (F.col("pos") + F.coalesce("r", "tail")).alias("b")).distinct()
+
+
+def passages(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor: int = 100) -> DataFrame:
+    """(doc_id, start, end, passage): the maximal stretches of each document that ``shared_parts`` counts, with their text.
+
+    ``start`` is the place of the first character, from 0, ``end`` the place after the
+    last. Stretches that touch or overlap are one. Each text is joined once, to all
+    places of its document.
+    """
+    line = Window.partitionBy("doc_id").orderBy("a", "b")
+    places = stretches(occurrences(docs, id_col, text, span, anchor), span)
+    reached = places.withColumn("m", F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = reached.withColumn("n", F.sum((F.col("m").isNull() | (F.col("a") > F.col("m"))).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("doc_id", "n").agg(F.min("a").alias("start"), F.max("b").alias("end"))
+    held = merged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("p"))
+    texts = docs.where(F.col(id_col).isNotNull() & (F.length(text) >= span)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cut = F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring("text", p["start"] + 1, p["end"] - p["start"]).alias("passage")))
+    return texts.join(held, "doc_id").select("doc_id", F.inline(cut))
+
+
+def shared_parts(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor: int = 100) -> DataFrame:
+    """One row for each document: (doc_id, n_chars, n_passages, shared_chars, shared_share).
+
+    ``shared_chars`` counts the characters within some run of at least ``span`` characters
+    that another document holds too; n_passages the maximal stretches of them. Null and
+    short texts have none; an empty text has share 0.
+    """
+    places = stretches(occurrences(docs, id_col, text, span, anchor), span)
     line = Window.partitionBy("doc_id").orderBy("a", "b")
-    reached = stretches.withColumn("m", F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    reached = places.withColumn("m", F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = reached.withColumn("new", (F.col("m").isNull() | (F.col("a") > F.col("m"))).cast("int")).withColumn("gain", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("m", F.lit(0)))))
     total = fresh.groupBy("doc_id").agg(F.sum("new").alias("n_passages"), F.sum("gain").alias("shared_chars"))
     all_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))

@@ -74,3 +74,26 @@ def test_sketch_never_underestimates(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert spans.sharing_pairs(spans.occurrences(df, "doc_id", "text")).count() == 0 and spans.shared_parts(df, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("seed, many", [(1, 64), (2, 1)])
+def test_passages_are_the_maximal_shared_stretches(spark, monkeypatch, seed, many):
+    monkeypatch.setattr(spans, "MANY_CLASSES", many)
+    rows = corpus(seed)
+    where = {}
+    for i, t, *_ in rows:
+        for a in range(len(t or "") - 199):
+            where.setdefault(t[a : a + 200], set()).add(i)
+    want = []
+    for i, t, *_ in rows:
+        held = []
+        for a in range(len(t or "") - 199):
+            if len(where[t[a : a + 200]]) > 1:
+                if held and a <= held[-1][1]:
+                    held[-1][1] = a + 200
+                else:
+                    held.append([a, a + 200])
+        want += [(i, a, b, t[a:b]) for a, b in held]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, spans.passages(df, "doc_id", "text").collect())) == sorted(want)
+    assert spans.passages(df.limit(0), "doc_id", "text").count() == 0
