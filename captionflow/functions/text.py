@@ -145,7 +145,7 @@ def keep_outer_space(text: Column, inner: Column) -> Column:
 def without_stop_words(text: Column, stop_words: Column) -> Column:
     """The tokens that aren't stop words, each with the white space after it."""
     pieces = F.regexp_extract_all(text, F.lit(r"(?U)((?:\w+|[^\w\s])\s*)"), 1)
-    return F.array_join(F.filter(pieces, lambda p: ~F.array_contains(stop_words, F.lower(F.trim(p)))), "")
+    return F.array_join(F.filter(pieces, lambda p: ~F.array_contains(stop_words, F.lower(strip(p)))), "")
 
 
 def hash_rank_key(seed: int, *parts: Column) -> Column:

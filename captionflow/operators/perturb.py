@@ -1,325 +1,478 @@
-"""Perturbed instructions: segments of a sentence replaced, switched, masked or dropped.
+"""Perturbed instructions as column plans: phrases replaced, switched, masked or dropped.
 
-A perturbator is a callable from a sentence to its variants, in an order fixed by a
-seeded hash. Sentences run through it in Arrow batches; variants are cut to the limit
-before they are gathered.
+A sentence is brought to one blank between tokens, so no line feed is left in it, and a pattern cuts
+it at the phrases of its mode: every second part is a find. A find with replacements is a slot.
+Slots and replacements take the order of a seeded hash instead of a random one, so every engine makes
+the same variants. All of it is array expressions on the row itself: nothing is shuffled, nothing runs
+in Python, and only the variants asked for are built.
+
+Nulls: a null sentence or an empty one has no variants; a null array of instructions stays null.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
-import re
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captionflow.functions import text as T
 from captionflow.operators import phrases
 
-Variants = Callable[[str], Iterator[str]]
-
-# Words of one direction, and verbs before which a direction word is one.
-DIRECTIONS = (("left",), ("right",), ("upstairs", "up"), ("downstairs", "down"), ("forward", "straight"), ("inside",), ("outside",), ("around",))
-ACTION_VERBS = frozenset(("turn", "veer", "walk", "go", "exit", "move", "continue", "head", "stop", "enter"))
-# Parts of which location phrases are made.
+#: From a sentence and the greatest number wanted to an array of variants.
+Variants = Callable[[Column, int], Column]
+#: From a sentence of single blanks to its parts (text, options): ``options`` is null for text that stays.
+Cutter = Callable[[Column], Column]
+
+# Words of one direction, and verbs after which a direction word is one.
+DIRECTIONS = (
+    ("left",), ("right",), ("upstairs", "up"), ("downstairs", "down"), ("forward", "straight"), ("inside",), ("outside",),
+    ("around",),
+)
+ACTION_VERBS = ("turn", "veer", "walk", "go", "exit", "move", "continue", "head", "stop", "enter")
+# Parts of which location phrases are made, phrases of one word, and endings of a side.
 PLACES = ("left", "right", "bottom", "top", "front", "middle")
 PREPOSITIONS = ("into", "onto", "on", "in", "at", "to")
 ARTICLES = (" your", "", " the")
 FILLERS = ("", " side of", " of")
 EXTRA_PLACES = {"top": ("over", "above"), "bottom": ("underneath", "below"), "behind": ("behind",)}
 ENDINGS = ("most", "side")
+#: ``below`` replaces others but is not itself looked for.
+NOT_LOOKED_FOR = ("below",)
 # Words that a noun phrase of the mode must not contain.
 OBJECT_FORBIDDEN = ("turn", "room", "kitchen", "cellar", "hall", "office", "garage", "cabinet")
 ROOM_FORBIDDEN = ("turn",)
-STOP_WORDS = frozenset("""a about above after again all also am an and any are as at be because been before being below between both but by can did do
+# English stop words.
+STOP_WORDS = tuple("""a about above after again all also am an and any are as at be because been before being below between both but by can did do
 does down during each few for from further had has have he her here hers him his how i if in into is it its just me more most my no nor not now of
 off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too
 under until up very was we were what when where which while who why will with you your""".split())
+#: Words of a replacement vocabulary that are carried in the plan; more raise an error.
+MOST_WORDS = 100_000
 
 
-@dataclass(frozen=True)
-class Segment:
-    """A part of a sentence: text, place of its first and last character, mode and possible replacements."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    text: str
-    span: tuple[int, int]
-    mode: str = "NONE"
-    cand: tuple[str, ...] = ()
-
-
-def tiled(sentence: str, parts: Iterable[Segment]) -> list[Segment]:
-    """The parts in order with NONE segments between them, so that the texts make the sentence; overlapping parts give way to earlier ones."""
-    out, at = [], 0
-    for part in sorted(parts, key=lambda p: p.span):
-        start, end = part.span
-        if start < at:
-            continue
-        if start > at:
-            out.append(Segment(sentence[at:start], (at, start - 1)))
-        out.append(part)
-        at = end + 1
-    if at < len(sentence):
-        out.append(Segment(sentence[at:], (at, len(sentence) - 1)))
-    return out
 
+def listed(words: tuple[str, ...]) -> Column:
+    """An array of fixed texts as one literal."""
+    return F.split(F.lit("\n".join(words)), "\n") if words else F.array().cast("array<string>")
 
-def overlaid(proposals: list[Segment], segments: list[Segment]) -> list[Segment]:
-    """Segments whose NONE parts are divided by the proposals that lie wholly inside them."""
-    sentence = "".join(s.text for s in segments)
-    free = [s for s in segments if s.mode == "NONE"]
-    added = [p for p in proposals if p.mode != "NONE" and any(f.span[0] <= p.span[0] and p.span[1] <= f.span[1] for f in free)]
-    return tiled(sentence, [s for s in segments if s.mode != "NONE"] + added)
 
+def any_of(words: tuple[str, ...]) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
-def spaced(sentence: str) -> str:
-    return " ".join(re.findall(r"\w+|[^\w\s]", sentence.lower().rstrip()))
 
+# Cutters ----------------------------------------------------------------------------------------------
 
-def order(seed: int, *parts: object) -> str:
-    return hashlib.sha1("|".join(map(str, (seed, *parts))).encode()).hexdigest()
+def cut(text: Column, pattern: str) -> Column:
+    """Parts of a text without line feeds; those at odd places are what the pattern finds."""
+    return F.split(F.regexp_replace(text, pattern, "\n$0\n"), "\n")
 
 
-def edges_of(text: str) -> tuple[str, str]:
-    """The white-space sign at either end of a text, if there is one."""
-    return text[:1] if text[:1].isspace() else "", text[-1:] if text[-1:].isspace() else ""
+def cut_at(text: Column, spans: Column) -> Column:
+    """The same for finds of an outside parser: an ascending array of (start, end) without overlaps."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"].cast("int")))
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
+    found = F.transform(spans, lambda s, i: F.array(
+        piece(F.get(ends, i), s["start"].cast("int")), piece(s["start"].cast("int"), s["end"].cast("int")),
+    ))
+    rest = F.array(F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    return F.concat(F.flatten(found), rest)
 
 
-@dataclass
-class Perturbation:
-    """Replaces ``count`` segments at a time; ``segment`` says which and by what."""
+def offered(parts: Column, options: Callable[[Column, Column], Column]) -> Column:
+    """Parts with the replacements of the finds; ``options(find, number of the find)`` may be null."""
+    return F.transform(
+        parts,
+        lambda p, i: F.struct(
+            p.alias("text"), F.when(i % 2 == 1, options(p, ((i - 1) / 2).cast("int"))).alias("options")
+        ),
+    )
 
-    segment: Callable[[str], list[Segment]]
-    count: int = 1
-    seed: int = 0
 
-    def __call__(self, sentence: str) -> Iterator[str]:
-        """Segment choices take turns in hash order, each with its next replacement in hash order, without building all of them."""
-        text = spaced(sentence)
-        parts = self.segment(text)
-        free = [i for i, p in enumerate(parts) if p.mode != "NONE" and p.cand]
-        chosen = sorted(itertools.combinations(free, self.count), key=lambda c: order(self.seed, text, *c))
-        sources = [self._replacements(text, parts, c) for c in chosen]
-        while sources:
-            left = []
-            for source in sources:
-                got = next(source, None)
-                if got is not None:
-                    yield got
-                    left.append(source)
-            sources = left
+_DIRECTION_WORDS = tuple(w for group in DIRECTIONS for w in group)
+_DIRECTION = rf"(?<=(?:^| )(?:{any_of(ACTION_VERBS)}) )(?:{any_of(_DIRECTION_WORDS)})(?!\S)"
 
-    def _replacements(self, text: str, parts: list[Segment], chosen: tuple[int, ...]) -> Iterator[str]:
-        ranked = [sorted(parts[i].cand, key=lambda w, i=i: order(self.seed, text, i, w)) for i in chosen]
-        for words in itertools.product(*ranked):
-            swap = dict(zip(chosen, words))
-            yield "".join(swap.get(i, p.text) for i, p in enumerate(parts))
 
+def directions(hangs_on_verb: Callable[[Column], Column] | None = None) -> Cutter:
+    """Direction words right after an action verb, replaced by the words of all other directions.
+
+    ``hangs_on_verb(sentence)`` may give the places (from 0) of tokens whose parent in a dependency
+    tree is a verb (``phrases.verb_children``); direction words there count too.
+    """
+    def others() -> Column:
+        pairs = [(w, tuple(v for v in _DIRECTION_WORDS if v not in group)) for group in DIRECTIONS for w in group]
+        return F.create_map(*[x for w, rest in pairs for x in (F.lit(w), listed(rest))])
 
-@dataclass
-class Remain(Perturbation):
-    """Replaces all segments but ``clues``."""
+    def parts(text: Column) -> Column:
+        if hangs_on_verb is None:
+            return cut(text, _DIRECTION)
+        words = F.split(text, " ")
 
-    clues: int = 1
+        def marked(word: Column, i: Column) -> Column:
+            after = F.array_contains(listed(ACTION_VERBS), F.get(words, i - 1)) & (i > 0)
+            hit = F.array_contains(listed(_DIRECTION_WORDS), word)
+            hit = hit & (after | F.coalesce(F.array_contains(hangs_on_verb(text), i), F.lit(False)))
+            return F.when(hit, F.concat(F.lit("\n"), word, F.lit("\n"))).otherwise(word)
 
-    def __call__(self, sentence: str) -> Iterator[str]:
-        text = spaced(sentence)
-        parts = self.segment(text)
-        free = [i for i, p in enumerate(parts) if p.mode != "NONE" and p.cand]
-        if len(free) <= self.clues:
-            return
-        for chosen in sorted(itertools.combinations(free, len(free) - self.clues), key=lambda c: order(self.seed, text, *c)):
-            swap = {i: min(parts[i].cand, key=lambda w, i=i: order(self.seed, text, chosen, i, w)) for i in chosen}
-            yield "".join(swap.get(i, p.text) for i, p in enumerate(parts))
+        return F.split(F.array_join(F.transform(words, marked), " "), "\n")
 
+    return lambda text: offered(parts(text), lambda p, _: others()[p])
 
-@dataclass
-class Switch:
-    """Two segments change places, each keeping the white space around it; equal ones are passed over."""
 
-    segment: Callable[[str], list[Segment]]
-    seed: int = 0
+def location_phrases() -> dict[str, tuple[str, ...]]:
+    made = itertools.product(PREPOSITIONS, ARTICLES, FILLERS)
+    frames = [(a + b + " ", c) for a, b, c in made]
+    return {
+        place: EXTRA_PLACES.get(place, ()) + tuple(a + place + b for a, b in frames if place in PLACES)
+        for place in (*PLACES, "behind")
+    }
 
-    def __call__(self, sentence: str) -> Iterator[str]:
-        text = spaced(sentence)
-        parts = self.segment(text)
-        free = [i for i, p in enumerate(parts) if p.mode != "NONE"]
-        for a, b in sorted(itertools.combinations(free, 2), key=lambda c: order(self.seed, text, *c)):
-            one, two = parts[a].text, parts[b].text
-            if one.strip() == two.strip():
-                continue
-            swap = {a: edges_of(one)[0] + two.strip() + edges_of(one)[1], b: edges_of(two)[0] + one.strip() + edges_of(two)[1]}
-            yield "".join(swap.get(i, p.text) for i, p in enumerate(parts))
 
+_ALONE = tuple(w for ws in EXTRA_PLACES.values() for w in ws if w not in NOT_LOOKED_FOR)
+_LOCATION = (
+    rf"(?<!\S)(?:(?:{any_of(PREPOSITIONS)})(?: your| the)? (?:{any_of(PLACES)})(?: side of| of)?"
+    rf"|{any_of(_ALONE)}|(?:left|right)(?:{any_of(ENDINGS)}))(?!\S)"
+)
 
-def deaf(sentence: str) -> Iterator[str]:
-    yield ""
 
+def locations() -> Cutter:
+    """Location phrases and words like ``leftmost``, replaced by the phrases of all other places."""
+    groups = location_phrases()
+    others = {p: tuple(w for q, ws in groups.items() if q != p for w in ws) for p in groups}
+
+    def options(found: Column, _: Column) -> Column:
+        side = F.regexp_extract(found, rf"^(left|right)(?:{any_of(ENDINGS)})$", 1)
+        place = F.regexp_extract(found, rf" ({any_of(PLACES)})(?: |$)", 1)
+        out = F.when(side == "left", listed(tuple("right" + e for e in ENDINGS)))
+        out = out.when(side == "right", listed(tuple("left" + e for e in ENDINGS)))
+        for name, words in EXTRA_PLACES.items():
+            out = out.when(found.isin(*words), listed(others[name]))
+        for name in PLACES:
+            out = out.when(place == name, listed(others[name]))
+        return out
 
-def without_stop_words(sentence: str) -> Iterator[str]:
-    yield "".join(m[0] for m in re.finditer(r"(?:\w+|[^\w\s])\s*", sentence) if m[0].strip().lower() not in STOP_WORDS)
+    return lambda text: offered(cut(text, _LOCATION), options)
 
 
-def direction_segments(sentence: str, hangs_on_verb: Callable[[str, int, int], bool] | None = None) -> list[Segment]:
-    """Direction words right after an action verb; replaced by the words of all other directions.
+def noun_phrases(
+    replaced_by: Callable[[Column, Column, Column], Column],
+    forbidden: tuple[str, ...] = ROOM_FORBIDDEN,
+    low: int = 2,
+    high: int = 6,
+    spans: Callable[[Column], Column] | None = None,
+) -> Cutter:
+    """Noun phrases of ``low`` to ``high`` words without forbidden texts.
 
-    ``hangs_on_verb(sentence, start, end)`` may be a dependency parser's word on whether the
-    parent is a verb; without one only the rule of the word before is applied.
+    ``replaced_by(sentence, phrase, number of the phrase)`` gives the replacements. ``spans(sentence)``
+    may give the finds of a parser as (start, end); without it the phrases are ``phrases.PHRASE``.
     """
-    out = []
-    for m in re.finditer(r"(?<!\w)(?:" + "|".join(w for group in DIRECTIONS for w in group) + r")(?!\w)", sentence):
-        before = re.findall(r"\w+", sentence[: m.start()])
-        if before and before[-1] in ACTION_VERBS or hangs_on_verb is not None and hangs_on_verb(sentence, m.start(), m.end()):
-            others = tuple(w for group in DIRECTIONS if m[0] not in group for w in group)
-            out.append(Segment(m[0], (m.start(), m.end() - 1), "DIRECTION", others))
-    return tiled(sentence, out)
 
+    def options(text: Column) -> Callable[[Column, Column], Column]:
+        return lambda p, k: F.when(
+            F.size(F.split(p, " ")).between(low, high) & T.lacks_all(p, list(forbidden)), replaced_by(text, p, k)
+        )
 
-def location_phrases() -> dict[str, tuple[str, ...]]:
-    made = {p: tuple(f"{prep}{art} {p}{fill}" for prep, art, fill in itertools.product(PREPOSITIONS, ARTICLES, FILLERS)) for p in PLACES}
-    return {p: EXTRA_PLACES.get(p, ()) + made.get(p, ()) for p in (*PLACES, "behind")}
+    return lambda text: offered(cut(text, phrases.PHRASE) if spans is None else cut_at(text, spans(text)), options(text))
 
 
-def location_segments(sentence: str) -> list[Segment]:
-    """Location phrases and words like ``leftmost``; replaced by the phrases of all other places."""
-    groups = location_phrases()
-    sides = {p: tuple(p + e for e in ENDINGS) for p in ("left", "right")}
-    out = []
-    for table in (groups, sides):
-        words = sorted((w for ws in table.values() for w in ws), key=len, reverse=True)
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", sentence.lower()):
-            own = next(p for p, ws in table.items() if m[0] in ws)
-            out.append(Segment(sentence[m.start() : m.end()], (m.start(), m.end() - 1), "LOCATION", tuple(w for p, ws in table.items() if p != own for w in ws)))
-    return tiled(sentence, out)
-
-
-@dataclass(frozen=True)
-class NounPhrases:
-    """Segments of noun phrases by a parser (``sentence -> (start, end) spans``)."""
-
-    parser: Callable[[str], list[tuple[int, int]]] = phrases.chunk
-    forbidden: tuple[str, ...] = ("turn",)
-    low: int = 2
-    high: int = 6
-
-    def __call__(self, sentence: str) -> list[Segment]:
-        spans = [(a, b) for a, b in self.parser(sentence) if self.low <= len(sentence[a:b].split()) <= self.high and not any(w in sentence[a:b] for w in self.forbidden)]
-        return tiled(sentence, [Segment(sentence[a:b], (a, b - 1), "NP") for a, b in spans])
-
-
-@dataclass(frozen=True)
-class FromVocabulary:
-    """Noun phrases replaced by ``number`` words of a vocabulary, chosen by hash."""
-
-    base: Callable[[str], list[Segment]]
-    words: tuple[str, ...]
-    number: int = 10
-    seed: int = 0
-
-    def __call__(self, sentence: str) -> list[Segment]:
-        out = []
-        for i, s in enumerate(self.base(sentence)):
-            if s.mode != "NONE":
-                a, b = edges_of(s.text)
-                s = replace(s, cand=tuple(a + w.strip() + b for w in sorted(self.words, key=lambda w, i=i: order(self.seed, sentence, i, w))[: self.number]))
-            out.append(s)
-        return out
+def from_vocabulary(words: tuple[str, ...], number: int = 10, seed: int = 0) -> Callable[[Column, Column, Column], Column]:
+    """``number`` different places of a vocabulary for each phrase: a start and a stride given by hash."""
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"the vocabulary has {len(words)} words; at most {MOST_WORDS} are carried in a plan")
+    n = min(number, len(words))
+    if not n:
+        return lambda text, phrase, k: F.array().cast("array<string>")
+
+    def options(text: Column, phrase: Column, k: Column) -> Column:
+        mark = T.hash_rank_key(seed, text, k)
+        start = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long")
+        step = F.conv(F.substring(mark, 9, 8), 16, 10).cast("long") % max(1, len(words) // n) + 1
+        every = F.sequence(F.lit(0), F.lit(n - 1))
+        return F.transform(every, lambda j: F.get(listed(tuple(w.strip() for w in words)), ((start + j * step) % len(words)).cast("int")))
+
+    return options
+
+
+def by_category(categories: dict[str, str]) -> Callable[[Column, Column, Column], Column]:
+    """The first known word of the phrase replaced by the words of all other categories; null without one."""
+    if not categories:
+        return lambda text, phrase, k: F.lit(None).cast("array<string>")
+
+    def options(text: Column, phrase: Column, k: Column) -> Column:
+        known = F.arrays_zip(listed(tuple(categories)).alias("word"), listed(tuple(categories.values())).alias("kind"))
+        first = F.get(F.filter(known, lambda x: F.contains(phrase, x["word"])), F.lit(0))
+        return let(first, lambda f: F.transform(
+            F.filter(known, lambda x: x["kind"] != f["kind"]), lambda x: F.replace(phrase, f["word"], x["word"])
+        ))
+
+    return options
 
 
-@dataclass(frozen=True)
-class ByCategory:
-    """In noun phrases the first known word is replaced by the words of the other categories; phrases without one stay as they are."""
+def masked(cutter: Cutter) -> Cutter:
+    """The first replacement of each slot becomes a mask."""
+    return lambda text: F.transform(
+        cutter(text),
+        lambda p: F.struct(p["text"], F.transform(F.slice(p["options"], 1, 1), T.masked).alias("options")),
+    )
 
-    base: Callable[[str], list[Segment]]
-    categories: dict[str, str] = field(default_factory=dict)
 
-    def __call__(self, sentence: str) -> list[Segment]:
-        out = []
-        for s in self.base(sentence):
-            word = next((w for w in self.categories if w in s.text), None) if s.mode != "NONE" else None
-            if word is not None:
-                others = [w for w, c in self.categories.items() if c != self.categories[word]]
-                s = replace(s, cand=tuple(s.text.replace(word, w) for w in others))
-            out.append(s)
+def combined(*cutters: Cutter) -> Cutter:
+    """Slots of several cutters, the first ones first: later ones cut only the text that is left."""
+
+    def parts(text: Column) -> Column:
+        out = cutters[0](text)
+        for cutter in cutters[1:]:
+            out = F.flatten(F.transform(out, divided(cutter)))
         return out
 
+    def divided(cutter: Cutter) -> Callable[[Column], Column]:
+        return lambda p: F.when(p["options"].isNull(), cutter(p["text"])).otherwise(F.array(p))
 
-@dataclass(frozen=True)
-class Masked:
-    """The first replacement of each segment becomes a mask, with the signs next to it."""
+    return parts
 
-    base: Callable[[str], list[Segment]]
-    mask: str = "[MASK]"
 
-    def __call__(self, sentence: str) -> list[Segment]:
-        put = lambda t: re.sub(r"^(\W)*.*\w+(\W)*$", lambda m: (m[1] or "") + self.mask + (m[2] or ""), t)
-        return [replace(s, cand=(put(s.cand[0] if s.cand else s.text),)) if s.mode != "NONE" else s for s in self.base(sentence)]
+# Variants -------------------------------------------------------------------------------------------
 
+def _numbered(parts: Column) -> Column:
+    """Parts with the number of the slot at each slot's place."""
+    return F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p["text"], p["options"])), lambda p: p["options"].isNotNull())
 
-@dataclass(frozen=True)
-class Filled:
-    """Variants of masked sentences filled by a model: ``model(sentence with masks) -> iterator of sentences``."""
 
-    masked: Variants
-    model: Callable[[str], Iterator[str]]
+def slots(text: Column, parts: Column, seed: int) -> Column:
+    """Slots (h, at, text, options) in hash order; the number of a slot among all slots names it."""
+    return F.sort_array(F.transform(
+        F.filter(_numbered(parts), lambda p: F.size(p["options"]) > 0),
+        lambda p, k: F.struct(T.hash_rank_key(seed, text, k).alias("h"), k.alias("k"), p["at"], p["text"], p["options"]),
+    ))
 
-    def __call__(self, sentence: str) -> Iterator[str]:
-        for text in self.masked(sentence):
-            yield from self.model(text)
 
+def _combinations(n: Column, k: int, most: int) -> Column:
+    """The first ``most`` choices of ``k`` places below ``n``, by their greatest place, then the next.
 
-@dataclass(frozen=True)
-class Combined:
-    """Segments of several segmenters laid over each other, the first ones first."""
+    They lie within the first ``k + most - 1`` places, so no more are looked at.
+    """
+    empty = F.array().cast("array<array<int>>")
+    top = F.least(n, F.lit(k + most - 1)).cast("int")
+    places = F.sequence(F.lit(0), F.greatest(top - 1, F.lit(0)))
+    made = F.transform(places, lambda i: F.array(i))
+    for _ in range(k - 1):
+        made = F.flatten(F.transform(made, lambda c: F.transform(F.filter(places, lambda j: j < F.element_at(c, -1)), lambda j: F.concat(c, F.array(j)))))
+    return F.when(n >= k, F.slice(F.sort_array(made), 1, most)).otherwise(empty)
 
-    segmenters: tuple[Callable[[str], list[Segment]], ...]
 
-    def __call__(self, sentence: str) -> list[Segment]:
-        out: list[Segment] = tiled(sentence, [])
-        for segmenter in self.segmenters:
-            out = overlaid(segmenter(sentence), out)
-        return out
+def _rebuilt(parts: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text of the parts with ``put(place, text)`` where that isn't null."""
+    return F.array_join(F.transform(parts, lambda p, i: F.coalesce(put(i, p["text"]), p["text"])), "")
 
 
-def perturbator(mode: str, count: int = 1, clues: int = 1, mask: bool = False, model: Callable[[str], Iterator[str]] | None = None, remain: bool = False, objects: tuple[str, ...] = (), rooms: dict[str, str] | None = None, parser: Callable[[str], list[tuple[int, int]]] = phrases.chunk, seed: int = 0) -> Variants:
-    """The perturbator of a mode: direction, location, deaf, stop, object (with switch), room or swap; tested in this order as parts of the name."""
-    np_object = NounPhrases(parser, OBJECT_FORBIDDEN)
-    np_room = NounPhrases(parser, ROOM_FORBIDDEN)
-    if "deaf" in mode and "direction" not in mode and "location" not in mode:
-        return deaf
-    if "stop" in mode and "direction" not in mode and "location" not in mode:
-        return without_stop_words
-    if "switch" in mode:
-        return Switch(np_object if "object" in mode else np_room, seed)
-    if "direction" in mode:
-        segment: Callable[[str], list[Segment]] = direction_segments
-    elif "location" in mode:
-        segment = location_segments
-    elif "object" in mode:
-        segment = FromVocabulary(np_object, tuple(objects), seed=seed)
-    elif "room" in mode or "swap" in mode:
-        segment = ByCategory(np_room, rooms or {})
-    else:
-        raise ValueError(f"unknown mode {mode}")
-    if mask or model:
-        segment = Masked(segment)
-    made: Variants = Remain(segment, seed=seed, clues=clues) if remain else Perturbation(segment, count, seed)
-    return Filled(made, model) if model else made
+def _ranked(text: Column, slot: Column, seed: int, *more: Column) -> Column:
+    """The options of a slot in hash order."""
+    return F.transform(
+        F.sort_array(F.transform(slot["options"], lambda w: F.struct(T.hash_rank_key(seed, text, *more, slot["k"], w).alias("h"), w.alias("w")))),
+        lambda x: x["w"],
+    )
 
 
-def variants(rows: DataFrame, instructions: str, make: Variants, most: int = 10) -> DataFrame:
-    """Adds ``perturbations``: at most ``most`` variants of each instruction of the array; null for a null array."""
+def replaced(cutter: Cutter, count: int = 1, seed: int = 0) -> Variants:
+    """``count`` slots replaced at a time. Choices of slots take turns, each with its next replacements."""
+
+    def variants(sentence: Column, most: int) -> Column:
+        def of_slots(text: Column, parts: Column, found: Column) -> Column:
+            ranked = F.transform(F.slice(found, 1, count + most - 1), lambda s: F.struct(s["at"], F.slice(_ranked(text, s, seed), 1, most).alias("w")))
+            return let(ranked, lambda r: turns(parts, r, F.size(found)))
+
+        def turns(parts: Column, r: Column, n: Column) -> Column:
+            def rounds(choice: Column, rank: Column) -> Column:
+                product = F.lit(1)
+                for j in range(count):
+                    product = product * F.size(F.get(r, F.get(choice, F.lit(j)))["w"])
+                return F.transform(F.sequence(F.lit(0), F.least(product, F.lit(most)) - 1), lambda t: F.struct(t.alias("t"), rank.alias("rank"), choice.alias("c")))
+
+            def made(x: Column) -> Column:
+                def put(i: Column, _: Column) -> Column:
+                    out, left = F.lit(None).cast("string"), x["t"]
+                    for j in range(count):
+                        slot = F.get(r, F.get(x["c"], F.lit(j)))
+                        out = F.when(slot["at"] == i, F.get(slot["w"], (left % F.size(slot["w"])).cast("int"))).otherwise(out)
+                        left = F.floor(left / F.size(slot["w"]))
+                    return out
+
+                return _rebuilt(parts, put)
+
+            queue = F.flatten(F.transform(_combinations(n, count, most), rounds))
+            return F.transform(F.slice(F.sort_array(queue), 1, most), made)
+
+        return _with_slots(cutter, sentence, seed, of_slots)
+
+    return variants
+
+
+def remaining(cutter: Cutter, clues: int = 1, seed: int = 0) -> Variants:
+    """All slots replaced but ``clues``; none where there are no more slots than that."""
 
-    @F.pandas_udf("array<array<string>>")
-    def run(items: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [list(itertools.islice(make(s), most)) if s else [] for s in x] for x in items], dtype=object)
+    def variants(sentence: Column, most: int) -> Column:
+        def of_slots(text: Column, parts: Column, found: Column) -> Column:
+            def made(kept: Column) -> Column:
+                names = F.array_join(F.transform(kept, lambda i: F.get(found, i)["k"].cast("string")), ",")
+                pick = F.transform(
+                    F.filter(F.transform(found, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(kept, x["i"])),
+                    lambda x: F.struct(x["s"]["at"], F.get(_ranked(text, x["s"], seed, names), F.lit(0)).alias("w")),
+                )
+                return let(F.map_from_entries(pick), lambda m: _rebuilt(parts, lambda i, _: F.try_element_at(m, i)))
 
-    return rows.withColumn("perturbations", run(instructions))
+            choices = _combinations(F.size(found), clues, most)
+            return F.when(F.size(found) > clues, F.transform(choices, made)).otherwise(F.array().cast("array<string>"))
 
+        return _with_slots(cutter, sentence, seed, of_slots)
 
-def for_training(rows: DataFrame, make: Variants, most: int = 10, only_perturbed: bool = False, instructions: str = "instructions") -> DataFrame:
+    return variants
+
+
+def switched(cutter: Cutter, seed: int = 0) -> Variants:
+    """Two phrases change places; equal ones are passed over.
+
+    Of the phrases equal to the first one in hash order, and of all others, only the first ``most``
+    can be in the first ``most`` pairs (each has that many pairs before its own), so no more are paired.
+    """
+
+    def variants(sentence: Column, most: int) -> Column:
+        def of_slots(text: Column, parts: Column, found: Column) -> Column:
+            head = F.get(found, F.lit(0))["text"]
+            same = F.slice(F.filter(found, lambda s: s["text"] == head), 1, most)
+            rest = F.slice(F.filter(found, lambda s: s["text"] != head), 1, most)
+            return let(F.sort_array(F.concat(same, rest)), lambda few: pairs(parts, few))
+
+        def pairs(parts: Column, few: Column) -> Column:
+            def before(b: Column, j: Column) -> Column:
+                earlier = F.filter(few, lambda a, i: (i < j) & (a["text"] != b["text"]))
+                return F.transform(earlier, lambda a: F.struct(a.alias("a"), b.alias("b")))
+
+            def made(x: Column) -> Column:
+                put = lambda i, _: F.when(x["a"]["at"] == i, x["b"]["text"]).when(x["b"]["at"] == i, x["a"]["text"])
+                return _rebuilt(parts, put)
+
+            return F.transform(F.slice(F.flatten(F.transform(few, before)), 1, most), made)
+
+        return _with_slots(cutter, sentence, seed, of_slots)
+
+    return variants
+
+
+def _with_slots(cutter: Cutter, sentence: Column, seed: int, use: Callable[[Column, Column, Column], Column]) -> Column:
+    tidy = T.spaced(sentence)
+    return let(tidy, lambda text: let(cutter(text), lambda parts: let(slots(text, parts, seed), lambda found: use(text, parts, found))))
+
+
+def deaf(sentence: Column, most: int) -> Column:
+    """The empty text."""
+    return F.slice(F.array(F.lit("")), 1, most)
+
+
+def without_stop_words(sentence: Column, most: int) -> Column:
+    return F.slice(F.array(T.without_stop_words(sentence, listed(STOP_WORDS))), 1, most)
+
+
+def filled(make: Variants, model: Callable[[str], Iterator[str]], masks: int = 10) -> Variants:
+    """Masked variants filled by a model, ``model(sentence with masks) -> iterator of sentences``.
+
+    A model runs in Python by its nature: at most ``masks`` masked sentences a row go to it, in Arrow
+    batches, and it is asked for no more than the variants wanted.
+    """
+
+    def variants(sentence: Column, most: int) -> Column:
+        @F.pandas_udf("array<string>")
+        def fill(items: pd.Series) -> pd.Series:
+            runs = (itertools.chain.from_iterable(map(model, x)) for x in items)
+            return pd.Series([list(itertools.islice(run, most)) for run in runs], dtype=object)
+
+        return fill(F.coalesce(make(sentence, masks), F.array().cast("array<string>")))
+
+    variants.in_python = True
+    return variants
+
+
+def perturbator(
+    mode: str,
+    count: int = 1,
+    clues: int = 1,
+    mask: bool = False,
+    model: Callable[[str], Iterator[str]] | None = None,
+    objects: tuple[str, ...] = (),
+    rooms: dict[str, str] | None = None,
+    spans: Callable[[Column], Column] | None = None,
+    hangs_on_verb: Callable[[Column], Column] | None = None,
+    seed: int = 0,
+) -> Variants:
+    """The variants of a mode by its name.
+
+    The first of these found in the name decides: direction, location, deaf, stop, object (with
+    switch: two phrases change places), room, swap (a switch of any phrases), vilbert (masked phrases
+    filled by ``model``). With ``remain`` in the name all slots but ``clues`` are replaced. Several
+    modes joined by ``+`` are laid over each other, the first ones first.
+    """
+    as_object = lambda use: noun_phrases(use, OBJECT_FORBIDDEN, spans=spans)
+    as_room = lambda use: noun_phrases(use, ROOM_FORBIDDEN, spans=spans)
+    itself = lambda text, phrase, k: F.array(phrase)
+
+    def cutter_of(name: str) -> Cutter | Variants | None:
+        table = {
+            "direction": lambda: directions(hangs_on_verb),
+            "location": locations,
+            "deaf": lambda: deaf,
+            "stop": lambda: without_stop_words,
+            "object": lambda: switched(as_object(itself), seed) if "switch" in name else as_object(from_vocabulary(tuple(objects), seed=seed)),
+            "room": lambda: as_room(by_category(rooms or {})),
+            "swap": lambda: switched(as_room(itself), seed),
+            "vilbert": lambda: as_room(itself),
+        }
+        return next((make() for key, make in table.items() if key in name), None)
+
+    names = mode.split("+")
+    made = [cutter_of(name) for name in names]
+    if None in made:
+        raise ValueError(f"unknown mode {mode}")
+    if "vilbert" in mode and model is None:
+        raise ValueError("the mode vilbert needs a model")
+    whole = [name for name in names if any(w in name for w in ("deaf", "stop", "swap", "switch")) and not any(w in name for w in ("direction", "location"))]
+    if whole:
+        if len(names) > 1 or mask or model:
+            raise ValueError(f"{whole[0]} has no slots to combine, mask or fill")
+        return made[0]
+    cutter = combined(*made) if len(made) > 1 else made[0]
+    if mask or model:
+        if count != 1:
+            raise ValueError("one slot is masked at a time")
+        cutter = masked(cutter)
+    out = remaining(cutter, clues, seed) if "remain" in mode else replaced(cutter, count, seed)
+    return filled(out, model) if model else out
+
+
+# Drivers --------------------------------------------------------------------------------------------
+
+def variants(rows: DataFrame, instructions: str, make: Variants, most: int = 10) -> DataFrame:
+    """Adds ``perturbations``: at most ``most`` variants of each instruction of the array; null for a null array."""
+    none = F.array().cast("array<string>")
+    one = lambda s: F.when(s.isNotNull() & (s != ""), make(s, most)).otherwise(none)
+    if not getattr(make, "in_python", False):
+        return rows.withColumn("perturbations", F.transform(instructions, one))
+    # a Python function can't stand in an array expression: instructions become rows and are put together again
+    lines = rows.withColumn("_row", F.monotonically_increasing_id())
+    flat = lines.select("_row", F.posexplode(instructions).alias("_i", "_s")).withColumn("_v", one(F.col("_s")))
+    back = flat.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_g"))
+    joined = lines.join(back, "_row", "left")
+    empty = F.when(F.col(instructions).isNotNull(), F.array().cast("array<array<string>>"))
+    return joined.withColumn("perturbations", F.coalesce(F.transform("_g", lambda x: x["_v"]), empty)).drop("_row", "_g")
+
+
+def for_training(
+    rows: DataFrame, make: Variants, most: int = 10, only_perturbed: bool = False, instructions: str = "instructions"
+) -> DataFrame:
     """Items with their variants; with ``only_perturbed`` without the instructions and items that have none."""
     made = variants(rows, instructions, make, most)
     if not only_perturbed:
@@ -334,3 +487,10 @@ def for_testing(rows: DataFrame, make: Variants, instructions: str = "instructio
     made = variants(rows, instructions, make, 1)
     first = F.zip_with(instructions, "perturbations", lambda s, v: F.coalesce(F.get(v, F.lit(0)), s))
     return made.withColumns({"corrupted": F.transform("perturbations", lambda v: F.size(v) > 0), instructions: first}).drop("perturbations")
+
+
+def variant_rows(rows: DataFrame, make: Variants, keys: list[str], most: int = 10, instructions: str = "instructions") -> DataFrame:
+    """One row for each variant: keys, number of the instruction, place and text."""
+    made = variants(rows, instructions, make, most)
+    lines = made.select(*keys, F.posexplode("perturbations").alias("instruction", "_v"))
+    return lines.select(*keys, "instruction", F.posexplode("_v").alias("place", "variant"))

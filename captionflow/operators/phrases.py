@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from captionflow.functions import text as T
 
 FORBIDDEN = ("turn",)
+# Node types that are phrases, and those whose branches are passed over.
 ACCEPTED = ("NP", "NNP", "FRAG")
 SKIPPED = ("ADJP", "PP")
 _BREAKS = frozenset("""a an the this that these those my your our his her their its is are was were be been has have had do does did will would can could may
@@ -62,32 +62,74 @@ def spans_of(tree: dict, sentence: str, kinds: tuple[str, ...], low: int = 2, hi
     return sorted(out)
 
 
-def chunk(sentence: str) -> list[tuple[int, int]]:
-    """Rule-based stand-in for a parser: (start, end) of runs of words between function words and signs."""
-    out, start, end = [], None, None
-    for m in re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]|\d+", sentence):
-        word = m[0].lower()
-        if word in _BREAKS or not word[0].isalpha():
-            if start is not None:
-                out.append((start, end))
-            start = None
-        else:
-            start, end = (m.start() if start is None else start), m.end()
-    return out + ([(start, end)] if start is not None else [])
-
-
-def extract(rows: DataFrame, sentence: str = "sentence", parser: Callable[[str], list[tuple[int, int]]] = chunk, low: int = 1, high: int = 5, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
-    """Adds ``noun_phrases``; captionless sentences have none. ``parser`` gives (start, end) spans; a model may take its place."""
-
-    @F.pandas_udf("array<string>")
-    def phrases(texts: pd.Series) -> pd.Series:
-        made = []
-        for t in texts:
-            found = [clean(t[a:b]) for a, b in parser(t)] if t and t.strip() else []
-            made.append([p for p in found if accepts(p, low, high, forbidden)])
-        return pd.Series(made, dtype=object)
-
-    return rows.withColumn("noun_phrases", phrases(sentence))
+#: A phrase without a parser: words that begin with a letter, up to the next function word or sign, in
+#: a text of single blanks.
+_WORD = rf"(?!(?:{'|'.join(sorted(_BREAKS))})(?!\S))\p{{L}}\S*+"
+PHRASE = rf"(?<!\S){_WORD}(?: {_WORD})*+"
+
+
+def chunks(text: Column) -> Column:
+    """Rule-based stand-in for a parser: the phrases of a text, of lower-case tokens with single blanks."""
+    return F.regexp_extract_all(T.spaced(text), F.lit(f"({PHRASE})"), 1)
+
+
+def extract(
+    rows: DataFrame,
+    sentence: str = "sentence",
+    parsed: Column | None = None,
+    low: int = 1,
+    high: int = 5,
+    forbidden: tuple[str, ...] = FORBIDDEN,
+) -> DataFrame:
+    """Adds ``noun_phrases``; captionless sentences have none.
+
+    ``parsed`` may be a column of phrases found by a parser; without it ``chunks`` stands in.
+    """
+    text = F.col(sentence)
+    found = F.transform(chunks(text) if parsed is None else parsed, T.clean_sentence)
+    fits = lambda p: (p != "") & ~F.contains(p, F.lit(".")) & F.size(F.split(p, " ")).between(low, high) & T.lacks_all(p, list(forbidden))
+    none = F.array().cast("array<string>")
+    return rows.withColumn("noun_phrases", F.when(T.is_captionless(text), none).otherwise(F.filter(found, fits)))
+
+
+_NODE = "array<struct<start: int, end: int, parent: string>>"
+
+
+def dependency_nodes(tree: Column) -> Column:
+    """Nodes of a dependency tree in JSON: own (start, end) in characters and the first attribute of the parent.
+
+    The tree has ``spans`` [{start, end}], ``attributes`` and ``children``; the root's parent is ``ROOT``.
+    A tree nests without bound, so it is walked in Python, by a stack. Null or broken text gives null.
+    """
+
+    @F.pandas_udf(_NODE)
+    def walk_tree(items: pd.Series) -> pd.Series:
+        import json
+
+        out = []
+        for item in items:
+            try:
+                stack, found = [(json.loads(item), "ROOT")], []
+                while stack:
+                    node, parent = stack.pop()
+                    if not isinstance(node, dict):
+                        continue
+                    for span in (node.get("spans") or [])[:1]:
+                        found.append({"start": int(span["start"]), "end": int(span["end"]), "parent": parent})
+                    kind = str((node.get("attributes") or [""])[0])
+                    stack += [(child, kind) for child in node.get("children") or []]
+                out.append(sorted(found, key=lambda n: (n["start"], n["end"])))
+            except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return walk_tree(tree)
+
+
+def verb_children(text: Column, nodes: Column, verb: str = "VERB") -> Column:
+    """Places (from 0) of the tokens of a text of single blanks that a node below a verb begins at."""
+    starts = F.transform(F.filter(nodes, lambda n: n["parent"] == verb), lambda n: n["start"])
+    return F.transform(starts, lambda s: F.length(F.regexp_replace(F.substring(text, F.lit(1), s), "[^ ]", "")))
 
 
 def best(phrases: Column, known: Column, forbidden: list[str], seed: int, *key: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from captionflow.plans import corpus, records
+from captionflow.plans import corpus, perturbed, records
 
-QUERIES = {**corpus.QUERIES, **records.QUERIES}
-ORACLE = {**corpus.ORACLE, **records.ORACLE}
+QUERIES = {**corpus.QUERIES, **perturbed.QUERIES, **records.QUERIES}
+ORACLE = {**corpus.ORACLE, **perturbed.ORACLE, **records.ORACLE}

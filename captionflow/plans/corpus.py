@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from captionflow.functions import arrays as A
 from captionflow.functions import text as T
 from captionflow.functions import views as V
-from captionflow.operators import audit, boxes, captions, crawl, detections, documents, merging, perturb, phrases, trajectories
+from captionflow.operators import audit, boxes, captions, crawl, detections, documents, merging, phrases, trajectories
 from captionflow.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -401,41 +401,6 @@ def corrupt_flags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.transform(v, lambda x: F.coalesce(F.when(F.contains(x, F.lit("red")), F.replace(x, F.lit("red"), F.lit("blue"))), x)).alias("instructions"), F.transform(v, lambda x: F.contains(x, F.lit("red"))).alias("corrupted"))
 
 
-def instruction_items(spark: SparkSession, d: str) -> DataFrame:
-    """Captions as navigation items with one instruction."""
-    return caption_rows(spark, d).where("caption is not null").select("pos", F.array("caption").alias("instructions"))
-
-
-def _perturbed(name: str, make) -> None:
-    def run(spark, d):
-        return perturb.for_training(instruction_items(spark, d), make)
-
-    run.__name__ = name
-    QUERIES[name] = run
-
-
-_OBJECTS = ("brass lamp", "oak table", "wool rug", "glass vase", "steel rack")
-_perturbed("perturb_objects", perturb.perturbator("object", objects=_OBJECTS))
-_perturbed("perturb_switch", perturb.perturbator("object switch"))
-_perturbed("perturb_rooms", perturb.perturbator("room", rooms={"kitchen": "wet", "bathroom": "wet", "bedroom": "dry", "hall": "dry"}))
-_perturbed("perturb_locations", perturb.perturbator("location"))
-_perturbed("perturb_directions", perturb.perturbator("direction"))
-_perturbed("perturb_masked", perturb.perturbator("object", mask=True))
-_perturbed("perturb_remain", perturb.perturbator("object", remain=True, objects=_OBJECTS))
-_perturbed("perturb_stop", perturb.perturbator("stop"))
-_perturbed("perturb_deaf", perturb.perturbator("deaf"))
-
-
-@query()
-def perturb_testing(spark, d):
-    return perturb.for_testing(instruction_items(spark, d), perturb.perturbator("object", objects=_OBJECTS))
-
-
-@query()
-def noun_phrases(spark, d):
-    return phrases.extract(caption_rows(spark, d).select("pos", F.col("caption").alias("sentence")))
-
-
 @query()
 def mask_tokens(spark, d):
     return caption_rows(spark, d).select("pos", T.masked(F.coalesce("caption", F.lit(""))).alias("masked"))

@@ -5,8 +5,6 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from captionflow.functions import arrays
@@ -198,39 +196,97 @@ def test_phrase_walk_and_choice(spark):
     assert {(r.a, r.b): r.same for r in rel.collect()} == {("a", "b"): True, ("b", "a"): True, ("a", "a"): True, ("a", "c"): False}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab left,right. onto the of side top", max_size=60))
-def test_segments_tile_the_sentence(text):
-    for segmenter in (perturb.direction_segments, perturb.location_segments, perturb.NounPhrases(), perturb.Combined((perturb.location_segments, perturb.NounPhrases()))):
-        parts = segmenter(text)
-        assert "".join(p.text for p in parts) == text
-        assert all(p.span == (sum(len(q.text) for q in parts[:i]), sum(len(q.text) for q in parts[: i + 1]) - 1) for i, p in enumerate(parts))
+def test_parts_make_the_sentence(spark):
+    rng = random.Random(5)
+    words = "a b left right , . onto on the of side top leftmost turn go lamp red".split()
+    texts = [(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))),) for _ in range(200)]
+    df = spark.createDataFrame(texts, "t string")
+    itself = lambda text, phrase, k: F.array(phrase)
+    phrase = perturb.noun_phrases(itself)
+    for cutter in (perturb.directions(), perturb.directions(lambda t: F.array(F.lit(0))), perturb.locations(), phrase, perturb.combined(perturb.locations(), phrase)):
+        for r in df.select("t", cutter(F.col("t")).alias("p")).collect():
+            assert "".join(p.text for p in r.p) == r.t
+            assert all(p.options is None or p.text for p in r.p)
+
+
+def variants_of(spark, make, *sentences, most=10):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "i int, s string")
+    return [r.v for r in df.select("i", make(F.col("s"), most).alias("v")).orderBy("i").collect()]
 
 
-def test_perturbation_modes():
-    first = lambda mode, s, **k: next(perturb.perturbator(mode, **k)(s), None)
+def test_perturbation_modes(spark):
+    first = lambda mode, s, **k: (variants_of(spark, perturb.perturbator(mode, **k), s, most=1)[0] or [None])[0]
+    every = lambda mode, s, most=500, **k: variants_of(spark, perturb.perturbator(mode, **k), s, most=most)[0]
     s = "Turn left at the red sofa, then walk past the oak table on the left side of it."
     assert "left at" not in first("direction", s) and first("deaf", s) == "" and " the " not in first("stop", s)
-    got = set(perturb.perturbator("location")(s))
+    got = set(every("location", s))
     assert all("red sofa" in v for v in got) and "turn left at the red sofa , then walk past the oak table over it ." in got
-    assert "glass vase" in first("object", s, objects=("glass vase",)) and "[MASK]" in first("object", s, mask=True)
-    assert list(perturb.perturbator("object switch")(s))[0].index("oak table") < list(perturb.perturbator("object switch")(s))[0].index("red sofa")
-    assert "red sofa" not in first("object", s, objects=("vase",), remain=True, clues=1) or "oak table" not in first("object", s, objects=("vase",), remain=True, clues=1)
-    assert first("swap", "see the kitchen door", rooms={"kitchen": "wet", "bedroom": "dry"}) == "see the bedroom door"
-    assert list(perturb.perturbator("object", mask=True, model=lambda t: iter([t.replace("[MASK]", "cat")]))(s))[0].count("cat") == 1
-    with pytest.raises(ValueError):
-        perturb.perturbator("nonsense")
+    assert all(" below " not in v or "table below it" in v for v in got) and every("location", "the lamp below it") == []
+    assert "glass vase" in first("object", s, objects=("glass vase",)) and "[MASK]" in first("object", s, mask=True, objects=("x",))
+    assert first("object switch", s).index("oak table") < first("object switch", s).index("red sofa")
+    kept = first("object remain", s, objects=("vase",), clues=1)
+    assert kept.count("vase") == 2 and sum(w in kept for w in ("red sofa", "oak table", "left side")) == 1
+    rooms = {"kitchen": "wet", "bedroom": "dry"}
+    assert first("room", "see the kitchen door", rooms=rooms) == "see the bedroom door"
+    # swap switches any two phrases; room comes before swap, switch counts within object only
+    assert every("swap", "go to the red sofa and the blue chair") == ["go to the blue chair and the red sofa"]
+    assert first("room switch", "see the kitchen door", rooms=rooms) == "see the bedroom door"
+    assert first("stop direction", "turn left") in {"turn " + w for g in perturb.DIRECTIONS for w in g}
+    assert every("swap", "the red sofa and the red sofa") == [] and every("object", "stop .", objects=("x",)) == []
+    model = lambda t: iter([t.replace("[MASK]", "cat")])
+    df = spark.createDataFrame([([s, ""],), (None,), ([],)], "instructions array<string>")
+    filled = perturb.for_training(df, perturb.perturbator("object", mask=True, model=model, objects=("x",))).collect()
+    assert sorted(str(r.perturbations and [len(v) for v in r.perturbations]) for r in filled) == ["None", "[2, 0]", "[]"]
+    for bad in ("nonsense", "vilbert", "deaf+object"):
+        with pytest.raises(ValueError):
+            perturb.perturbator(bad)
+
+
+def test_perturbations_by_brute_force(spark):
+    """Two slots at a time: all of the first variants differ from the sentence in exactly two places, none twice, none missing."""
+    s = "turn left , go up , walk right , head inside"
+    got = variants_of(spark, perturb.perturbator("direction", count=2), s, most=5000)[0]
+    slots = {1: "left", 4: "up", 7: "right", 10: "inside"}
+    group = {w: g for g in perturb.DIRECTIONS for w in g}
+    words, want = s.split(), set()
+    for i, j in __import__("itertools").combinations(slots, 2):
+        for a in group:
+            for b in group:
+                if group[a] != group[words[i]] and group[b] != group[words[j]]:
+                    want.add(" ".join(a if k == i else b if k == j else w for k, w in enumerate(words)))
+    assert len(got) == len(want) and set(got) == want
+    assert variants_of(spark, perturb.perturbator("direction", count=2), s, most=10)[0] != []
+    many = " and ".join(f"the tall lamp {k % 3}" for k in range(60))
+    pairs = variants_of(spark, perturb.perturbator("swap"), many, many.replace("lamp", "tall lamp"), most=10)
+    assert pairs[0] == [] and pairs[1] == []  # all phrases are equal
+    mixed = " and ".join("the red sofa" if k != 40 else "the blue chair" for k in range(60))
+    assert len(set(variants_of(spark, perturb.perturbator("swap"), mixed, most=10)[0])) == 10
+
+
+def test_parser_hooks(spark):
+    tree = json.dumps({"spans": [{"start": 0, "end": 4}], "attributes": ["VERB"], "children": [{"spans": [{"start": 5, "end": 9}], "attributes": ["NOUN"], "children": [{"spans": [{"start": 12, "end": 17}]}]}]})
+    df = spark.createDataFrame([("bear left , right", tree), ("bear left", "{"), ("bear left", None)], "t string, tree string")
+    nodes = df.select("t", phrases.dependency_nodes(F.col("tree")).alias("n")).cache()
+    got = nodes.select(phrases.verb_children(F.col("t"), F.col("n")).alias("v")).collect()
+    assert [r.v for r in got] == [[1], None, None]
+    make = perturb.perturbator("direction", hangs_on_verb=lambda t: phrases.verb_children(t, F.col("n")))
+    out = [r.v for r in nodes.select(make(F.col("t"), 3).alias("v")).collect()]
+    assert len(out[0]) == 3 and all(v.startswith("bear ") and v.endswith(" , right") for v in out[0]) and out[1:] == [[], []]
+    spans = lambda t: F.array(F.struct(F.lit(4).alias("start"), F.lit(12).alias("end")))
+    assert variants_of(spark, perturb.perturbator("object", objects=("cup",), spans=spans), "see red sofa here")[0] == ["see cup here"]
 
 
 def test_drivers(spark):
-    df = spark.createDataFrame([(1, ["walk past the oak table", "stop"]), (2, ["stop"]), (3, []), (4, None)], "i int, instructions array<string>")
+    df = spark.createDataFrame([(1, ["walk past the oak table", "stop", None]), (2, ["stop"]), (3, []), (4, None)], "i int, instructions array<string>")
     make = perturb.perturbator("object", objects=tuple(f"thing {k}" for k in range(30)))
     full = {r.i: r.perturbations for r in perturb.for_training(df, make).collect()}
-    assert [len(v) for v in full[1]] == [10, 0] and full[4] is None
+    assert [len(v) for v in full[1]] == [10, 0, 0] and full[3] == [] and full[4] is None
     only = {r.i: r.instructions for r in perturb.for_training(df, make, only_perturbed=True).collect()}
     assert only == {1: ["walk past the oak table"]}
     test = {r.i: (r.instructions, r.corrupted) for r in perturb.for_testing(df, make).collect()}
-    assert test[1][1] == [True, False] and test[1][0][1] == "stop" and "thing" in test[1][0][0]
+    assert test[1][1] == [True, False, False] and test[1][0][1] == "stop" and "thing" in test[1][0][0]
+    assert "PythonUDF" not in perturb.for_training(df, make)._jdf.queryExecution().toString()
+    assert "Exchange" not in perturb.for_training(df, make)._jdf.queryExecution().toString()
 
 
 def test_trajectories(spark):
@@ -320,12 +376,11 @@ def test_feature_tables(spark):
     assert [(r.image, r.box) for r in found.collect()] == [(71, 0)]
 
 
-def test_highlights_and_directions(spark):
+def test_highlights(spark):
     df = spark.createDataFrame([(["walk then stop"], [["walk next"]]), (None, None)], "i array<string>, p array<array<string>>")
     tagger = lambda s: [(w, "VB") for w in s.split()]
     got = phrases.highlights(df, "i", tagger, perturbations="p").collect()
     assert [(r.highlights, r.perturbation_highlights) for r in got] == [([["walk", "stop"]], [[["walk"]]]), (None, None)]
-    assert [p.text for p in perturb.direction_segments("turn left , bear right", lambda s, a, b: True) if p.mode != "NONE"] == ["left", "right"]
 
 
 def test_near_pairs_of_ids_with_several_places(spark):
