@@ -378,25 +378,38 @@ def without_stop_words(sentence: Column, most: int) -> Column:
     return F.slice(F.array(T.without_stop_words(sentence, listed(STOP_WORDS))), 1, most)
 
 
-def filled(make: Variants, model: Callable[[str], Iterator[str]], masks: int = 10) -> Variants:
+Model = Callable[[str], Iterator[str]]
+
+
+def filled(make: Variants, model: Model, masks: int = 10) -> Variants:
     """Masked variants filled by a model, ``model(sentence with masks) -> iterator of sentences``.
 
-    A model runs in Python by its nature: at most ``masks`` masked sentences a row go to it, in Arrow
-    batches, and it is asked for no more than the variants wanted.
+    A model runs in Python by its nature: at most ``masks`` masked sentences of an instruction go to
+    it, in Arrow batches, and it is asked for no more than the variants wanted. A Python function
+    can't stand inside an array expression, so ``variants`` calls it on the array as a whole.
     """
 
     def variants(sentence: Column, most: int) -> Column:
-        @F.pandas_udf("array<string>")
-        def fill(items: pd.Series) -> pd.Series:
-            runs = (itertools.chain.from_iterable(map(model, x)) for x in items)
-            return pd.Series([list(itertools.islice(run, most)) for run in runs], dtype=object)
-
-        return fill(F.coalesce(make(sentence, masks), F.array().cast("array<string>")))
+        return F.get(filled_lists(F.array(make(sentence, masks)), model, most), F.lit(0))
 
-    variants.in_python = True
+    variants.masked, variants.model, variants.masks = make, model, masks
     return variants
 
 
+def filled_lists(lists: Column, model: Model, most: int) -> Column:
+    """For each list of masked sentences the first ``most`` sentences that the model makes of them."""
+
+    def one(sentences: list[str] | None) -> list[str]:
+        made = itertools.chain.from_iterable(map(model, sentences if sentences is not None else ()))
+        return list(itertools.islice(made, most))
+
+    @F.pandas_udf("array<array<string>>")
+    def fill(items: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [one(y) for y in x] for x in items], dtype=object)
+
+    return fill(lists)
+
+
 def perturbator(
     mode: str,
     count: int = 1,
@@ -420,30 +433,34 @@ def perturbator(
     as_room = lambda use: noun_phrases(use, ROOM_FORBIDDEN, spans=spans)
     itself = lambda text, phrase, k: F.array(phrase)
 
-    def cutter_of(name: str) -> Cutter | Variants | None:
-        table = {
-            "direction": lambda: directions(hangs_on_verb),
-            "location": locations,
-            "deaf": lambda: deaf,
-            "stop": lambda: without_stop_words,
-            "object": lambda: switched(as_object(itself), seed) if "switch" in name else as_object(from_vocabulary(tuple(objects), seed=seed)),
-            "room": lambda: as_room(by_category(rooms or {})),
-            "swap": lambda: switched(as_room(itself), seed),
-            "vilbert": lambda: as_room(itself),
-        }
-        return next((make() for key, make in table.items() if key in name), None)
-
-    names = mode.split("+")
-    made = [cutter_of(name) for name in names]
-    if None in made:
-        raise ValueError(f"unknown mode {mode}")
-    if "vilbert" in mode and model is None:
-        raise ValueError("the mode vilbert needs a model")
-    whole = [name for name in names if any(w in name for w in ("deaf", "stop", "swap", "switch")) and not any(w in name for w in ("direction", "location"))]
+    def made_of(name: str) -> tuple[Cutter | None, Variants | None]:
+        if "direction" in name:
+            return directions(hangs_on_verb), None
+        if "location" in name:
+            return locations(), None
+        if "deaf" in name:
+            return None, deaf
+        if "stop" in name:
+            return None, without_stop_words
+        if "object" in name and "switch" in name:
+            return None, switched(as_object(itself), seed)
+        if "object" in name:
+            return as_object(from_vocabulary(tuple(objects), seed=seed)), None
+        if "room" in name:
+            return as_room(by_category(rooms or {})), None
+        if "swap" in name:
+            return None, switched(as_room(itself), seed)
+        if name == "vilbert" and model is not None:
+            return as_room(itself), None
+        raise ValueError(f"unknown mode {name}, or one that needs a model")
+
+    parts = [made_of(name) for name in mode.split("+")]
+    whole = [v for _, v in parts if v is not None]
     if whole:
-        if len(names) > 1 or mask or model:
-            raise ValueError(f"{whole[0]} has no slots to combine, mask or fill")
-        return made[0]
+        if len(parts) > 1 or mask or model:
+            raise ValueError(f"{mode} has no slots to combine, mask or fill")
+        return whole[0]
+    made = [c for c, _ in parts]
     cutter = combined(*made) if len(made) > 1 else made[0]
     if mask or model:
         if count != 1:
@@ -458,16 +475,13 @@ def perturbator(
 def variants(rows: DataFrame, instructions: str, make: Variants, most: int = 10) -> DataFrame:
     """Adds ``perturbations``: at most ``most`` variants of each instruction of the array; null for a null array."""
     none = F.array().cast("array<string>")
-    one = lambda s: F.when(s.isNotNull() & (s != ""), make(s, most)).otherwise(none)
-    if not getattr(make, "in_python", False):
-        return rows.withColumn("perturbations", F.transform(instructions, one))
-    # a Python function can't stand in an array expression: instructions become rows and are put together again
-    lines = rows.withColumn("_row", F.monotonically_increasing_id())
-    flat = lines.select("_row", F.posexplode(instructions).alias("_i", "_s")).withColumn("_v", one(F.col("_s")))
-    back = flat.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_g"))
-    joined = lines.join(back, "_row", "left")
-    empty = F.when(F.col(instructions).isNotNull(), F.array().cast("array<array<string>>"))
-    return joined.withColumn("perturbations", F.coalesce(F.transform("_g", lambda x: x["_v"]), empty)).drop("_row", "_g")
+    masked_by, model = getattr(make, "masked", None), getattr(make, "model", None)
+
+    def one(s: Column) -> Column:
+        return F.when(s.isNotNull() & (s != ""), masked_by(s, make.masks) if masked_by else make(s, most)).otherwise(none)
+
+    made = F.transform(instructions, one)
+    return rows.withColumn("perturbations", filled_lists(made, model, most) if masked_by else made)
 
 
 def for_training(
