@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -381,33 +382,32 @@ def without_stop_words(sentence: Column, most: int) -> Column:
 Model = Callable[[str], Iterator[str]]
 
 
-def filled(make: Variants, model: Model, masks: int = 10) -> Variants:
+@dataclass(frozen=True)
+class Filled:
     """Masked variants filled by a model, ``model(sentence with masks) -> iterator of sentences``.
 
-    A model runs in Python by its nature: at most ``masks`` masked sentences of an instruction go to
-    it, in Arrow batches, and it is asked for no more than the variants wanted. A Python function
-    can't stand inside an array expression, so ``variants`` calls it on the array as a whole.
+    A model runs in Python by its nature: rows go to it in Arrow batches, with at most ``masks``
+    masked sentences an instruction, and it is asked for no more sentences than are wanted.
     """
 
-    def variants(sentence: Column, most: int) -> Column:
-        return F.get(filled_lists(F.array(make(sentence, masks)), model, most), F.lit(0))
-
-    variants.masked, variants.model, variants.masks = make, model, masks
-    return variants
-
+    masked: Variants
+    model: Model
+    masks: int = 10
 
-def filled_lists(lists: Column, model: Model, most: int) -> Column:
-    """For each list of masked sentences the first ``most`` sentences that the model makes of them."""
+    def added(self, rows: DataFrame, column: str, most: int) -> DataFrame:
+        """``rows`` with each list of masked sentences in ``column`` replaced by the first sentences made of it."""
+        model, schema = self.model, rows.schema
 
-    def one(sentences: list[str] | None) -> list[str]:
-        made = itertools.chain.from_iterable(map(model, sentences if sentences is not None else ()))
-        return list(itertools.islice(made, most))
+        def one(sentences: list[str]) -> list[str]:
+            return list(itertools.islice(itertools.chain.from_iterable(map(model, sentences)), most))
 
-    @F.pandas_udf("array<array<string>>")
-    def fill(items: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [one(y) for y in x] for x in items], dtype=object)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(column)
+                made = [None if x is None else [one(y or []) for y in x] for x in batch.column(at).to_pylist()]
+                yield batch.set_column(at, column, pa.array(made, pa.list_(pa.list_(pa.string()))))
 
-    return fill(lists)
+        return rows.mapInArrow(run, schema)
 
 
 def perturbator(
@@ -421,7 +421,7 @@ def perturbator(
     spans: Callable[[Column], Column] | None = None,
     hangs_on_verb: Callable[[Column], Column] | None = None,
     seed: int = 0,
-) -> Variants:
+) -> Variants | Filled:
     """The variants of a mode by its name.
 
     The first of these found in the name decides: direction, location, deaf, stop, object (with
@@ -467,25 +467,25 @@ def perturbator(
             raise ValueError("one slot is masked at a time")
         cutter = masked(cutter)
     out = remaining(cutter, clues, seed) if "remain" in mode else replaced(cutter, count, seed)
-    return filled(out, model) if model else out
+    return Filled(out, model) if model else out
 
 
 # Drivers --------------------------------------------------------------------------------------------
 
-def variants(rows: DataFrame, instructions: str, make: Variants, most: int = 10) -> DataFrame:
+def variants(rows: DataFrame, instructions: str, make: Variants | Filled, most: int = 10) -> DataFrame:
     """Adds ``perturbations``: at most ``most`` variants of each instruction of the array; null for a null array."""
     none = F.array().cast("array<string>")
-    masked_by, model = getattr(make, "masked", None), getattr(make, "model", None)
+    filled = make if isinstance(make, Filled) else None
 
     def one(s: Column) -> Column:
-        return F.when(s.isNotNull() & (s != ""), masked_by(s, make.masks) if masked_by else make(s, most)).otherwise(none)
+        return F.when(s.isNotNull() & (s != ""), make(s, most) if filled is None else filled.masked(s, filled.masks)).otherwise(none)
 
-    made = F.transform(instructions, one)
-    return rows.withColumn("perturbations", filled_lists(made, model, most) if masked_by else made)
+    made = rows.withColumn("perturbations", F.transform(instructions, one))
+    return made if filled is None else filled.added(made, "perturbations", most)
 
 
 def for_training(
-    rows: DataFrame, make: Variants, most: int = 10, only_perturbed: bool = False, instructions: str = "instructions"
+    rows: DataFrame, make: Variants | Filled, most: int = 10, only_perturbed: bool = False, instructions: str = "instructions"
 ) -> DataFrame:
     """Items with their variants; with ``only_perturbed`` without the instructions and items that have none."""
     made = variants(rows, instructions, make, most)
@@ -496,14 +496,14 @@ def for_training(
     return kept.withColumns({instructions: F.transform("_z", lambda x: x["i"]), "perturbations": F.transform("_z", lambda x: x["p"])}).drop("_z")
 
 
-def for_testing(rows: DataFrame, make: Variants, instructions: str = "instructions") -> DataFrame:
+def for_testing(rows: DataFrame, make: Variants | Filled, instructions: str = "instructions") -> DataFrame:
     """Each instruction replaced by its first variant, if it has one, and ``corrupted`` saying which were."""
     made = variants(rows, instructions, make, 1)
     first = F.zip_with(instructions, "perturbations", lambda s, v: F.coalesce(F.get(v, F.lit(0)), s))
     return made.withColumns({"corrupted": F.transform("perturbations", lambda v: F.size(v) > 0), instructions: first}).drop("perturbations")
 
 
-def variant_rows(rows: DataFrame, make: Variants, keys: list[str], most: int = 10, instructions: str = "instructions") -> DataFrame:
+def variant_rows(rows: DataFrame, make: Variants | Filled, keys: list[str], most: int = 10, instructions: str = "instructions") -> DataFrame:
     """One row for each variant: keys, number of the instruction, place and text."""
     made = variants(rows, instructions, make, most)
     lines = made.select(*keys, F.posexplode("perturbations").alias("instruction", "_v"))
