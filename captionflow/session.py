@@ -12,19 +12,34 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
-_WRITTEN: list[str] = []
+#: Written tables that are still there: path -> (Hadoop file system, Hadoop path).
+_WRITTEN: dict[str, tuple] = {}
+
+
+def _remove(path: str) -> None:
+    store = _WRITTEN.pop(path, None)
+    if store is not None:
+        try:
+            store[0].delete(store[1], True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone; a table left behind harms no result
+            pass
 
 
 def _remove_written() -> None:
-    """At the end of the driver its intermediate tables go, where the shared folder is a mounted one."""
-    for path in _WRITTEN:
-        if path.startswith("file:"):
-            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    """At the end of the driver its intermediate tables go, on whatever store they are."""
+    for path in list(_WRITTEN):
+        _remove(path)
 
 
 atexit.register(_remove_written)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` whose last reader has run; other frames are left alone."""
+    for df in tables:
+        _remove(getattr(df, "_written_at", ""))
+
+
 def build_session(master: str | None = None, app: str = "captionflow", **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; explicit arguments win."""
     builder = SparkSession.builder.appName(app)
@@ -48,21 +63,25 @@ def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in Python workers; once for an application.
 
     A probe asks a worker first, as a cluster whose workers have the package on their
-    path needs no copy; otherwise a compiled archive is sent to all executors.
+    path needs no copy; otherwise an archive of its source files is sent to all executors.
     """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    _SHIPPED.add(app)
     scope: dict = {"__name__": "__main__"}
     exec("def probe(_):\n    import importlib.util\n    return importlib.util.find_spec('captionflow') is not None", scope)  # noqa: S102 - pickled by value
     n = max(1, spark.sparkContext.defaultParallelism)
     if not all(spark.sparkContext.parallelize(range(n), n).map(scope["probe"]).collect()):
         folder = os.path.dirname(os.path.abspath(__file__))
         archive = os.path.join(tempfile.mkdtemp(prefix="captionflow-"), "captionflow.zip")
-        with zipfile.PyZipFile(archive, "w", optimize=0) as out:
-            out.writepy(folder)
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for place, _, names in os.walk(folder):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(place, name)
+                        out.write(path, os.path.join("captionflow", os.path.relpath(path, folder)))
         spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,13 +105,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A written table is computed once (a checkpoint computes twice), is compressed,
-    and survives the loss of any executor.
+    and survives the loss of any executor. It goes when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "captionflow", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN[path] = (place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -236,7 +236,7 @@ def test_perturbation_modes(spark):
     model = lambda t: iter([t.replace("[MASK]", "cat")])
     df = spark.createDataFrame([([s, ""],), (None,), ([],)], "instructions array<string>")
     filled = perturb.for_training(df, perturb.perturbator("object", mask=True, model=model, objects=("x",))).collect()
-    assert sorted(str(r.perturbations and [len(v) for v in r.perturbations]) for r in filled) == ["None", "[2, 0]", "[]"]
+    assert sorted(str(r.perturbations and [len(v) for v in r.perturbations]) for r in filled) == ["None", "[3, 0]", "[]"]
     for bad in ("nonsense", "vilbert", "deaf+object"):
         with pytest.raises(ValueError):
             perturb.perturbator(bad)
