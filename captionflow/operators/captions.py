@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionflow.functions import text as T
+from captionflow.session import written
 
 
 def blank_repeats(captions: DataFrame, order: str, listing: str = "listing_id", caption: str = "caption") -> DataFrame:
@@ -83,16 +84,24 @@ def with_merging(items: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``row_no`` from 0 in the order of a unique integer column, without a single-task window.
+    """Adds ``row_no`` from 0 in the order of a unique column, whatever its values.
 
-    Rows are range-partitioned by blocks of the order column; block counts give the offsets.
+    The rows are range-partitioned by a sample of the order and sorted inside; the count of each
+    partition, one row for each, gives its offset. Sparse ids and hashes are cut as evenly as dense ones.
     """
-    size = 50_000
-    blocked = df.withColumn("_b", F.floor(F.col(order) / size))
+    ranged_rows = written(df.repartitionByRange(order).withColumn("_b", F.spark_partition_id()), "ranged")
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocked.groupBy("_b").count().select(F.col("_b").alias("_k"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    counts = ranged_rows.groupBy("_b").count()
+    offsets = counts.select(F.col("_b").alias("_k"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("_b").orderBy(order)
-    return blocked.withColumn("_n", F.row_number().over(inside) - 1).join(offsets, F.col("_b") == F.col("_k")).withColumn("row_no", F.col("_n") + F.col("_off")).drop("_b", "_k", "_n", "_off")
+    numbered = ranged_rows.withColumn("_n", F.row_number().over(inside) - 1)
+    joined = numbered.join(offsets, F.col("_b") == F.col("_k"))
+    return joined.withColumn("row_no", F.col("_n") + F.col("_off")).drop("_b", "_k", "_n", "_off")
+
+
+def _counted(numbered: DataFrame) -> DataFrame:
+    """Adds ``_rows``, the number of rows, as a scalar subquery."""
+    return numbered.withColumn("_rows", numbered.agg(F.count("*")).scalar())
 
 
 def strided(numbered: DataFrame, n: int) -> DataFrame:
@@ -102,15 +111,15 @@ def strided(numbered: DataFrame, n: int) -> DataFrame:
 
 def ranged(numbered: DataFrame, n: int, start: int = 0) -> DataFrame:
     """Adds ``part``: contiguous parts of ceil(rows / n) rows from row ``start`` on; rows before it are left out."""
-    per = max(1, -(-(numbered.count() - start) // n))
-    return numbered.where(F.col("row_no") >= start).withColumn("part", F.floor((F.col("row_no") - start) / per))
+    per = F.greatest(F.lit(1), F.ceil((F.col("_rows") - start) / n))
+    after = _counted(numbered).where(F.col("row_no") >= start)
+    return after.withColumn("part", F.floor((F.col("row_no") - start) / per)).drop("_rows")
 
 
 def tail_split(numbered: DataFrame, share: float = 0.05) -> DataFrame:
     """Adds ``split``: the last rows, rounded half to even, are the test set and the others the training set."""
-    n = numbered.count()
-    cut = n - round(n * share)
-    return numbered.withColumn("split", F.when(F.col("row_no") >= cut, "test").otherwise("train"))
+    test = F.col("row_no") >= F.col("_rows") - F.bround(F.col("_rows") * share, 0)
+    return _counted(numbered).withColumn("split", F.when(test, "test").otherwise("train")).drop("_rows")
 
 
 def caption_keys(*tables: DataFrame) -> DataFrame:
