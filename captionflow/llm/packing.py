@@ -22,46 +22,56 @@ from pyspark.sql import functions as F
 from captionflow.operators.running import hash_order, running_total
 from captionflow.session import written
 
-#: Largest capacity; bounds the histogram and the plan that the driver holds.
+#: Largest capacity and most packs at once; they bound the histograms and plans that the driver holds.
 MOST_CAPACITY = 1 << 17
+MOST_PACKS = 64
+#: Most cells (buckets x sizes) of the dynamic programming; more sizes get fewer buckets.
+MOST_CELLS = 1 << 23
 
 
 def bucket_bounds(sizes: list[int], counts: list[int], k: int) -> list[int]:
     """At most ``k`` upper bounds that minimise sum(count * (bound - size)); exact.
 
-    ``sizes`` ascend. For a bucket of sizes i..j the padding is bound_j * (N_j - N_i) -
-    (S_j - S_i), so each layer is a lower envelope of lines that a pointer walks once.
+    ``sizes`` ascend. Up to ``k`` sizes the optimum is one bucket for each, without padding. For more,
+    layer by layer, the padding of a bucket of sizes i..j is bound_j * (N_j - N_i) - (S_j - S_i). The
+    best i never falls as j grows, so the places halfway between solved ones are solved together, each
+    over the stretch between its neighbours' answers: log(n) vector steps a layer.
     """
     n = len(sizes)
     if n <= k:
         return list(sizes)
-    total = np.concatenate([[0], np.cumsum(counts)]).tolist()
-    mass = np.concatenate([[0], np.cumsum(np.multiply(sizes, counts))]).tolist()
-    cost = [sizes[j - 1] * total[j] - mass[j] if j else 0 for j in range(n + 1)]
+    x = np.concatenate([[0], sizes]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    mass = np.concatenate([[0], np.cumsum(np.multiply(sizes, counts, dtype=np.int64))])
+    cost = x * total - mass
     back = []
     for _ in range(1, k):
-        lines: list[tuple[int, int, int]] = []
-        head, now, source = 0, [0] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            slope, height, at = -total[j - 1], cost[j - 1] + mass[j - 1], j - 1
-            while len(lines) - head >= 2:
-                (m1, b1, _), (m2, b2, _) = lines[-2], lines[-1]
-                if (b2 - b1) * (m1 - slope) >= (height - b1) * (m1 - m2):
-                    lines.pop()
-                else:
-                    break
-            lines.append((slope, height, at))
-            x = sizes[j - 1]
-            while len(lines) - head >= 2 and lines[head + 1][0] * x + lines[head + 1][1] <= lines[head][0] * x + lines[head][1]:
-                head += 1
-            m, b, at = lines[head]
-            now[j], source[j] = x * total[j] - mass[j] + m * x + b, at
+        now, source = cost.copy(), np.zeros(n + 1, dtype=np.int32)
+        height = cost + mass
+        step = 1 << n.bit_length()
+        while step >= 1:
+            at = np.arange(step, n + 1, 2 * step)
+            low = source[at - step]
+            after = at + step
+            high = np.where(after <= n, source[np.minimum(after, n)], at - 1)
+            high = np.minimum(high, at - 1)
+            width = high - low + 1
+            start = np.cumsum(width) - width
+            own = np.repeat(np.arange(len(at)), width)
+            i = np.arange(int(width.sum())) - start[own] + low[own]
+            value = height[i] + x[at][own] * (total[at][own] - total[i]) - mass[at][own]
+            best = np.minimum.reduceat(value, start) if len(at) else value
+            hit = np.flatnonzero(value == best[own])
+            first = np.full(len(at), -1)
+            first[own[hit][::-1]] = i[hit][::-1]
+            now[at], source[at] = best, first
+            step //= 2
         back.append(source)
         cost = now
     bounds, j = [], n
     for source in reversed(back):
         bounds.append(sizes[j - 1])
-        j = source[j]
+        j = int(source[j])
         if j == 0:
             break
     else:
@@ -119,6 +129,8 @@ def packed(docs: DataFrame, capacities: dict[int, int], most_buckets: int = 1024
     whole containers of its own and its rest is an item like any other. Documents without
     tokens take no place and are left out. Repeated ids are separate items.
     """
+    if len(capacities) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs at once")
     if any(not 0 < c <= MOST_CAPACITY for c in capacities.values()):
         raise ValueError(f"capacities must lie in 1..{MOST_CAPACITY}")
     spark = docs.sparkSession
@@ -131,12 +143,16 @@ def packed(docs: DataFrame, capacities: dict[int, int], most_buckets: int = 1024
     edges, moves, base, items = {}, {}, {}, 0
     for p, capacity in capacities.items():
         sizes = sorted(bins[p])
-        edges[p] = bounds = bucket_bounds(sizes, [bins[p][s] for s in sizes], most_buckets)
+        most = max(1, min(most_buckets, MOST_CELLS // max(1, len(sizes))))
+        edges[p] = bounds = bucket_bounds(sizes, [bins[p][s] for s in sizes], most)
         counts = [0] * len(bounds)
         for s in sizes:
             counts[bisect_left(bounds, s)] += bins[p][s]
         made, base[p] = plan(bounds, counts, capacity)
-        moves[p] = {b: tuple(np.array(x) for x in zip(*[m[1:] for m in made if m[0] == b])) for b in range(len(bounds))}
+        own: dict[int, list[tuple]] = {}
+        for bucket, *move in made:
+            own.setdefault(bucket, []).append(move)
+        moves[p] = {b: tuple(np.array(x) for x in zip(*m)) for b, m in own.items()}
         items += sum(counts)
     held = spark.sparkContext.broadcast((edges, moves))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionflow.llm import language, markup, mixing, overlap, packing, pii, spans, splits, tokens
+from captionflow.session import written
 from captionflow.tables import table
 
 SPLIT_SHARES = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -45,7 +46,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES, none_rows=True)
+    images = table(spark, d, "images")
+    return splits.split_rows(images, "listing_id", "photo_id", SPLIT_SHARES).select("listing_id", "photo_id", "caption", "split")
+
+
+def p4_units(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_units(table(spark, d, "images"), "listing_id", "photo_id", SPLIT_SHARES)
 
 
 def _caption_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +84,8 @@ def document_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    capacities = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, d, "pack_sizes").limit(1000).collect()}
+    # one row more than packing allows is read, and then packing refuses
+    capacities = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, d, "pack_sizes").take(packing.MOST_PACKS + 1)}
     return packing.packed(document_tokens(spark, d), capacities)
 
 
@@ -90,6 +97,15 @@ def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(document_tokens(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Mixes of a set size, all tokens of the mix's sources: capped sources fall short and the others fill."""
+    docs, targets = written(document_tokens(spark, d), "tokens"), table(spark, d, "mix_targets")
+    sizes = docs.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    named = targets.where("target_share > 0").select("mix_name", "source").distinct()
+    budget = {r["mix_name"]: r["t"] for r in named.join(sizes, "source").groupBy("mix_name").agg(F.sum("t").alias("t")).collect()}
+    return mixing.mix_report(mixing.mixed(docs, targets, budget), targets)
+
+
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mixed(spark, d), table(spark, d, "mix_targets"))
 
@@ -106,4 +122,4 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p4_units": p4_units, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p9_filled": p9_filled, "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared": p10_shared}

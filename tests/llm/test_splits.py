@@ -49,8 +49,10 @@ def test_splits_keep_groups_and_shares(spark):
         assert where["link", 3] == where["entity", owner]
     total = sum(r.n_rows for r in got)
     share = {s: sum(r.n_rows for r in got if r.split == s) / total for s in ("train", "valid", "test")}
-    assert abs(share["train"] - 0.8) < 0.1 and share["valid"] > 0.03 and share["test"] > 0.03
-    assert total == sum(1 for p, l, _, _ in rows if l is not None or (p or 0) > 0)
+    assert all(abs(share[s] - w) <= 0.005 for s, w in (("train", 0.8), ("valid", 0.1), ("test", 0.1)))
+    assert total == len(rows)
+    split = sorted((r.photo_id or 0, r.listing_id or 0, r.e, r.unit) for r in splits.split_rows(df, "listing_id", "photo_id", {"train": 0.8, "valid": 0.1, "test": 0.1}).collect())
+    assert split == sorted((p or 0, l or 0, e, u) for p, l, e, u in rows)
     assert splits.split_units(df.limit(0), "listing_id", "photo_id", {"train": 0.8, "test": 0.2}).count() == 0
 
 
@@ -60,11 +62,13 @@ def test_every_row_gets_a_split(spark, tmp_path):
     path = str(tmp_path / "images.parquet")
     spark.createDataFrame(rows, IMAGES).write.parquet(path)
     df = spark.read.parquet(path)
-    got = splits.split_units(df, "listing_id", "photo_id", shares, none_rows=True).collect()
+    got = splits.split_units(df, "listing_id", "photo_id", shares).collect()
     assert sum(r.n_rows for r in got) == len(rows) and len({(r.kind, r.id) for r in got}) == len(got)
     share = {s: sum(r.n_rows for r in got if r.split == s) / len(rows) for s in shares}
     assert all(abs(share[s] - shares[s]) < 0.01 for s in shares)
     none = {r.id: r for r in got if r.kind == "none"}
     assert all(r.unit is None for r in none.values()) and {r.split for r in none.values()} == set(shares)
-    dealt = [r.slot for r in splits.slotted(df, "listing_id", "photo_id").collect()]
-    assert len(dealt) == 1500 and all(dealt.count(i) == r.n_rows for i, r in none.items())
+    each = splits.split_rows(df.withColumn("split", F.lit("clash")).withColumn("kind", F.lit("clash")), "listing_id", "photo_id", shares).collect()
+    assert len(each) == len(rows) and {r.split for r in each} == set(shares)
+    assert len({r.split for r in each if r.photo_id == 0 and r.e == 0}) == 1  # copies of a row stay together
+    assert splits.split_rows(df.limit(0), "listing_id", "photo_id", shares).count() == 0
