@@ -136,9 +136,13 @@ def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & mask, _mix(hashes) & mask
 
 
-def sketch_bits(n_windows: int, least: int = 16, most: int = 25) -> int:
-    """Width of the sketch as a power of two: four counters a window, within fixed bounds (at most 4 MB for each row)."""
-    return min(most, max(least, (4 * max(1, n_windows)).bit_length()))
+#: Widest sketch, as a power of two: it is broadcast, 4 MB for each row.
+MOST_BITS = 25
+
+
+def sketch_bits(n_windows: int, least: int = 16) -> int:
+    """Width of the sketch as a power of two at which few other windows pass: four counters a window."""
+    return max(least, (4 * max(1, n_windows)).bit_length())
 
 
 def _partial_sketch(bits: int, span: int, anchor: int, cell: int = 1 << 16):
@@ -200,31 +204,70 @@ def sketch(docs: DataFrame, span: int, anchor: int, bits: int) -> np.ndarray:
 OCCURRENCE = "h long, doc_id long, pos int, lead int, around string"
 
 
-def occurrences(docs: DataFrame, id_col: str, text: str, span: int = 200, anchor: int = 100) -> DataFrame:
+def _around(text: str, at: int, room: int, span: int) -> tuple[int, str]:
+    lead = min(at, room)
+    return lead, text[at - lead : at + span]
+
+
+def occurrences(
+    docs: DataFrame, id_col: str, text: str, span: int = 200, anchor: int = 100, most_bits: int = MOST_BITS
+) -> DataFrame:
     """(h, doc_id, pos, lead, around) of every kept window that may stand in two or more documents.
 
-    ``pos`` is the place of the window, ``around`` the text from ``lead`` characters
-    before it (at most span - anchor) to ``span`` characters after its start.
+    ``pos`` is the place of the window, ``around`` the text from ``lead`` characters before it (at most
+    span - anchor) to ``span`` characters after its start. The sketch is as wide as the number of
+    windows asks for, up to ``most_bits``. A corpus too large for that fills its sketch, so many windows
+    of one document pass; there the windows that pass are grouped by their hash alone first, without any
+    text, and only those of two or more documents are given their text. Both ways lose none.
     """
-    source = docs.where(F.col(id_col).isNotNull() & (F.length(text) >= span)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    source = spread(source, "id")
+    source = docs.where(F.col(id_col).isNotNull() & (F.length(text) >= span))
+    source = spread(source.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "id")
     total = source.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    bits = sketch_bits(2 * total // (span - anchor))
-    held = docs.sparkSession.sparkContext.broadcast(sketch(source, span, anchor, bits))
     room = span - anchor
+    wanted = sketch_bits(2 * total // room)
+    bits = min(wanted, most_bits)
+    held = docs.sparkSession.sparkContext.broadcast(sketch(source, span, anchor, bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         twos = held.value
+
+        def hit(row: int, slot: np.ndarray) -> np.ndarray:
+            byte = twos[row, (slot >> np.uint64(3)).astype(np.int64)]
+            return (byte >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1
+
         for batch in batches:
             for prints, number, offset, texts, ids in _windows(batch, span, anchor):
                 one, two = _slots(prints.hashes, bits)
-                hit = lambda row, slot: (twos[row, (slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1
                 keep = np.flatnonzero(hit(0, one) & hit(1, two))
-                lead = np.minimum(offset[keep], room).astype(np.int32)
-                around = [texts[n][o - a : o + span] for n, o, a in zip(number[keep].tolist(), offset[keep].tolist(), lead.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(prints.hashes[keep].astype(np.int64)), pa.array(ids[number[keep]].astype(np.int64)), pa.array(offset[keep].astype(np.int32)), pa.array(lead), pa.array(around, pa.string())], names=["h", "doc_id", "pos", "lead", "around"])
+                yield prints.hashes[keep].astype(np.int64), ids[number[keep]].astype(np.int64), offset[keep].astype(np.int32), number[keep], texts
 
-    return written(source.mapInArrow(run, OCCURRENCE).withColumn("c", F.xxhash64("around", "lead")), "occurrences")
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, ids, offset, number, texts in passed(batches):
+            cut = [_around(texts[n], o, room, span) for n, o in zip(number.tolist(), offset.tolist())]
+            columns = [pa.array(hashes), pa.array(ids), pa.array(offset), pa.array([x for x, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "pos", "lead", "around"])
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, ids, offset, _, _ in passed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(offset)], names=["h", "doc_id", "pos"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for id_, whole, places in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "places"))):
+                rows += [(p["h"], id_, p["pos"], *_around(whole, p["pos"], room, span)) for p in places]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["h", "doc_id", "pos", "lead", "around"])
+
+    if bits == wanted:
+        found = source.mapInArrow(with_text, OCCURRENCE)
+    else:
+        windows = source.mapInArrow(bare, "h long, doc_id long, pos int")
+        several = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        places = windows.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos")).alias("places"))
+        found = source.join(places, F.col("id") == F.col("doc_id")).select("id", "text", "places").mapInArrow(cut_out, OCCURRENCE)
+    return written(found.withColumn("c", F.xxhash64("around", "lead")), "occurrences")
 
 
 def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

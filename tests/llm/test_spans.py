@@ -56,6 +56,30 @@ def test_pairs_and_shares_equal_brute_force(spark, monkeypatch, seed, block, bit
     assert {r.doc_id: r.shared_chars for r in spans.shared_parts(df, "doc_id", "text").collect()} == covered
 
 
+def test_full_sketch_groups_by_hash_before_any_text_is_cut(spark):
+    """At a sketch far too narrow for the corpus no window of one document alone is given its text."""
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, DOCS)
+    wide = spans.occurrences(df, "doc_id", "text").collect()
+    narrow = spans.occurrences(df, "doc_id", "text", most_bits=6)
+    got = narrow.collect()
+    docs = {}
+    for r in got:
+        docs.setdefault(r.h, set()).add(r.doc_id)
+    assert all(len(d) > 1 for d in docs.values())
+    several = {}
+    for r in wide:
+        several.setdefault(r.h, set()).add(r.doc_id)
+    assert sorted((r.h, r.doc_id, r.pos, r.lead, r.around) for r in got) == sorted((r.h, r.doc_id, r.pos, r.lead, r.around) for r in wide if len(several[r.h]) > 1)
+    want, _ = by_hand(rows, 200)
+    assert {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(narrow).collect()} == want
+
+
+def test_sketch_passes_few_windows_of_one_document():
+    for n in (1, 1000, 10**6, 10**9, 10**12):
+        assert (n / 2 ** spans.sketch_bits(n)) ** 2 <= 0.1  # two rows: the chance that both counters are taken
+
+
 def test_sketch_never_underestimates(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, DOCS).repartition(3)
