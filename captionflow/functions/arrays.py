@@ -135,3 +135,16 @@ def pairs_of(values: Column) -> Column:
     n = F.size(values)
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n), lambda j: (j > i) & (j < n)), lambda j: F.struct(F.get(values, i).alias("first"), F.get(values, j).alias("second")))))
     return F.when(n > 1, every).otherwise(F.slice(every, 1, 0))
+
+
+def index_difference(every: Column, rejected: Column) -> Column:
+    """The distinct values of one array that another lacks, ascending."""
+    return F.array_sort(F.array_except(every, rejected))
+
+
+def resized(values: Column, width: int, height: int, to_width: int, to_height: int, channels: int = 3) -> Column:
+    """Nearest-neighbour resize of interleaved pixels, row by row."""
+    places = F.sequence(F.lit(0), F.lit(to_width * to_height * channels - 1))
+    row = lambda i: F.floor(F.floor(i / (to_width * channels)) * height / to_height)
+    column = lambda i: F.floor(F.floor(i % (to_width * channels) / channels) * width / to_width)
+    return F.transform(places, lambda i: F.get(values, ((row(i) * width + column(i)) * channels + i % channels).cast("int")))

@@ -127,6 +127,24 @@ def sentence_starts(text: Column) -> Column:
     return grown
 
 
+def found_at(text: Column, pattern: str) -> Column:
+    """Array of (text, start, end) of all finds of a pattern, in characters from 0; start and end as in a slice.
+
+    The pattern must have no groups of its own numbers; a find may not be empty. Offsets come from the
+    lengths of the parts between the finds.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    between = F.split(text, pattern, -1)
+    step = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), f.alias("text")))
+    none = F.array().cast("array<struct<text: string, start: int, end: int>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"]
+        return F.concat(acc, F.array(F.struct(x["text"].alias("text"), start.alias("start"), (start + F.length(x["text"])).alias("end"))))
+
+    return F.aggregate(step, none, add)
+
+
 def replace_first(text: Column, word: Column, other: Column) -> Column:
     at = F.instr(text, word)
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), other, F.substring(text, at + F.length(word), F.length(text)))).otherwise(text)

@@ -19,6 +19,26 @@ def listing_report(listings: DataFrame, documents: DataFrame, images: DataFrame)
     return no_images.unionByName(joined.where("reason <> 'good'"))
 
 
+def download_report(listings: DataFrame, images: DataFrame, documents: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(reason, location, listing_id) of listings (listing_id, location) that a crawl left incomplete.
+
+    ``documents`` has listing_id, kind and body; ``kinds`` names each kind wanted and the JSON path that a
+    good body has a value at. ``no folder``: no image of the listing; ``no <kind>``: no document of it, or
+    only null or ``{}`` ones; ``corrupted <kind>``: other bodies, but none with a value at the path. A file
+    of no bytes is not listed by Spark and counts as none.
+    """
+    out = listings.join(images.select("listing_id"), "listing_id", "left_anti").select(F.lit("no folder").alias("reason"), "location", "listing_id")
+    for kind, path in kinds.items():
+        parsed = F.try_parse_json("body")
+        blank = F.trim(F.coalesce("body", F.lit("{}"))) == "{}"
+        state = F.when(blank, 0).when(parsed.isNull() | F.try_variant_get(parsed, path, "variant").isNull(), 1).otherwise(2)
+        best = documents.where((F.col("kind") == kind) & F.col("listing_id").isNotNull()).groupBy("listing_id").agg(F.max(state).alias("_s"))
+        joined = listings.join(best, "listing_id", "left").where(F.coalesce("_s", F.lit(0)) < 2)
+        reason = F.when(F.col("_s") == 1, f"corrupted {kind}").otherwise(f"no {kind}")
+        out = out.unionByName(joined.select(reason.alias("reason"), "location", "listing_id"))
+    return out
+
+
 def missing_images(captions: DataFrame, files: DataFrame) -> DataFrame:
     """(reason, listing_id, photo_id) of captioned photos without a file."""
     return captions.join(files.select("photo_id"), "photo_id", "left_anti").select(F.lit("missing image").alias("reason"), "listing_id", "photo_id")

@@ -134,3 +134,47 @@ def caption_keys(*tables: DataFrame) -> DataFrame:
 def missing(rows: DataFrame, done: DataFrame, on: str) -> DataFrame:
     """Rows whose key isn't there yet: what a resumed run still has to do."""
     return rows.join(done.select(on), on, "left_anti")
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, first): the distinct keys with the place of their first row, which orders them as they were seen."""
+    return rows.groupBy(*keys).agg(F.min(order).alias("first"))
+
+
+def restricted(rows: DataFrame, dataset: DataFrame, on: str = "photo_id") -> DataFrame:
+    """Rows whose key is in the dataset, repeats and order kept; null keys are in none."""
+    return rows.join(dataset.select(on).distinct(), on, "left_semi")
+
+
+def nested_map(rows: DataFrame, outer: str, inner: str, values: list[str], order: str) -> DataFrame:
+    """(outer, inner, values) of the last row of each pair: a map of maps in which the last write wins."""
+    last = rows.groupBy(outer, inner).agg(F.max_by(F.struct(*values), order).alias("_v"))
+    return last.select(outer, inner, *[F.col("_v")[v].alias(v) for v in values])
+
+
+def running_mean(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds ``mean`` of the values of the key up to each row. A key is one worker's timings, which one task holds."""
+    line = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("mean", F.avg(value).over(line))
+
+
+def worker_parts(numbered: DataFrame, n: int, name: str, width: int = 0) -> DataFrame:
+    """Adds ``worker`` of ``n``, by stride, ``place``, the row's number at that worker, and ``part``, its output name."""
+    worker = F.col("row_no") % n
+    part = F.concat(F.lit(name + "."), F.lpad(worker.cast("string"), max(width, len(str(n - 1))), "0"))
+    return numbered.withColumns({"worker": worker, "place": F.floor(F.col("row_no") / n), "part": part})
+
+
+def reassembled(parts: list[DataFrame], n: int) -> DataFrame:
+    """Strides 0..n-1, each with its ``row_no``, put together; a row that is in the wrong stride fails the run."""
+    out = None
+    for i, part in enumerate(parts):
+        wrong = F.raise_error(F.concat(F.lit(f"row not of stride {i}: "), F.col("row_no").cast("string")))
+        checked = part.where(F.when(F.col("row_no") % n == i, F.lit(True)).otherwise(wrong.cast("boolean")))
+        out = checked if out is None else out.unionByName(checked)
+    return out
+
+
+def next_of(values: Column) -> Column:
+    """The value after each one of an array; the last stands for its own next."""
+    return F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, F.greatest(F.size(values), F.lit(1)), F.lit(1)))

@@ -94,3 +94,19 @@ def amenity_map(rows: DataFrame, key: str, group: str, title: str, subtitle: str
 def existing_images(image_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Image rows whose photo has a file."""
     return image_rows.join(files.select("photo_id").distinct(), "photo_id", "left_semi")
+
+
+def amenities(listings: DataFrame, key: str = "listing_id", column: str = "amenities") -> DataFrame:
+    """(key, title, pos, amenity, subtitle): one row for each pair of each group of a map; repeated rows count once, null keys not."""
+    groups = listings.where(F.col(key).isNotNull()).select(key, F.explode(F.map_entries(column)).alias("e"))
+    distinct = groups.select(key, F.col("e.key").alias("title"), F.col("e.value").alias("items")).distinct()
+    pairs = distinct.select(key, "title", F.posexplode("items").alias("pos", "i"))
+    return pairs.select(key, "title", "pos", F.col("i.title").alias("amenity"), F.col("i.subtitle").alias("subtitle"))
+
+
+def latest_reviews(reviews: DataFrame) -> DataFrame:
+    """One record for each review: the last loaded row, of equal times the one of the lowest listing. A null id is one review."""
+    columns = ["listing_id", "comment", "created_at", "language", "is_superhost"]
+    rank = F.struct(F.col("loaded_at").isNotNull(), F.col("loaded_at"), -F.coalesce("listing_id", F.lit(-(1 << 62))))
+    last = reviews.groupBy("review_id").agg(F.max_by(F.struct(*columns), rank).alias("r")).select("review_id", "r.*")
+    return last.withColumn("language", F.lower(F.split_part(F.trim("language"), F.lit("-"), F.lit(1))))

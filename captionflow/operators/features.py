@@ -38,7 +38,7 @@ def decoded(rows: DataFrame, feature_width: int, kind: str = "float64") -> DataF
 
 def per_box(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, box, x1, y1, x2, y2, feature): one row for each box of decoded rows, numbered from 0."""
-    pairs = rows.select(*keys, F.posexplode(F.arrays_zip("boxes", "features")).alias("box", "z"))
+    pairs = rows.select(*keys, F.posexplode(F.arrays_zip("boxes", F.slice("features", F.lit(1), F.size("boxes")).alias("features"))).alias("box", "z"))
     corner = lambda i: F.get(F.col("z.boxes"), F.lit(i))
     return pairs.select(*keys, "box", corner(0).alias("x1"), corner(1).alias("y1"), corner(2).alias("x2"), corner(3).alias("y2"), F.col("z.features").alias("feature"))
 

@@ -1,18 +1,19 @@
 """Photos of one room merged into groups of bounded size.
 
 Guards, grouping and re-chunking are window arithmetic over (listing, room), so a hot
-listing is spread over its rooms. Only the final balancing, which takes groups apart
-until a listing has enough of them, is sequential; it sees group heads, not photos.
+listing is spread over its rooms. Balancing takes photos out of groups by ranks that are
+cut before the shuffle.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionflow.functions import text as T
 from captionflow.session import written
 
+# The rooms whose photos are merged.
 MERGING_ROOMS = ("bedroom", "living_room", "bathroom", "kitchen")
 
 
@@ -43,61 +44,58 @@ def chunked(photos: DataFrame, most: int = 10) -> DataFrame:
 
 
 def balanced(photos: DataFrame, min_captioned: int = 2, min_length: int = 4, seed: int = 1) -> DataFrame:
-    """Adds ``part``: groups are split until a listing has enough captioned groups and enough groups.
-
-    While too few groups hold a caption, one captioned photo leaves a group that holds
-    several; while there are too few groups, one photo leaves a group of several. Choices
-    follow a seeded hash, so they are the same on every run. A listing needs at most
-    ``min_captioned + min_length`` photos taken out. So only that many groups of several
-    photos, and that many photos of each, reach the sequential step, by window ranks: what
-    a task gathers is bounded by the limits, however large the listing is.
+    """Adds ``part``: photos are taken out of their groups until a listing has enough captioned groups and enough groups.
+
+    ``part`` is 0 for a photo that stays and its own id for one that stands alone. In every group one
+    photo stays, a captioned one if there is any, the first in hash order. Of the others, captioned ones go
+    first while too few groups hold a caption, then any while there are too few groups, uncaptioned
+    ones of a group before captioned ones. A listing that hasn't enough photos for it gives all it can.
+    A listing needs at most ``min_captioned + min_length`` photos taken out, so ranks are cut there
+    before the rows are shuffled, and no listing is gathered.
     """
-    photos = written(photos, "chunked")  # read four times below
+    photos = written(photos, "chunked")  # read again for counts, keepers and both choices
     spare = min_captioned + min_length
     group = ["listing_id", "room_group", "chunk"]
-    per_group = photos.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("captioned").alias("c"))
-    need = per_group.groupBy("listing_id").agg(F.count("*").alias("groups"), F.count_if(F.col("c") > 0).alias("with_caption")).where((F.col("groups") < min_length) | (F.col("with_caption") < min_captioned))
-    place = F.sha1(F.concat_ws("|", F.lit(str(seed)), "room_group", "chunk"))
-    rank = lambda many: F.row_number().over(Window.partitionBy("listing_id").orderBy(F.when(many, 0).otherwise(1), place, "room_group", "chunk"))
-    large = per_group.where("n > 1").join(need, "listing_id").withColumns({"rich_rank": rank(F.col("c") > 1), "rank": rank(F.lit(True))})
-    large = large.where((F.col("rich_rank") <= spare) | (F.col("rank") <= spare))
-    line = Window.partitionBy(*group, "captioned").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), "photo_id")), "photo_id")
-    heads = photos.select(*group, "photo_id", "captioned").join(large, group).withColumn("place", F.row_number().over(line)).where(F.col("place") <= spare)
-
-    def take_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: dict[tuple, dict] = {}
-        cells = pdf.sort_values("place")[["room_group", "chunk", "n", "c", "rank", "rich_rank", "captioned", "photo_id"]]
-        for room, chunk, n, c, place, rich, captioned, photo in zip(*(cells[x].tolist() for x in cells.columns)):
-            g = found.setdefault((room, chunk), {"n": n, "c": c, "rank": place, "rich_rank": rich, True: [], False: []})
-            g[bool(captioned)].append(photo)
-        n_groups, n_captioned = int(pdf["groups"].iloc[0]), int(pdf["with_caption"].iloc[0])
-        taken: list[int] = []
-
-        def move(g: dict, captioned: bool) -> None:
-            taken.append(g[captioned].pop(0))
-            g["n"], g["c"] = g["n"] - 1, g["c"] - captioned
-
-        for g in sorted(found.values(), key=lambda g: g["rich_rank"]):
-            while n_captioned < min_captioned and g["c"] > 1 and g[True]:
-                move(g, True)
-                n_captioned, n_groups = n_captioned + 1, n_groups + 1
-        for g in sorted(found.values(), key=lambda g: g["rank"]):
-            while n_groups < min_length and g["n"] > 1 and (g[False] or g[True]):
-                # a captioned photo only leaves if another one stays or no other photo is there
-                move(g, not g[False] or bool(g["c"] > 1 and g[True]))
-                n_groups += 1
-        return pd.DataFrame({"_l": pdf["listing_id"].iloc[0], "_p": pd.Series(taken, dtype="int64")})
-
-    # a fixed number of partitions: few bytes, but much work in each
-    heads = heads.repartition(int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "listing_id")
-    out = heads.groupBy("listing_id").applyInPandas(take_out, "_l long, _p long")
-    return photos.join(out, (F.col("listing_id") == F.col("_l")) & (F.col("photo_id") == F.col("_p")), "left").withColumn("part", F.coalesce(F.col("_p"), F.lit(0))).drop("_l", "_p")
+    mark = F.struct((~F.col("captioned")).alias("plain"), T.hash_rank_key(seed, F.col("photo_id")).alias("h"), F.col("photo_id").alias("id"))
+    per_group = photos.groupBy(*group).agg(F.max("captioned").alias("c"), F.min(mark)["id"].alias("keeper"))
+    need = per_group.groupBy("listing_id").agg(F.count("*").alias("groups"), F.count_if("c").alias("rich"))
+    need = need.where((F.col("groups") < min_length) | (F.col("rich") < min_captioned))
+    free = photos.join(need, "listing_id").join(per_group.select(*group, "keeper"), group).where(F.col("photo_id") != F.col("keeper"))
+    place = [T.hash_rank_key(seed, F.col("room_group"), F.col("chunk")), "room_group", "chunk"]
+    order = [T.hash_rank_key(seed, F.col("photo_id")), "photo_id"]
+    first = Window.partitionBy("listing_id").orderBy(*place, *order)
+    rich = free.where("captioned").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= spare)
+    rich = written(rich.where(F.col("_r") <= min_captioned - F.col("rich")).select("listing_id", "photo_id"), "first_taken")
+    taken = rich.groupBy("listing_id").agg(F.count("*").alias("_t"))
+    left = free.join(rich, ["listing_id", "photo_id"], "left_anti").join(taken, "listing_id", "left")
+    second = Window.partitionBy("listing_id").orderBy(*place, "captioned", *order)
+    more = left.withColumn("_r", F.row_number().over(second)).where(F.col("_r") <= spare)
+    more = more.where(F.col("_r") <= min_length - F.col("groups") - F.coalesce("_t", F.lit(0))).select("listing_id", "photo_id")
+    out = rich.unionByName(more).withColumnsRenamed({"listing_id": "_l", "photo_id": "_p"})
+    joined = photos.join(out, (F.col("listing_id") == F.col("_l")) & (F.col("photo_id") == F.col("_p")), "left")
+    return joined.withColumn("part", F.coalesce(F.col("_p"), F.lit(0))).drop("_l", "_p")
+
+
+def merged_groups(photos: DataFrame, block: int = 1000) -> DataFrame:
+    """(listing_id, room_group, chunk, part, block, n, members): the groups of ``balanced`` by blocks of their photos.
+
+    ``members`` is at most about ``block`` photos in order, so a group as large as a listing, which
+    chunking leaves where captions are few, is in no single row; ``n`` is the size of the block.
+    """
+    sizes = photos.groupBy("listing_id", "room_group", "chunk", "part").agg(F.count("*").alias("_n"))
+    cols = ["listing_id", "room_group", "chunk", "part"]
+    blocks = F.when(F.col("_n") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64("photo_id"), F.ceil(F.col("_n") / block).cast("int"))).cast("int")
+    rows = photos.join(sizes, cols).withColumn("block", blocks)
+    made = rows.groupBy(*cols, "block").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "photo_id"))).alias("g"))
+    return made.select(*cols, "block", "n", F.transform("g", lambda x: x["photo_id"]).alias("members"))
 
 
 def merged_photos(photos: DataFrame) -> DataFrame:
     """(photo_id, merging, weights, room) for every photo: the photos of its group, itself first.
 
-    A group has at most a few tens of photos, as chunking bounds it.
+    This is the shape of the dataset items, so each row carries its whole group; ``merged_groups`` gives
+    every group once. Chunking bounds a group by its captions: a group of n photos of which c have one
+    holds about n / min(c, n / 10) photos.
     """
     cols = ["listing_id", "room_group", "chunk", "part"]
     members = photos.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("pos", "photo_id", "score"))).alias("g"))

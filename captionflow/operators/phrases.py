@@ -73,6 +73,40 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(T.spaced(text), F.lit(f"({PHRASE})"), 1)
 
 
+def tree_phrases(tree: Column, low: int = 1, high: int = 5, forbidden: tuple[str, ...] = FORBIDDEN) -> Column:
+    """``walk`` over parse trees in JSON, in Arrow batches, as a tree nests without bound; null or broken text gives null."""
+
+    @F.pandas_udf("array<string>")
+    def run(items: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else walk(t, low, high, forbidden) for t in _trees(items)], dtype=object)
+
+    return run(tree)
+
+
+def tree_spans(tree: Column, sentence: Column, kinds: tuple[str, ...] = ("NP",), low: int = 2, high: int = 6, forbidden: tuple[str, ...] = ()) -> Column:
+    """``spans_of`` over parse trees in JSON as array<struct<start, end>>; null or broken text gives null."""
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def run(items: pd.Series, texts: pd.Series) -> pd.Series:
+        found = [None if t is None or s is None else spans_of(t, s, kinds, low, high, forbidden) for t, s in zip(_trees(items), texts)]
+        return pd.Series([None if f is None else [{"start": a, "end": b} for a, b in f] for f in found], dtype=object)
+
+    return run(tree, sentence)
+
+
+def _trees(items: pd.Series) -> list[dict | None]:
+    import json
+
+    out = []
+    for item in items:
+        try:
+            tree = json.loads(item)
+        except (TypeError, ValueError, RecursionError):
+            tree = None
+        out.append(tree if isinstance(tree, dict) else None)
+    return out
+
+
 def extract(
     rows: DataFrame,
     sentence: str = "sentence",

@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionflow.functions import text as T
+from captionflow.operators.running import hash_order
 from captionflow.session import written
 
+#: Seed of the slots in which listings find each other.
+SLOT_SEED = 5
+
 
 def positives(photos: DataFrame, seed: int = 0, min_length: int = 4, max_length: int = 7, min_captioned: int = 2, max_captioned: int = 7) -> DataFrame:
     """(listing_id, photos, captioned): the sequence of each listing (listing_id, photo_id, caption) with enough photos and captions.
@@ -48,9 +52,12 @@ def with_negatives(positive: DataFrame, n_negatives: int = 2, per_slot: int = 10
     slots = max(1, positive.count() // per_slot)
     times = F.sequence(F.lit(1), F.lit(n_negatives))
     turned = positive.withColumns({"neg_images": F.transform(times, lambda k: rotated(F.col("photos"), k)), "neg_captions": F.transform(times, lambda k: rotated(F.col("captioned"), k))})
-    line = Window.partitionBy(F.pmod(F.xxhash64(F.lit("slot"), "listing_id"), F.lit(slots))).orderBy(F.sha1(F.col("listing_id").cast("string")), "listing_id")
+    line = Window.partitionBy(F.shiftright(hash_order("listing_id", seed=SLOT_SEED), 3) % slots).orderBy(F.sha1(F.col("listing_id").cast("string")), "listing_id")
     every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    others = [F.coalesce(F.lead("photos", k).over(line), F.when(F.count("*").over(every) > k, F.nth_value("photos", k).over(every))) for k in range(1, n_negatives + 1)]
+    size, place = F.count("*").over(every), F.row_number().over(line)
+    # the last listings of a slot go on at its first ones
+    around = lambda k: [F.when((size > k) & (place == size - k + j), F.nth_value("photos", j).over(every)) for j in range(1, k + 1)]
+    others = [F.coalesce(F.lead("photos", k).over(line), *around(k)) for k in range(1, n_negatives + 1)]
     return turned.withColumn("neg_randoms", F.filter(F.array(*others), lambda x: x.isNotNull() & (x != F.col("photos"))))
 
 

@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from captionflow.plans import corpus, perturbed, records
+from captionflow.plans import corpus, entries, perturbed, records
 
-QUERIES = {**corpus.QUERIES, **perturbed.QUERIES, **records.QUERIES}
-ORACLE = {**corpus.ORACLE, **perturbed.ORACLE, **records.ORACLE}
+QUERIES = {**corpus.QUERIES, **entries.QUERIES, **perturbed.QUERIES, **records.QUERIES}
+ORACLE = {**corpus.ORACLE, **entries.ORACLE, **perturbed.ORACLE, **records.ORACLE}

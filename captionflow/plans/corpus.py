@@ -11,19 +11,12 @@ from captionflow.functions import arrays as A
 from captionflow.functions import text as T
 from captionflow.functions import views as V
 from captionflow.operators import audit, boxes, captions, crawl, detections, documents, merging, phrases, trajectories
+from captionflow.operators.running import hash_order_sql
+from captionflow.plans.registry import Registry
 from captionflow.tables import table
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
+_R = Registry()
+QUERIES, ORACLE, query = _R.queries, _R.oracle, _R.query
 
 
 # Stand-ins for the reference's tables ----------------------------------------------------------------
@@ -283,10 +276,34 @@ def room_groups_chunked(spark, d):
     return merging.chunked(merging.grouped(merging.fit_detections(room_photos(spark, d)))).select("listing_id", "photo_id", "room_group", "chunk")
 
 
-@query()
-def room_groups_balanced(spark, d):
+_CHUNKED = f"""{_ROOMS}, w AS (SELECT *, count(*) OVER g AS n, count(*) FILTER (WHERE captioned) OVER g AS c, row_number() OVER (g ORDER BY photo_id) - 1 AS i, count(*) FILTER (WHERE captioned) OVER (g ORDER BY photo_id) - 1 AS k FROM grp WINDOW g AS (PARTITION BY listing_id, room_group)),
+chk AS (SELECT listing_id, photo_id, room_group, captioned, CAST(CASE WHEN n <= 10 THEN 0 WHEN captioned AND k < m THEN k ELSE i % m END AS INT) AS chunk FROM (SELECT *, greatest(1, least(CAST(ceil(n / 10.0) AS BIGINT), c)) AS m FROM w))"""
+_BALANCED = f"""{_CHUNKED}, ph2 AS (SELECT *, sha1(concat_ws('|', '1', photo_id)) AS h, sha1(concat_ws('|', '1', room_group, chunk)) AS gh FROM chk),
+kept AS (SELECT *, row_number() OVER (PARTITION BY listing_id, room_group, chunk ORDER BY captioned DESC, h, photo_id) AS kr FROM ph2),
+lst AS (SELECT listing_id, count(*) FILTER (WHERE kr = 1) AS groups, count(*) FILTER (WHERE kr = 1 AND captioned) AS rich FROM kept GROUP BY 1),
+one AS (SELECT listing_id, photo_id FROM (SELECT kept.*, row_number() OVER (PARTITION BY listing_id ORDER BY gh, room_group, chunk, h, photo_id) AS r, rich FROM kept JOIN lst USING (listing_id) WHERE captioned AND kr > 1) WHERE r <= 12 - rich),
+two AS (SELECT listing_id, photo_id FROM (SELECT kept.*, groups, row_number() OVER (PARTITION BY listing_id ORDER BY gh, room_group, chunk, captioned, h, photo_id) AS r, coalesce(t, 0) AS t FROM kept JOIN lst USING (listing_id) LEFT JOIN (SELECT listing_id, count(*) AS t FROM one GROUP BY 1) USING (listing_id) WHERE kr > 1 AND photo_id NOT IN (SELECT photo_id FROM one)) WHERE r <= 30 - groups - t),
+bal AS (SELECT listing_id, photo_id, room_group, chunk, CASE WHEN photo_id IN (SELECT photo_id FROM one UNION ALL SELECT photo_id FROM two) THEN photo_id ELSE 0 END AS part FROM chk)"""
+
+
+def balanced_photos(spark: SparkSession, d: str) -> DataFrame:
     chunks = merging.chunked(merging.grouped(merging.fit_detections(room_photos(spark, d))))
-    return merging.merged_photos(merging.balanced(chunks, min_captioned=12, min_length=30))
+    return merging.balanced(chunks, min_captioned=12, min_length=30)
+
+
+@query(f"WITH {_BALANCED} SELECT * FROM bal")
+def room_groups_balanced(spark, d):
+    return balanced_photos(spark, d).select("listing_id", "photo_id", "room_group", "chunk", "part")
+
+
+@query(f"WITH {_BALANCED} SELECT listing_id, room_group, chunk, part, 0 AS block, count(*) AS n, list(photo_id ORDER BY photo_id) AS members FROM bal GROUP BY ALL")
+def room_groups_merged(spark, d):
+    return merging.merged_groups(balanced_photos(spark, d))
+
+
+@query(f"WITH {_BALANCED} SELECT a.photo_id, [a.photo_id] || coalesce(list(b.photo_id ORDER BY b.photo_id) FILTER (WHERE b.photo_id <> a.photo_id), []) AS merging FROM bal a JOIN bal b USING (listing_id, room_group, chunk, part) GROUP BY 1")
+def room_merging_items(spark, d):
+    return merging.merged_photos(balanced_photos(spark, d)).select("photo_id", "merging")
 
 
 # Documents -----------------------------------------------------------------------------------------
@@ -323,15 +340,12 @@ def json_path(spark, d):
 @query("""WITH g AS (SELECT DISTINCT listing_id, k.key AS title, k.value AS items FROM listings, unnest(map_entries(amenities)) AS u(k) WHERE listing_id IS NOT NULL)
 SELECT listing_id, title, unnest(items).title AS amenity FROM g""")
 def amenities_exploded(spark, d):
-    rows = table(spark, d, "listings").where("listing_id is not null").select("listing_id", F.explode(F.map_entries("amenities")).alias("e")).select("listing_id", F.col("e.key").alias("title"), F.col("e.value").alias("items")).distinct()
-    return rows.select("listing_id", "title", F.explode("items").alias("i")).select("listing_id", "title", F.col("i.title").alias("amenity"))
+    return documents.amenities(table(spark, d, "listings")).select("listing_id", "title", "amenity")
 
 
 @query("SELECT listing_id, review_id, comment, created_at, lower(split_part(trim(language), '-', 1)) AS language, is_superhost FROM reviews QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY loaded_at DESC NULLS LAST, listing_id) = 1")
 def review_records(spark, d):
-    last = Window.partitionBy("review_id").orderBy(F.col("loaded_at").desc_nulls_last(), "listing_id")
-    r = table(spark, d, "reviews").withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return r.select("listing_id", "review_id", "comment", "created_at", F.lower(F.split_part(F.trim("language"), F.lit("-"), F.lit(1))).alias("language"), "is_superhost")
+    return documents.latest_reviews(table(spark, d, "reviews"))
 
 
 # Phrases and perturbations --------------------------------------------------------------------------
@@ -369,39 +383,10 @@ def switch_pairs(spark, d):
     return pairs.where("x.first <> x.second").select("p_partkey", F.concat_ws(" ", "x.second", "x.first").alias("switched"))
 
 
-_CATS = {"red": "colour", "blue": "colour", "green": "colour", "small": "size", "large": "size", "hot": "temperature", "cold": "temperature"}
-_CAT_SQL = "(VALUES " + ", ".join(f"('{w}', '{c}', {i})" for i, (w, c) in enumerate(_CATS.items())) + ") AS k(w, c, o)"
-
-
-@query(f"""WITH f AS (SELECT p_partkey, p_name, arg_min(w, o) AS w, arg_min(c, o) AS c FROM part, {_CAT_SQL} WHERE contains(p_name, w) GROUP BY ALL)
-SELECT p_partkey, replace(p_name, f.w, k.w) AS variant FROM f, {_CAT_SQL} WHERE k.c <> f.c""")
-def noun_replace(spark, d):
-    words = spark.createDataFrame([(w, c) for w, c in _CATS.items()], "w string, c string")
-    first = F.get(F.filter(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in _CATS.items()]), lambda x: F.contains("p_name", x["w"])), F.lit(0))
-    found = table(spark, d, "part").select("p_partkey", "p_name", first.alias("f")).where("f is not null")
-    return found.join(F.broadcast(words), F.col("f.c") != F.col("c")).select("p_partkey", F.replace("p_name", F.col("f.w"), F.col("w")).alias("variant"))
-
-
-_TOP_SQL = """WITH v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part), c AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) || ' ' || w AS variant FROM part, v WHERE w <> split_part(p_name, ' ', 2)),
-r AS (SELECT p_partkey, variant, row_number() OVER (PARTITION BY p_partkey ORDER BY sha1(concat_ws('|', '0', p_partkey, variant)), variant) AS n FROM c) SELECT p_partkey, variant, n AS place FROM r WHERE n <= 3"""
+_M = "[^\\p{L}\\p{M}\\p{N}_]"
 
 
-@query(_TOP_SQL)
-def perturb_top(spark, d):
-    """At most three variants of each name, by seeded hash; the vocabulary is the small set of second words."""
-    p = table(spark, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"))
-    joined = p.join(p.select(F.col("b").alias("w")).distinct(), F.col("w") != F.col("b")).select("p_partkey", F.concat_ws(" ", "a", "w").alias("variant"))
-    line = Window.partitionBy("p_partkey").orderBy(T.hash_rank_key(0, F.col("p_partkey"), F.col("variant")), "variant")
-    return joined.withColumn("place", F.row_number().over(line).cast("long")).where("place <= 3")
-
-
-@query("""SELECT p_partkey, list_transform([p_name, p_type], lambda x: replace(x, 'red', 'blue')) AS instructions, list_transform([p_name, p_type], lambda x: contains(x, 'red')) AS corrupted FROM part""")
-def corrupt_flags(spark, d):
-    v = F.array("p_name", "p_type")
-    return table(spark, d, "part").select("p_partkey", F.transform(v, lambda x: F.coalesce(F.when(F.contains(x, F.lit("red")), F.replace(x, F.lit("red"), F.lit("blue"))), x)).alias("instructions"), F.transform(v, lambda x: F.contains(x, F.lit("red"))).alias("corrupted"))
-
-
-@query()
+@query(f"SELECT item_id AS pos, CASE WHEN regexp_matches(regexp_replace(c, '^{_M}+|{_M}+$', '', 'g'), '[\\n\\r]') OR NOT regexp_matches(c, '[\\p{{L}}\\p{{M}}\\p{{N}}_]') THEN c ELSE right(regexp_extract(c, '^{_M}*'), 1) || '[MASK]' || right(regexp_extract(c, '{_M}*$'), 1) END AS masked FROM (SELECT item_id, coalesce(caption, '') AS c FROM captions)")
 def mask_tokens(spark, d):
     return caption_rows(spark, d).select("pos", T.masked(F.coalesce("caption", F.lit(""))).alias("masked"))
 
@@ -460,25 +445,50 @@ def scale_factors(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(V.scale_factor(w, h), 9).alias("factor"))
 
 
-@query()
+_IOU = "(greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1))"
+_AREA = "({0}.x2 - {0}.x1 + 1) * ({0}.y2 - {0}.y1 + 1)"
+_BOXES = """b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, box) AS n FROM (SELECT l_orderkey AS image, l_partkey * 10 + l_linenumber AS box, l_linenumber AS class, l_extendedprice AS confidence,
+(l_quantity * 10)::DOUBLE AS x1, (l_discount * 1000)::DOUBLE AS y1, (l_quantity * 10 + 200)::DOUBLE AS x2, (l_discount * 1000 + 80)::DOUBLE AS y2 FROM lineitem))"""
+_KEPT = f"""{_BOXES}, r AS (SELECT image, n, [b] AS kept FROM b WHERE n = 1
+UNION ALL SELECT r.image, b.n, CASE WHEN len(list_filter(kept, lambda k: {_IOU} / ({_AREA.format("k")} + {_AREA.format("b")} - {_IOU}) > 0.3)) = 0 THEN kept || [b] ELSE kept END FROM r JOIN b ON b.image = r.image AND b.n = r.n + 1),
+k AS (SELECT unnest(arg_max(kept, n)) AS x FROM r GROUP BY image)"""
+
+
+def detected_boxes(spark: SparkSession, d: str) -> DataFrame:
+    x, y = (F.col("l_quantity") * 10).cast("double"), (F.col("l_discount") * 1000).cast("double")
+    key = (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("box")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), key, F.col("l_linenumber").alias("class"), F.col("l_extendedprice").alias("confidence"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), (y + 80).alias("y2"))
+
+
+@query(f"WITH RECURSIVE {_KEPT} SELECT x.image, x.box, x.confidence FROM k")
 def box_suppressed(spark, d):
-    x, y = F.col("l_quantity") * 10, F.col("l_discount") * 1000
-    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("box"), F.col("l_extendedprice").alias("confidence"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), (y + 80).alias("y2"))
-    return boxes.non_maximum(b, 0.3)
+    return boxes.non_maximum(detected_boxes(spark, d), 0.3).select("image", "box", "confidence")
 
 
-@query()
+@query(f"WITH RECURSIVE {_KEPT} SELECT x.image AS image, max(x.confidence) AS confidence FROM k WHERE x.class > 1 GROUP BY 1")
+def box_maximum_after_suppression(spark, d):
+    """The greatest score of the boxes that survive, the first class being the background."""
+    kept = boxes.non_maximum(detected_boxes(spark, d), 0.3).withColumn("class", F.col("class") - 1)
+    return boxes.class_maximum(kept.withColumn("score", F.col("confidence")), ["image"])
+
+
+@query("""WITH w AS (SELECT l_orderkey AS image, l_partkey * 10 + l_linenumber AS box, l_extendedprice AS confidence FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, box) AS n FROM w)
+SELECT image, box, confidence, count(*) FILTER (WHERE confidence <> 0) OVER (PARTITION BY image) AS num_boxes FROM r WHERE n <= 3""")
+def box_top_numbers(spark, d):
+    return boxes.top_boxes(detected_boxes(spark, d), "image", "confidence", 3).select("image", "box", "confidence", "num_boxes")
+
+
+@query("""WITH RECURSIVE e AS (SELECT label AS image, vec_id AS box, embedding::DOUBLE[] AS f, vec_id % 7 / 2.0 AS h, vec_id % 3 / 4.0 AS el, embedding[1]::DOUBLE AS best, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS t FROM embeddings),
+p AS (SELECT a.image, a.t, a.n AS i, b.n AS j, a.best AS bi, b.best AS bj, row_number() OVER (PARTITION BY a.image ORDER BY 1 - list_cosine_similarity(a.f, b.f) + least(abs(a.h - b.h), 2 * pi() - abs(a.h - b.h)) + abs(a.el - b.el), a.n, b.n) AS k FROM e a JOIN e b ON a.image = b.image AND b.n < a.n),
+r AS (SELECT image, 0 AS k, [0]::BIGINT[] AS dead, any_value(t) AS alive FROM e GROUP BY image
+UNION ALL SELECT r.image, p.k, CASE WHEN hit THEN dead || [CASE WHEN bi > bj THEN j ELSE i END] ELSE dead END, alive - CASE WHEN hit THEN 1 ELSE 0 END FROM (SELECT r.*, p.* EXCLUDE (image, k), p.k AS pk, NOT list_contains(dead, i) AND NOT list_contains(dead, j) AS hit FROM r JOIN p ON p.image = r.image AND p.k = r.k + 1 WHERE r.alive > 20) AS r(image, k, dead, alive, t, i, j, bi, bj, pk, hit), (SELECT 1) AS one, LATERAL (SELECT pk AS k) AS p),
+d AS (SELECT image, arg_max(dead, k) AS dead FROM r GROUP BY image)
+SELECT e.image, e.box FROM e JOIN d USING (image) WHERE NOT list_contains(dead, n)""")
 def redundancy_filter(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("box"), F.transform("embedding", lambda v: v.cast("double")).alias("feature"), (F.col("vec_id") % 7 / 2.0).alias("heading"), (F.col("vec_id") % 3 / 4.0).alias("elevation"), F.col("embedding")[0].cast("double").alias("best"))
     return boxes.without_redundant(e, most=20).select("image", "box")
 
 
-@query("SELECT vec_id, to_base64(encode('v' || vec_id)) AS value, octet_length(encode('v' || vec_id)) > 2 AS filled FROM embeddings")
-def key_values(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.base64(F.encode(F.concat(F.lit("v"), "vec_id"), "utf-8")).alias("value"))
-    return e.withColumn("filled", F.octet_length(F.unbase64("value")) > 2)
-
-
 @query("SELECT vec_id, embedding[1:8] AS head, [CASE WHEN i <= len(embedding) // 16 THEN 1 ELSE 0 END FOR i IN range(1, 9)] AS mask FROM embeddings")
 def padded_matrix(spark, d):
     rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 16).cast("int") - 1), lambda i: F.slice("embedding", i * 16 + 1, 16))
@@ -498,7 +508,14 @@ def trajectories_positive(spark, d):
     return trajectories.positives(table(spark, d, "images"))
 
 
-@query()
+_SLOT = f"(({hash_order_sql('listing_id', seed=trajectories.SLOT_SEED)}) // 8) % greatest(1, (SELECT count(*) FROM pos) // 1000)"
+_TURN = "list_transform([1, 2], lambda k: list_concat({0}[k % len({0}) + 1:], {0}[1:k % len({0})]))"
+
+
+@query(f"""WITH pos AS ({_TRAJ}), line AS (SELECT *, {_SLOT} AS slot, sha1(listing_id::VARCHAR) AS lh FROM pos),
+nxt AS (SELECT *, count(*) OVER (PARTITION BY slot) AS t, row_number() OVER (PARTITION BY slot ORDER BY lh, listing_id) - 1 AS n FROM line)
+SELECT a.listing_id, a.photos AS positive, {_TURN.format("a.captioned")} AS neg_captions, {_TURN.format("a.photos")} AS neg_images, list_filter([b.photos, c.photos], lambda x: x IS NOT NULL AND x <> a.photos) AS neg_randoms
+FROM nxt a LEFT JOIN nxt b ON b.slot = a.slot AND b.n = (a.n + 1) % a.t AND a.t > 1 LEFT JOIN nxt c ON c.slot = a.slot AND c.n = (a.n + 2) % a.t AND a.t > 2""")
 def trajectories_fixed(spark, d):
     return trajectories.fixed_samples(table(spark, d, "images"))
 
@@ -517,13 +534,15 @@ def closure(spark, d):
     return crawl.closure(e, spark.createDataFrame([(1,)], "node long"))
 
 
-@query("SELECT listing_id, item_id AS pos, coalesce(lead(photo_id) OVER (PARTITION BY listing_id ORDER BY item_id), photo_id) AS next_photo FROM captions WHERE photo_id IS NOT NULL")
-def next_photo(spark, d):
-    line = Window.partitionBy("listing_id").orderBy("pos")
-    return caption_rows(spark, d).where("photo_id is not null").select("listing_id", "pos", F.coalesce(F.lead("photo_id").over(line), "photo_id").alias("next_photo"))
+@query("SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS path, list_concat(list(l_suppkey ORDER BY l_linenumber, l_suppkey)[2:], list(l_suppkey ORDER BY l_linenumber, l_suppkey)[-1:]) AS next FROM lineitem GROUP BY 1")
+def next_headings(spark, d):
+    """Sorted lists of each order, which hold at most seven lines, and the value after each one."""
+    line = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"])
+    paths = table(spark, d, "lineitem").groupBy("l_orderkey").agg(line.alias("path"))
+    return paths.withColumn("next", captions.next_of(F.col("path")))
 
 
 @query("SELECT label, list_sort(list(vec_id) FILTER (WHERE vec_id % 3 <> 0)) AS kept FROM embeddings GROUP BY 1")
 def index_difference(spark, d):
     g = table(spark, d, "embeddings").groupBy("label").agg(F.collect_list("vec_id").alias("every"), F.collect_list(F.when(F.col("vec_id") % 3 == 0, F.col("vec_id"))).alias("rejected"))
-    return g.select("label", F.array_sort(F.array_except("every", "rejected")).alias("kept"))
+    return g.select("label", A.index_difference(F.col("every"), F.col("rejected")).alias("kept"))

@@ -108,15 +108,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and survives the loss of any executor. It goes when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "captionflow", f"{name}-{uuid.uuid4().hex}")
+    path = scratch(spark, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _WRITTEN[path] = (place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = os.path.join(shared_folder(spark), "captionflow", f"{name}-{uuid.uuid4().hex}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN[path] = (place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
+    return path
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spreads rows by a key over all cores if the input comes in fewer than half as many partitions.
 

@@ -28,10 +28,10 @@ def read_captions(spark: SparkSession, path: str | list[str], **options) -> Data
     return read_tsv(spark, path, "captions", **options)
 
 
-def read_json_items(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One row for each element of an array document, or for each line object."""
+def read_json_items(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """One row for each element of the array documents, or with ``lines`` for each line object."""
     wanted = schemas.schema(schema) if isinstance(schema, str) and schema in schemas.names() else schema
-    return spark.read.schema(wanted).json(path, multiLine=True)
+    return spark.read.schema(wanted).json(path, multiLine=not lines)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -42,24 +42,32 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None =
     return reader.text(path).select(T.strip(F.col("value")).alias("value"))
 
 
-def read_listing_documents(spark: SparkSession, path: str, file_name: str = "photos.json") -> DataFrame:
+def read_listing_documents(spark: SparkSession, path: str, file_name: str = "photos.json", root: str | None = None) -> DataFrame:
     """(listing_id, body, path) of the first readable document of each listing.
 
-    The listing is the folder above the file; folders whose name is no number and
-    documents that are no JSON are left out, the first path of the rest counts.
+    The listing is the folder above the file, ``file_name`` a glob such as ``reviews*.json``. Folders whose
+    name is no number and documents that are no JSON, or have nothing at the JSON path ``root``, are left
+    out; the first path of the rest counts.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(path, wholetext=True)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), rf"/(\d+)/{file_name}$", 1).try_cast("long").alias("listing_id"), F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"))
-    good = named.where(F.col("listing_id").isNotNull() & F.try_parse_json("body").isNotNull())
+    good = all_documents(spark, path, file_name).where(F.col("listing_id").isNotNull() & F.try_parse_json("body").isNotNull())
+    if root:
+        good = good.where(F.try_variant_get(F.try_parse_json("body"), root, "variant").isNotNull())
     first = Window.partitionBy("listing_id").orderBy("path")
     return good.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def all_documents(spark: SparkSession, path: str, file_name: str) -> DataFrame:
+    """(listing_id, body, path) of all files of that name or glob: rooms, details, reviews or photos of a crawl."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(path, wholetext=True)
+    place = F.col("_metadata.file_path")
+    return files.select(F.regexp_extract(place, r"/(\d+)/[^/]+$", 1).try_cast("long").alias("listing_id"), F.col("value").alias("body"), place.alias("path"))
+
+
 def unreadable_documents(spark: SparkSession, path: str, file_name: str = "photos.json") -> DataFrame:
     """(path, reason) of the documents that ``read_listing_documents`` leaves out as empty or corrupt."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(path, wholetext=True)
-    blank = F.trim("value") == ""
-    return files.where(blank | F.try_parse_json("value").isNull()).select(F.col("_metadata.file_path").alias("path"), F.when(blank, "empty").otherwise("corrupt").alias("reason"))
+    blank = F.trim("body") == ""
+    bad = all_documents(spark, path, file_name).where(blank | F.try_parse_json("body").isNull())
+    return bad.select("path", F.when(blank, "empty").otherwise("corrupt").alias("reason"))
 
 
 def read_open_data(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -68,9 +76,13 @@ def read_open_data(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def read_place_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of comma files without the first of each file, uncut: fields are split plainly later."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    return lines.where("n > 0 and line <> ''").select("line")
+    """The lines of comma files without the first of each file, uncut: fields are split plainly later.
+
+    Files are read line by line in splits. The first line of a file is the one that a reader with a
+    header takes off the split at the file's start; no separator of the format cuts a line.
+    """
+    reader = spark.read.schema("line string").options(sep="\u0001", header=True, enforceSchema=True, quote="", maxCharsPerColumn=-1)
+    return reader.csv(path).where("line <> ''")
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +90,14 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key")
 
 
+def read_key_values(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """All rows of a key-value table, or those of ``keys`` (key); files are sorted by key, so a filter on it prunes row groups."""
+    rows = spark.read.parquet(path)
+    return rows if keys is None else rows.join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, listing_id, photo_id, length, content) of the files that aren't empty; the content is read only where it is used."""
+    """(path, listing_id, photo_id, length, content) of all files but those of no bytes, which Spark doesn't list; the content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path)
     name = F.regexp_extract("path", r"/(\d+)[-_](\d+)\.[^./]+$", 1).try_cast("long")
     return files.select("path", name.alias("listing_id"), T.photo_of_path(F.col("path")).alias("photo_id"), "length", "content")
@@ -103,10 +121,11 @@ def decoded_images(images: DataFrame, decode) -> DataFrame:
     return images.withColumn("_s", size("content")).where("_s.width is not null").select("*", "_s.width", "_s.height").drop("_s")
 
 
-def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """(scan, image_id) of the included nodes of ``{scan}_connectivity.json`` files."""
+def read_graph(spark: SparkSession, path: str, scans: DataFrame | None = None) -> DataFrame:
+    """(scan, image_id) of the included nodes of ``{scan}_connectivity.json`` files, of the ``scans`` (value) if given."""
     nodes = spark.read.schema("image_id string, included boolean").option("pathGlobFilter", "*_connectivity.json").json(path, multiLine=True)
-    return nodes.where("included").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_connectivity\.json$", 1).alias("scan"), "image_id")
+    named = nodes.where("included").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_connectivity\.json$", 1).alias("scan"), "image_id")
+    return named if scans is None else named.join(scans.select(F.col("value").alias("scan")).distinct(), "scan", "left_semi")
 
 
 def panorama(nodes: DataFrame) -> DataFrame:

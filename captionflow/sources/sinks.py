@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
-    """No header, minimal quotes doubled inside, LF; columns not asked for are left out, nulls become empty texts."""
-    (df.select(*columns) if columns else df).write.mode(mode).csv(path, sep="\t", quote='"', escape='"', emptyValue="", nullValue="", lineSep="\n")
+def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", line_end: str = "\n", header: bool = False) -> None:
+    """Minimal quotes doubled inside, white space kept; columns not asked for are left out, nulls become empty texts. ``line_end`` may be CRLF."""
+    chosen = df.select(*columns) if columns else df
+    chosen.write.mode(mode).csv(path, sep="\t", quote='"', escape='"', emptyValue="", nullValue="", lineSep=line_end, header=header, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "error", document: bool = False) -> None:
+    """JSON lines, or with ``document`` one indented array in each part file; ``files.read_json_items`` reads either."""
+    if not document:
+        df.write.mode(mode).json(path, ignoreNullFields=False)
+        return
+    items = df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
+        for batch in batches:
+            rows = []
+            for item in batch.column(0).to_pylist():
+                rows.append(("," if opened else "[") + item)
+                opened = True
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"])], names=["value"])
 
-def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).json(path, ignoreNullFields=False)
+    items.mapInArrow(array, "value string").write.mode(mode).text(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "error") -> None:
@@ -43,3 +63,37 @@ def quarantine(df: DataFrame, good, path: str) -> DataFrame:
     """Writes the rows for which ``good`` isn't true beside the data and returns the others."""
     df.where(~F.coalesce(good, F.lit(False))).write.mode("append").json(path)
     return df.where(good)
+
+
+def put(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One small file by the Hadoop file system: an answer of a crawl, a list of scans, an image."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
+def write_images(images: DataFrame, path: str, metadata=None, mode: str = "error", existing: DataFrame | None = None) -> None:
+    """Key-value table of images (path, content): key is the file stem, with ``metadata`` (bytes -> map of texts, or None).
+
+    The metadata reader, such as one of EXIF tags, is given, as no image library is required. Images it
+    can't read have none. Keys in ``existing`` are skipped.
+    """
+    rows = images.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("key"), "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            found = []
+            for content in batch.column("content").to_pylist():
+                try:
+                    tags = metadata(content) if metadata else None
+                except Exception:  # noqa: BLE001 - whatever the reader says, there are no tags
+                    tags = None
+                found.append(None if tags is None else [(str(k), str(v)) for k, v in tags.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=["key", "content", "metadata"])
+
+    made = rows.mapInArrow(read, "key string, content binary, metadata map<string, string>")
+    write_key_values(made, "key", path, mode, existing)

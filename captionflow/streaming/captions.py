@@ -11,7 +11,7 @@ from captionflow.functions import text as T
 
 def caption_stream(spark: SparkSession, path: str) -> DataFrame:
     """TSV caption files as they arrive, with the time each file was written."""
-    files = spark.readStream.schema(schemas.schema("captions")).options(sep="\t", quote='"', escape='"', multiLine=True).csv(path)
+    files = spark.readStream.schema(schemas.schema("captions")).options(sep="\t", quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\u0000").csv(path)
     return files.withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 
