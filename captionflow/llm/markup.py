@@ -11,6 +11,7 @@ by maximum flow, labels all nodes of a text at once.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import random
 import re
@@ -37,8 +38,11 @@ _SIGNS = [
     ("autolink", r"<(?:[A-Za-z][A-Za-z0-9+.-]+:[^\s<>]+|[^\s<>@/]+@[^\s<>@]+)>"),
     ("tag", r"</?(?P<name>[A-Za-z][A-Za-z0-9-]*)(?:\s[^<>]*)?/?>"),
     ("ref", r"&(?:[A-Za-z][A-Za-z0-9]*|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"),
-    ("fence", r"^ {0,3}```[^`\n]*\n.*?(?:^ {0,3}```[ \t]*$|\Z)"),
+    ("fence", r"^ {0,3}```[^`\n]*\n.*?(?:^ {0,3}```[ \t]*$|\Z)|^ {0,3}~~~[^\n]*\n.*?(?:^ {0,3}~~~[ \t]*$|\Z)"),
+    ("indented", r"(?:(?<=\n\n)|\A)(?: {4}|\t)[ \t]*[^\s*+\d:;#-][^\n]*(?:\n(?: {4}|\t)[^\n]+)*"),
+    ("definition", r"^ {0,3}\[[^\[\]\n]+\]:[ \t]*\S+(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*$"),
     ("code", r"(?<![`\\])(`+)(?!`)[^\n]+?(?<!`)\1(?!`)"),
+    ("block", r"\\begin\{(?P<block>equation|align|gather|multline|eqnarray|displaymath|math|verbatim|lstlisting)\*?\}.*?\\end\{(?P=block)\*?\}"),
     ("display", r"\\\[.*?\\\]|\$\$.+?\$\$"),
     ("inline", r"\\\(.*?\\\)"),
     ("dollars", r"(?<![\\$\w])\$[^$\n]+?\$(?![\w$])"),
@@ -47,6 +51,7 @@ _SIGNS = [
     ("wikilink", r"\[\[[^\[\]\n]+\]\]"),
     ("extlink", r"\[https?://[^\s\]]+(?:[ \t][^\]\n]*)?\]"),
     ("link", r"!?\[[^\[\]\n]*\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)"),
+    ("reference", r"!?\[[^\[\]\n]+\]\[[^\[\]\n]*\]"),
     ("environment", r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?"),
     ("command", r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*"),
     ("accent", r"\\[`'^\"~=.](?:\{[A-Za-z]\}|[A-Za-z])"),
@@ -62,22 +67,24 @@ _SIGNS = [
     ("item", r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)"),
     ("strike", r"~~(?=\S)[^\n~]+?(?<=\S)~~"),
     ("emphasis", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)"),
+    ("hardbreak", r"(?<=\S)(?: {2,}|\\)\n(?=[^\n]*\S)"),
     ("sign", r"[<>&$%#~|*_={}\[\]]+"),
 ]
 KINDS = tuple(k for k, _ in _SIGNS)
-_MAY_BE = re.compile(r"[<>&`\\$\[\]{}*_~#|=]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^-+[ \t]*$", re.M)
+_MAY_BE = re.compile(r"[<>&`\\$\[\]{}*_~#|=]|''|^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]|^-+[ \t]*$|^[:;]{2}|\S {2,}\n|(?:\n\n|\A)(?: {4}|\t)", re.M)
 
 
 #: With which signs a kind begins; kinds that begin a line are looked for at line starts only.
 _FIRST = {
-    "comment": "<", "autolink": "<", "tag": "<", "ref": "&", "code": "`", "display": "\\$", "inline": "\\", "dollars": "$", "template": "{", "wikilink": "[", "extlink": "[", "link": "![", "environment": "\\", "command": "\\",
+    "comment": "<", "autolink": "<", "tag": "<", "ref": "&", "code": "`", "display": "\\$", "inline": "\\", "dollars": "$", "template": "{", "wikilink": "[", "extlink": "[", "link": "![", "reference": "![", "block": "\\", "environment": "\\", "hardbreak": " \\", "command": "\\",
     "accent": "\\", "escape": "\\", "quotes": "'", "strong": "*_", "strike": "~", "emphasis": "*_", "sign": "<>&$%#~|*_={}[]",
 }
-_AT_LINE = ("fence", "wikitable", "wikiheading", "rule", "heading", "tablerow", "quote", "items", "item")
+_AT_LINE = ("fence", "indented", "definition", "wikitable", "wikiheading", "rule", "heading", "tablerow", "quote", "items", "item")
 _PATTERNS = {k: re.compile(p, re.S | re.M) for k, p in _SIGNS}
-_BY_SIGN = {c: [(k, _PATTERNS[k]) for k in KINDS if c in _FIRST.get(k, "")] for c in "<>&$%#~|*_={}[]`\\!'"}
-_LINE_KINDS = {c: [(k, _PATTERNS[k]) for k in KINDS if k in _AT_LINE] for c in "`{=-*_#|>:;+0123456789"}
-_PLACE = re.compile(r"^[ \t]*(?=[`{=*_#|>:;+\d-])|[<>&$%#~|*_={}\[\]`\\!]|''", re.M)
+_BY_SIGN = {c: [(k, _PATTERNS[k]) for k in KINDS if c in _FIRST.get(k, "")] for c in "<>&$%#~|*_={}[]`\\!' "}
+_LINE_KINDS = {c: [(k, _PATTERNS[k]) for k in KINDS if k in _AT_LINE] for c in "`{=-*_#|>:;+0123456789~["}
+_INDENT = re.compile(r"(?: {4}|\t)[ \t]*\S")
+_PLACE = re.compile(r"^[ \t]*(?=[`{=*_#|>:;+\d~\[-])|^(?: {4}|\t)(?=[ \t]*\S)|(?<=\S) {2,}(?=\n)|[<>&$%#~|*_={}\[\]`\\!]|''", re.M)
 
 
 def _signs(text: str) -> Iterator[tuple[str, re.Match]]:
@@ -94,7 +101,7 @@ def _signs(text: str) -> Iterator[tuple[str, re.Match]]:
             first = place.end() if not place[0].strip() else start
             kinds = _LINE_KINDS.get(text[first : first + 1], [])
             own = _BY_SIGN.get(text[start], [])
-            order = sorted({k for k, _ in [*kinds, *own]}, key=KINDS.index)
+            order = sorted({k for k, _ in [*kinds, *own]} | ({"indented"} if _INDENT.match(text, start) else set()), key=KINDS.index)
         else:
             order = [k for k, _ in _BY_SIGN.get(text[start], [])]
         for kind in order:
@@ -129,6 +136,11 @@ def nodes(text: str) -> list[Node]:
 EXTRA = ("unknown_name", "money", "loose", "lone_rule", "alone", "late_number", "like_neighbour", "bare_setting")
 
 
+def _defined(text: str) -> set[str]:
+    """The names that link definitions of a text give, in lower case."""
+    return {m[0][m[0].index("[") + 1 : m[0].index("]:")].strip().lower() for m in _PATTERNS["definition"].finditer(text)}
+
+
 def _features(text: str, n: Node, alike: int) -> np.ndarray:
     """One-hot kind and a few facts that tell markup from its look-alikes."""
     x = np.zeros(len(KINDS) + len(EXTRA) + 1)
@@ -138,6 +150,9 @@ def _features(text: str, n: Node, alike: int) -> np.ndarray:
         facts["unknown_name"] = float(n.name not in TAGS)
     elif n.kind == "ref":
         facts["unknown_name"] = float(n.text[1] != "#" and n.text[1:] not in html5)
+    elif n.kind == "reference":
+        names = re.findall(r"\[([^\[\]\n]*)\]", n.text)
+        facts["unknown_name"] = float((names[-1] or names[0]).strip().lower() not in _defined(text))
     elif n.kind == "dollars":
         inner = n.text[1:-1]
         facts["money"] = float(inner[0].isdigit() or inner[0].isspace() or inner[-1].isspace())
@@ -177,11 +192,13 @@ def training_texts(n: int, seed: int = 5) -> list[tuple[str, bool]]:
         lambda: f"{word()}\\'e {word()}", lambda: f"{num()}\\% {word()}", lambda: f"== {words()} ==\n{words()}", lambda: f"''{words()}''", lambda: f"'''{words()}''': {words()}", lambda: f"{words()}\n{'-=' [rng.random() < 0.5] * rng.randint(3, 12)}\n{words()}",
         lambda: f"{'#' * rng.randint(1, 6)} {words()}\n\n{words()}", lambda: f"| {word()} | n |\n|---|---|\n| {word()} | {num()} |", lambda: f"> {words()}\n> {words()}", lambda: f"** {words()}", lambda: f"- {words()}\n- {words()}", lambda: f"* {words()}\n* {words()}", lambda: f"- {words()}",
         lambda: f"1. {words()}\n2. {words()}", lambda: f"{word()} **{words()}** {word()}", lambda: f"_{words()}_ and ~~{words()}~~", lambda: f"*{words()}* {word()}", lambda: f"<https://x.example/{num()}>", lambda: f"> {words()}",
+        lambda: f"~~~\n{words()}\n~~~", lambda: f"    {word()} = {word()}\n    {words()}", lambda: f"see [{words()}][{(t := word())}]\n\n[{t}]: https://x.example/{num()}", lambda: f"{words()}  \n{words()}",
+        lambda: f"\\begin{{equation}}\n{word()} = {num()}\n\\end{{equation}}", lambda: f"\\begin{{verbatim}}\n{words()}\n\\end{{verbatim}}",
     ]
     false = [
         lambda: f"cost ${num()} to ${num()} in {word()}", lambda: f"I <3 {word()}", lambda: f"is < {num()} m2 & {word()}", lambda: f"{word()} >{num()}pm, <{num()}am", lambda: f"{word()}&{word()}q; {word()}", lambda: f"<{word()}q {word()}>", lambda: f"press {{{word().upper()}}} twice", lambda: f"{word()} [{word()}] {word()}",
         lambda: f"our #{num()} {word()}, {num()}*", lambda: f"~{num()} min", lambda: f"{num()} cm | {num()} cm", lambda: f"{word()} = {num()}, {word()} = {word()}", lambda: f"{num()}% off", lambda: f"{word()}_{word()}_{num()}G", lambda: f"{words()} & {words()}", lambda: f"{words()}\n{rng.randint(21, 300)}. {words()}",
-        lambda: f"paid ${num()} or ${num()}", lambda: f">{num()} nights {word()}", lambda: f"\n\n-\n\n{words()}", lambda: f"| {words()} |",
+        lambda: f"paid ${num()} or ${num()}", lambda: f">{num()} nights {word()}", lambda: f"\n\n-\n\n{words()}", lambda: f"| {words()} |", lambda: f"{word()} [{words()}][{word()}] {word()}",
     ]
     out = []
     for i in range(n):
@@ -238,42 +255,67 @@ def edges(found: list[Node], text: str) -> list[tuple[int, int, float]]:
 def minimum_cut(costs: list[tuple[float, float]], links: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes lie on the source side of a minimum cut; costs are (capacity from the source, capacity to the sink).
 
-    Augments along shortest paths; without links each node is decided by itself.
+    What can flow straight through a node flows first, so only nodes that disagree with their links are
+    left; then blocking flows along shortest paths, all paths of a length at once. A long list of signs
+    that agree costs one pass.
     """
+    n = len(costs)
     if not links:
         return [a > b for a, b in costs]
-    n = len(costs)
     source, sink = n, n + 1
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    to: list[int] = []
+    left: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
 
     def add(a: int, b: int, there: float, back: float) -> None:
-        graph[a][b] = graph[a].get(b, 0) + there
-        graph[b][a] = graph[b].get(a, 0) + back
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        left.extend((there, back))
 
     for i, (a, b) in enumerate(costs):
-        add(source, i, a, 0)
-        add(i, sink, b, 0)
+        if a > b:
+            add(source, i, a - b, 0.0)
+        elif b > a:
+            add(i, sink, b - a, 0.0)
     for a, b, w in links:
         add(a, b, w, w)
     while True:
-        before = {source: source}
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in before:
+        while queue:
             at = queue.popleft()
-            for to, left in graph[at].items():
-                if left > 1e-9 and to not in before:
-                    before[to] = at
-                    queue.append(to)
-        if sink not in before:
-            return [i in before for i in range(n)]
-        path, at = [], sink
-        while at != source:
-            path.append((before[at], at))
-            at = before[at]
-        flow = min(graph[a][b] for a, b in path)
-        for a, b in path:
-            graph[a][b] -= flow
-            graph[b][a] += flow
+            for e in out[at]:
+                if left[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[at] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        turn = [0] * (n + 2)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                flow = min(left[e] for e in path)
+                full = next(k for k, e in enumerate(path) if left[e] - flow <= 1e-9)
+                for e in path:
+                    left[e] -= flow
+                    left[e ^ 1] += flow
+                at = to[path[full] ^ 1]
+                del path[full:]
+            elif turn[at] < len(out[at]):
+                e = out[at][turn[at]]
+                if left[e] > 1e-9 and level[to[e]] == level[at] + 1:
+                    path.append(e)
+                    at = to[e]
+                else:
+                    turn[at] += 1
+            elif path:
+                at = to[path.pop() ^ 1]
+                turn[at] += 1
+            else:
+                break
 
 
 def label(text: str, weights: np.ndarray) -> list[Node]:
@@ -295,21 +337,69 @@ def _inner(text: str, n: int) -> str:
 
 _ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307"}
 _BLOCK = frozenset("p div section article ul ol table blockquote dl form header footer main nav aside figure tbody thead center address details".split())
-_KEEP = "\ue000"  # brackets finished code and formulas, which later rounds must leave alone
-
-
-def _render(n: Node, held: list[str]) -> str:
+# LaTeX commands that only set the layout, with no text of their own.
+_LAYOUT = frozenset("""centering raggedright noindent indent bigskip medskip smallskip newpage clearpage pagebreak hfill vfill tiny small large Large LARGE
+huge Huge normalsize bfseries itshape rmfamily sffamily ttfamily hline maketitle tableofcontents quad qquad left right limits displaystyle
+label vspace hspace documentclass usepackage""".split())
+
+
+def _free_mark(text: str) -> str:
+    """A character that the text does not hold: it brackets finished code and formulas, which later rounds must leave alone."""
+    held = set(text)
+    return next(c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0x110000))) if c not in held)
+
+
+def _command(t: str) -> str:
+    """The text of a LaTeX command: its last argument, or what its name stands for."""
+    name, args = re.match(r"\\([A-Za-z]+)", t)[1], re.findall(r"\{([^{}]*)\}", t)
+    if name == "item":
+        return "\n- "
+    if name.endswith("section") or name in ("chapter", "paragraph"):
+        return f"\n\n# {args[-1] if args else ''}\n"
+    if name in ("newline", "par", "linebreak"):
+        return "\n"
+    if name in _LAYOUT:
+        return ""
+    if name in ("frac", "dfrac", "tfrac") and len(args) == 2:
+        return f"{args[0]}/{args[1]}"
+    if name in ("ref", "cite", "eqref"):
+        return f"[{', '.join(args)}]"
+    if args:
+        return args[-1]
+    size = "CAPITAL" if name[0].isupper() else "SMALL"
+    try:
+        return unicodedata.lookup(f"GREEK {size} LETTER {name.upper()}")
+    except KeyError:
+        return name
+
+
+def _render(n: Node, held: list[str], mark: str) -> str:
     """What stands for a markup node in clean text."""
     t, kind = n.text, n.kind
 
     def hold(block: str) -> str:
         held.append(block)
-        return f"{_KEEP}{len(held) - 1}{_KEEP}"
+        return f"{mark}{len(held) - 1}{mark}"
 
-    if kind in ("comment", "template"):
+    if kind in ("comment", "definition"):
         return ""
+    if kind == "template":
+        name, _, rest = _inner(t, 2).partition("|")
+        return f"{name.strip()}: {rest.strip()}" if rest.strip() else name.strip()
     if kind == "ref":
-        return html.unescape(t).replace("\xa0", " ")
+        made = html.unescape(t).replace("\xa0", " ")
+        return hold(made) if mark in made else made
+    if kind == "hardbreak":
+        return "\n"
+    if kind == "indented":
+        return hold("```\n" + re.sub(r"^(?: {4}|\t)", "", t, flags=re.M) + "\n```")
+    if kind == "reference":
+        return re.match(r"!?\[([^\]]*)\]", t)[1]
+    if kind == "block":
+        name = re.match(r"\\begin\{(\w+)", t)[1]
+        inner = re.sub(r"^\\begin\{\w+\*?\}|\\end\{\w+\*?\}$", "", t).strip("\n")
+        code = name in ("verbatim", "lstlisting")
+        return "\n" + hold(f"```\n{inner}\n```" if code else f"$$ {inner.strip()} $$") + "\n"
     if kind == "tag":
         if n.name == "br":
             return "\n"
@@ -323,7 +413,7 @@ def _render(n: Node, held: list[str]) -> str:
             return "\n"
         return "\n\n" if n.name in _BLOCK else "\n" if n.name == "hr" else ""
     if kind == "fence":
-        return "\n" + hold("```\n" + re.sub(r"^ {0,3}```[^\n]*\n?|\n? {0,3}```[ \t]*$", "", t) + "\n```") + "\n"
+        return "\n" + hold("```\n" + re.sub(r"^ {0,3}(?:```|~~~)[^\n]*\n?|\n? {0,3}(?:```|~~~)[ \t]*$", "", t) + "\n```") + "\n"
     if kind == "code":
         return hold(t.strip("`").strip())
     if kind == "display":
@@ -336,7 +426,7 @@ def _render(n: Node, held: list[str]) -> str:
     if kind == "wikilink":
         return _inner(t, 2).rpartition("|")[2]
     if kind == "extlink":
-        return (_inner(t, 1).split(None, 1) + [""])[1]
+        return _inner(t, 1).split(None, 1)[-1]
     if kind == "link":
         return re.match(r"!?\[([^\]]*)\]", t)[1]
     if kind == "autolink":
@@ -344,14 +434,7 @@ def _render(n: Node, held: list[str]) -> str:
     if kind == "environment":
         return "\n"
     if kind == "command":
-        name, args = re.match(r"\\([A-Za-z]+)", t)[1], re.findall(r"\{([^{}]*)\}", t)
-        if name == "item":
-            return "\n- "
-        if name.endswith("section") or name in ("chapter", "paragraph"):
-            return f"\n\n# {args[-1] if args else ''}\n"
-        if name in ("newline", "par", "linebreak"):
-            return "\n"
-        return "" if name in ("label", "ref", "cite", "vspace", "hspace", "documentclass", "usepackage") else args[-1] if args else ""
+        return _command(t)
     if kind == "accent":
         return unicodedata.normalize("NFC", re.sub(r"[\\{}]", "", t[2:]) + _ACCENTS[t[1]])
     if kind == "escape":
@@ -371,10 +454,8 @@ def _render(n: Node, held: list[str]) -> str:
     if kind in ("items", "item"):
         number = re.match(r"\s*(\d+)[.)]", t)
         return f"{number[1]}. " if number else "  " * (len(t.strip()) - 1) * (kind == "items") + "- "
-    if kind == "strong":
+    if kind in ("strong", "strike"):
         return _inner(t, 2)
-    if kind == "strike":
-        return ""
     return _inner(t, 1)
 
 
@@ -382,12 +463,14 @@ _PRE = re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre\s
 _DROP = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 
 
-def clean(text: str | None, weights: np.ndarray, rounds: int = 3) -> tuple[str | None, list[tuple[str, str]], bool]:
+def clean(text: str | None, weights: np.ndarray) -> tuple[str | None, list[tuple[str, str]], bool]:
     """(clean text, [(kind of block, text)], whether there was markup).
 
     In clean text headings begin with "# ", list items with "- " or a number, table rows
     with "| "; code stands between fences, formulas between dollar signs. Escaped markup
-    is unescaped and cleaned too. Null stays null, and text without markup stays as it is.
+    is unescaped and cleaned too, round after round until nothing more is found. What is struck out stays,
+    of templates the name and what they are given, of comments nothing. Null stays null, and text without
+    markup stays as it is.
     """
     if text is None:
         return None, [], False
@@ -395,23 +478,27 @@ def clean(text: str | None, weights: np.ndarray, rounds: int = 3) -> tuple[str |
     if not found:
         return text, [("paragraph", p) for p in text.split("\n\n") if p.strip()], False
     held: list[str] = []
-    out, own = text, set()
+    out, own, mark = text, set(), _free_mark(text)
+    seen: set[int] = set()
 
     def code(m: re.Match) -> str:
         held.append("```\n" + html.unescape(re.sub(r"<[^>]*>", "", m[1])).strip("\n") + "\n```")
-        return f"\n{_KEEP}{len(held) - 1}{_KEEP}\n"
+        return f"\n{mark}{len(held) - 1}{mark}\n"
 
-    for step in range(rounds):
+    for step in range(len(text) + 2):  # a round that changes anything takes a sign away
+        if hash(out) in seen:  # and one that gives an earlier text again can find nothing new
+            break
+        seen.add(hash(out))
         out = _DROP.sub("", out)
         out = _PRE.sub(code, out)
-        again = [n for n in label(out, weights) if step == 0 or n.kind not in ("item", "heading", "tablerow") or n.text not in own]
+        again = [n for n in label(out, weights) if step == 0 or n.kind not in ("item", "heading", "tablerow", "indented", "hardbreak") or n.text not in own]
         if not again:
             break
         parts, at = [], 0
         titles = _setext(out, again)
         for n in again:
             if n.start >= at:
-                made = _render(n, held)
+                made = _render(n, held, mark)
                 parts += [_titled(out[at : n.start]) if n in titles else out[at : n.start], made]
                 own.add(made)
                 at = n.end
@@ -424,13 +511,13 @@ def clean(text: str | None, weights: np.ndarray, rounds: int = 3) -> tuple[str |
     blocks = []
     for line in re.split(r"\n", out):
         kind = "heading" if line.startswith("# ") else "list" if re.match(r"\s*(?:- |\d+\. )", line) else "table" if re.match(r"\| |.* \| $", line) else "paragraph"
-        for piece in re.split(f"({_KEEP}\\d+{_KEEP})", line):
-            if piece.startswith(_KEEP):
-                block = held[int(piece.strip(_KEEP))]
+        for piece in re.split(f"({mark}\\d+{mark})", line):
+            if piece.startswith(mark):
+                block = held[int(piece.strip(mark))]
                 blocks.append(("formula" if block.startswith("$") else "code", block))
             elif piece.strip():
                 blocks.append((kind, piece.strip().removeprefix("# ") if kind == "heading" else piece.strip()))
-    final = re.sub(f"{_KEEP}(\\d+){_KEEP}", lambda m: held[int(m[1])], out)
+    final = re.sub(f"{mark}(\\d+){mark}", lambda m: held[int(m[1])], out)
     return final, blocks, True
 
 

@@ -39,9 +39,21 @@ def test_plain_text_is_left_alone(text):
         ("<pre><code>x = 1 &lt; 2\ny</code></pre>Then <b>this</b>.", "```\nx = 1 < 2\ny\n```\nThen this."),
         ("Title\n=====\n\nText with **bold** and `a*b`.", "# Title\n\nText with bold and a*b."),
         ("| a | b |\n|---|---:|\n| 1 | 2 |", "| a | b |\n\n| 1 | 2 |"),
-        ("'''Wifi''': [[Page|the page]] {{Box|x=1}}\n== Next ==\n* one", "Wifi: the page\n\n# Next\n\n- one"),
+        ("'''Wifi''': [[Page|the page]] {{Box|x=1}}\n== Next ==\n* one", "Wifi: the page Box: x=1\n\n# Next\n\n- one"),
         ("\\section{Wifi}\nCaf\\'e 5\\% off, \\(n\\) nights.", "# Wifi\n\nCafé 5% off, $ n $ nights."),
         ("See [wifi](https://x.example) <!-- no -->now", "See wifi now"),
+        ("*a _b **c ~~d~~**_*", "a b c d"),
+        ("&amp;amp;amp;amp;amp;lt;b&amp;gt;x", "x"),
+        ("a~~gone~~b <b>c</b>", "agoneb c"),
+        ("half is \\frac{a}{b} of \\alpha, see \\ref{t}", "half is a/b of α, see [t]"),
+        ("~~~\nx = *1*\n~~~\nthen", "```\nx = *1*\n```\n\nthen"),
+        ("Run:\n\n    x = *1*\n    y\n\nthen", "Run:\n\n```\nx = *1*\ny\n```\n\nthen"),
+        ("See [the page][p].\n\n[p]: https://x.example 'T'", "See the page."),
+        ("\\begin{equation}\n a_1 = \\frac{x}{2}\n\\end{equation}\nso", "$$ a_1 = \\frac{x}{2} $$\n\nso"),
+        ("\\begin{verbatim}\n<b>&amp;\n\\end{verbatim}", "```\n<b>&amp;\n```"),
+        ("[https://x.example/a] {{Note}}", "https://x.example/a Note"),
+        ("\ue0000\ue000 `code` \ue0001\ue000", "\ue0000\ue000 code \ue0001\ue000"),
+        ("\ue000 &#57345;0&#57345; `x`", "\ue000 \ue0010\ue001 x"),
     ],
 )
 def test_structure_stays(text, want):
@@ -61,6 +73,38 @@ def cheapest(costs, links):
     return best
 
 
+def test_long_lists_cost_one_pass():
+    import time
+
+    text = "\n".join(f"- item {i} is > {i} cm" if i % 3 else f"* {i} | x" for i in range(20_000))
+    began = time.perf_counter()
+    assert markup.label(text, W)
+    rng = random.Random(2)
+    n = 20_000
+    markup.minimum_cut([(rng.random() * 3, rng.random() * 3) for _ in range(n)], [(i - 1, i, 0.8) for i in range(1, n)])
+    assert time.perf_counter() - began < 30
+
+
+# Sentences of another wording than any generated or planted text: (text, is markup).
+CLAUSES = ["The ferry leaves at noon", "Bring rubber boots in spring", "Our goats enjoy visitors", "Kettles live above the sink", "Please water the basil"]
+WRAPS = [
+    "<em>{0}</em>.", "{0}<br>\nthanks", "<span class='n'>{0}", "<ol><li>{0}</li></ol>", "{0} &mdash; always", "{0}&#x2026;", "### {0}\n\nok", "{0}\n======\nok", "+ {0}\n+ again", "7. {0}\n8. again", "> {0}", "``{0}``", "~~~sh\n{0}\n~~~",
+    "yes **{0}**", "no __{0}__", "~~{0}~~", "![{0}](pic.png)", "[{0}][1]\n\n[1]: /map", "|x|{0}|\n|:-:|---|\n|a|b|", "=== {0} ===", "''{0}''", "[[Goats|{0}]]", "{{{{Warning|{0}}}}}", "*# {0}", "\\emph{{{0}}}", "\\begin{{center}}{0}\\end{{center}}",
+    "{0} \\(x^2\\)", "$$ y = x $$ {0}", "{0}\\\\again", "\\\"a {0}", "{0}  \nagain", "line\n\n    {0}\n\nend",
+]
+LITERAL = [
+    "{0}.", "{0} (really).", "{0} - always.", "{0}: 3 > 2, 2 < 4.", "{0} & so on.", "{0} for $15.", "{0}, 20 % more.", "{0} #2!", "{0} [maybe].", "{0} {{or not}}.", "{0} ~5 km.", "{0} * if dry.", "{0} | daily.", "x=1; {0}", "{0}, mail us: a@b.example.", "var_{0}_x".replace(" ", "_"),
+]
+
+
+def test_markup_of_other_wording():
+    marked = [w.format(c) for w in WRAPS for c in CLAUSES]
+    literal = [w.format(c) for w in LITERAL for c in CLAUSES]
+    assert len(marked) + len(literal) >= 200
+    assert sum(bool(markup.label(t, W)) for t in marked) >= 0.95 * len(marked)
+    assert sum(not markup.label(t, W) for t in literal) >= 0.95 * len(literal)
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
