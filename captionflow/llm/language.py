@@ -26,10 +26,10 @@ from captionflow.session import spread
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "sv", "pl", "ru")
 #: Labelled rows for each language that the models are fitted on, about; the only sample taken.
 SAMPLE_ROWS = 2500
-#: Characters of a sample row that are used, so that the sample is bounded; only fitting is bounded, every text is scored whole.
+#: Longest text that may be in that sample, in characters, so that the sample is bounded; every text is scored, and whole.
 SAMPLE_CHARS = 20_000
-#: Longest piece in characters, and longest word that is segmented (longer ones are cut).
-MOST_PIECE, MOST_WORD = 12, 40
+#: Longest piece in characters.
+MOST_PIECE = 12
 #: A word weighs at most this many nats for or against a language, so that a name or typing error can't decide alone.
 MOST_NATS = 7.0
 #: What stands before a word that may be a name, and its weight.
@@ -105,7 +105,7 @@ class Models:
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(from, to, piece) of all pieces in a word; unknown single characters get the last row."""
-        word, vocab, out = word[:MOST_WORD], self.vocab, []
+        vocab, out = self.vocab, []
         n, unknown = len(word), len(self.table) - 1
         for i in range(n):
             mark = "▁" if i == 0 else ""
@@ -119,12 +119,30 @@ class Models:
 
     def forward(self, word: str) -> tuple[list[tuple[int, int, int]], np.ndarray]:
         edges = self.edges(word)
-        alpha = np.zeros((len(word[:MOST_WORD]) + 1, self.table.shape[1]))
+        alpha = np.zeros((len(word) + 1, self.table.shape[1]))
         alpha[0] = 1
         for i, j, piece in edges:
             alpha[j] += alpha[i] * self.table[piece]
         return edges, alpha
 
+    def whole(self, word: str) -> np.ndarray:
+        """Log-probability of a word of any length, up to a constant that all languages share.
+
+        The pieces of a word come by where they begin; what lies ahead is scaled up before it gets too
+        small for a float, in all languages alike.
+        """
+        if len(word) <= 40:
+            return np.log(np.maximum(self.forward(word)[1][-1], 1e-280))
+        alpha = np.zeros((len(word) + 1, self.table.shape[1]))
+        alpha[0], at = 1, 0
+        for i, j, piece in self.edges(word):
+            if i > at:
+                at, top = i, alpha[i].max()
+                if 0 < top < 1e-100:
+                    alpha[i : i + MOST_PIECE + 1] /= top
+            alpha[j] += alpha[i] * self.table[piece]
+        return np.log(np.maximum(alpha[-1], 1e-280))
+
     def score(self, word: str) -> np.ndarray:
         """Log-probability of a word in each language, at most MOST_NATS below the best."""
         most = MOST_NATS
@@ -132,7 +150,7 @@ class Models:
             return np.zeros(self.table.shape[1], dtype=np.float32)
         if word[:1] == NAME_MARK:
             word, most = word[1:], NAME_NATS
-        got = np.log(np.maximum(self.forward(word)[1][-1], 1e-280))
+        got = self.whole(word)
         return np.maximum(got - got.max(), -most).astype(np.float32)
 
 
@@ -261,17 +279,17 @@ def label(column: Column) -> Column:
 
 
 def train(df: DataFrame, id_col: str, text: str, language: str, sample_rows: int = SAMPLE_ROWS, folder: str = TOKENIZERS, rounds: int = 2) -> Models:
-    """Models fitted on about ``sample_rows`` labelled rows of each language, chosen by hash.
+    """Models fitted on about ``sample_rows`` labelled rows of each language, chosen by hash among those of at most SAMPLE_CHARS characters.
 
     Labels may be wrong and texts mixed: the first fit takes the labels, the second takes
     the sentences that the first is sure about. A word counts once for each row, so that no
     long text outweighs the others. Languages without rows score below all others.
     """
-    labelled = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text, label(F.col(language)).alias("_l")).where("_l is not null")
+    labelled = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text, label(F.col(language)).alias("_l")).where(F.col("_l").isNotNull() & (F.length(text) <= SAMPLE_CHARS))
     sizes = {r["_l"]: r["count"] for r in labelled.groupBy("_l").count().collect()}
     shares = F.create_map(*[F.lit(x) for lang, n in (sizes or {"": 1}).items() for x in (lang, min(1.0, sample_rows / n))])
     chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col), 1) / float(1 << 63) < F.element_at(shares, F.col("_l")))
-    rows = chosen.select("_l", F.substring(text, 1, SAMPLE_CHARS)).collect()
+    rows = chosen.select("_l", text).collect()
     vocab = vocabulary(folder)
     counts = [Counter() for _ in LANGUAGES]
     for lang, comment in rows:
@@ -337,16 +355,18 @@ def assigned(found: DataFrame) -> DataFrame:
 
 
 def stretches(found: DataFrame) -> DataFrame:
-    """(id, start, end, lang, confidence): neighbouring sentences of one language joined, for every text."""
-
-    def join(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), p["end"].alias("end"), p["lang"].alias("lang"), F.greatest(last["confidence"], p["confidence"]).alias("confidence"))
-        own = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["lang"].alias("lang"), p["confidence"].alias("confidence"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["lang"] == p["lang"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(own)))
-
-    kind = "array<struct<start: int, end: int, lang: string, confidence: double>>"
-    joined = F.aggregate("parts", F.array().cast(kind), join)
-    return found.select("id", F.explode(joined).alias("s")).select("id", "s.start", "s.end", "s.lang", F.round("s.confidence", 6).alias("confidence"))
-
+    """(id, start, end, lang, confidence): neighbouring sentences of one language joined, for every text.
 
+    The confidence of a stretch is the mean of its sentences' by their lengths. A text without words has
+    no stretches. Work is in proportion to the number of sentences.
+    """
+    n = F.size("parts")
+    lang = lambda i: F.get("parts", i)["lang"]
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    first = F.filter(places, lambda i: (i < n) & ((i == 0) | (lang(i) != lang(i - 1))))
+    size = lambda p: (p["end"] - p["start"]).cast("double")
+    total = lambda s, f: F.aggregate(s, F.lit(0.0), lambda a, p: a + f(p))
+    cut = F.transform("_first", lambda i, j: F.slice("parts", i + 1, F.coalesce(F.get("_first", j + 1), n) - i))
+    rows = found.select("id", "parts", first.alias("_first")).select("id", F.explode(cut).alias("s"))
+    weighted = total("s", lambda p: size(p) * p["confidence"]) / F.greatest(total("s", size), F.lit(1.0))
+    return rows.select("id", F.element_at("s", 1)["start"].alias("start"), F.element_at("s", -1)["end"].alias("end"), F.element_at("s", 1)["lang"].alias("lang"), F.round(weighted, 6).alias("confidence"))
