@@ -8,7 +8,8 @@ their hashes and each pair is verified by banded dynamic programming. A segment
 it would pair many texts is not paired: what stands beside it must match within the same
 k edits, so one of k + 1 segments of the rest is unchanged too, and the two together are
 the key; if that is still too common, the rest of the rest is cut, and so on until too
-few words are left to differ.
+few words are left to differ. Texts carry a map of 64 bits, one for each word by its hash:
+an edit changes two bits at most, so most pairs that merely share a segment go as they meet.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionflow.session import written
@@ -29,8 +30,8 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARK = regex.compile(r"\p{M}+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CACHE: dict[str, int] = {}
-#: A key that would give more pairs than this is joined together with a further segment.
-HOT_PAIRS = 100
+#: A key that would give more pairs than this is joined together with a further segment (same result, other path).
+HOT_PAIRS = 1000
 
 
 def words(text: str | None) -> list[str]:
@@ -51,6 +52,24 @@ def _word_hash(word: str) -> int:
     return got
 
 
+def word_bits(norm: list[str]) -> int:
+    """A map of 64 bits, as a signed number, with the bit of each word set."""
+    bits = 0
+    for w in norm:
+        bits |= 1 << (_word_hash(w) >> 58)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def may_be_near(n: Column, m: Column, a: Column, b: Column, per: int) -> Column:
+    """Whether the maps of two texts of n and m words allow few enough edits.
+
+    Of k edits at least the difference of the lengths are insertions or removals, which change one word
+    each; the others change two. A word changes its own bit at most.
+    """
+    k, more = F.floor(F.greatest(n, m) / per), F.abs(n - m)
+    return (more <= k) & (F.bit_count(a.bitwiseXOR(b)) <= 2 * k - more)
+
+
 def edits_allowed(n: int, m: int, per: int) -> int:
     return max(n, m) // per
 
@@ -91,8 +110,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _keys(texts: list[str], ids: np.ndarray, places) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(ids, keys, place) of the parts that ``places(n)`` names as (n, k, segment, start, length); place holds n, k, segment and start."""
+def _keys(texts: list[str], places) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(rows, keys, place, spot) of the parts that ``places(n)`` names as (n, k, segment, start, length); place holds n and k, spot segment and start."""
     by_length: dict[int, list[int]] = {}
     split = [t.split(" ") for t in texts]
     for row, w in enumerate(split):
@@ -103,10 +122,13 @@ def _keys(texts: list[str], ids: np.ndarray, places) -> Iterator[tuple[np.ndarra
         codes = np.array([[_word_hash(w) for w in split[r]] for r in rows], dtype=np.uint64)
         sums = np.zeros((len(rows), m + 1), dtype=np.uint64)
         np.cumsum(codes * power[:m], axis=1, out=sums[:, 1:])
-        own = ids[rows]
+        own = np.array(rows, dtype=np.int64)
         for n, k, i, p, size in places(m):
             tag = np.uint64((n * 1_000_003 + k * 10_007 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            yield own, _mix((sums[:, p + size] - sums[:, p]) * inverse[p] ^ tag), ((n * 65536 + k) * 65536 + i) * 65536 + p
+            yield own, _mix((sums[:, p + size] - sums[:, p]) * inverse[p] ^ tag), n << 32 | k, i << 32 | p
+
+
+KEYED = "tid long, m int, bits long, key long, place long, spot long"
 
 
 def _key_rows(places):
@@ -114,11 +136,12 @@ def _key_rows(places):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                made = list(_keys(part.column("norm").to_pylist(), part.column("tid").to_numpy(), places))
+                made = list(_keys(part.column("norm").to_pylist(), places))
                 if made:
-                    tids, keys = np.concatenate([a for a, _, _ in made]), np.concatenate([b for _, b, _ in made]).astype(np.int64)
-                    place = np.repeat([c for _, _, c in made], [len(a) for a, _, _ in made])
-                    yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(keys), pa.array(place)], names=["tid", "key", "place"])
+                    rows, keys = np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]).astype(np.int64)
+                    place, spot = (np.repeat([x[c] for x in made], [len(x[0]) for x in made]) for c in (2, 3))
+                    own = [part.column(c).take(pa.array(rows)) for c in ("tid", "m", "bits")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(keys), pa.array(place), pa.array(spot)], names=["tid", "m", "bits", "key", "place", "spot"])
 
     return run
 
@@ -165,28 +188,27 @@ def rest_places(m: int, n: int, k: int, blocks: list[Block]) -> list[tuple[int,
 
 
 def _deeper(probing: bool):
-    """Rows (tid, norm, key, place, blocks) to (tid, key, blocks) with one more segment in the key; ``blocks`` holds n, k and the matched blocks."""
+    """Rows with their text to rows with one more segment in the key; ``blocks`` holds n, k and the matched blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tids, keys, made = [], [], []
-            for tid, norm, key, place, known in zip(*(batch.column(c).to_pylist() for c in ("tid", "norm", "key", "place", "blocks"))):
+            rows, keys, made = [], [], []
+            for row, (norm, key, place, spot, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("norm", "key", "place", "spot", "blocks")))):
                 w = norm.split(" ")
                 if known:
                     n, k, *flat = known
                     blocks = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
                 else:
-                    place, p = divmod(place, 65536)
-                    place, i = divmod(place, 65536)
-                    n, k = divmod(place, 65536)
+                    n, k, i, p = place >> 32, place & 0xFFFFFFFF, spot >> 32, spot & 0xFFFFFFFF
                     at, size = segments(n, k)[i]
                     blocks = [(at, size, p)]
                 spots = rest_places(len(w), n, k, blocks) if probing else [(s, s, z) for _, s, z in rest_segments(n, k, blocks)]
                 for s, q, z in spots:
-                    tids.append(tid)
+                    rows.append(row)
                     keys.append(xxhash.xxh3_64_intdigest(f"{key} {s} {' '.join(w[q : q + z])}") - (1 << 63))
                     made.append([n, k, *(x for b in sorted([*blocks, (s, z, q)]) for x in b)])
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(keys, pa.int64()), pa.array(made, pa.list_(pa.int32()))], names=["tid", "key", "blocks"])
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("tid", "m", "bits")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.int64()), pa.array(made, pa.list_(pa.int32()))], names=["tid", "m", "bits", "key", "blocks"])
 
     return run
 
@@ -233,23 +255,36 @@ def _verify(per: int):
 
 
 def normalised(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
-    """(item, split, norm): the words of each text joined by blanks, for texts of at least ``least`` words."""
+    """(item, held, norm, m, bits): the words of each text joined by blanks, their number and their map, for texts of at least ``least`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [words(t) for t in batch.column("text").to_pylist()]
-            keep = pa.array([len(w) >= least for w in made])
-            norm = pa.array([" ".join(w) for w in made], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("held"), norm], names=["item", "held", "norm"]).filter(keep)
+            keep = pa.array([len(w) >= least for w in made], pa.bool_())
+            norm, m = pa.array([" ".join(w) for w in made], pa.string()), pa.array([len(w) for w in made], pa.int32())
+            bits = pa.array([word_bits(w) for w in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("held"), norm, m, bits], names=["item", "held", "norm", "m", "bits"]).filter(keep)
 
-    return df.select(F.col(id_col).cast("long").alias("item"), "held", F.col(text).alias("text")).where("text is not null").mapInArrow(run, "item long, held boolean, norm string")
+    return df.select(F.col(id_col).cast("long").alias("item"), "held", F.col(text).alias("text")).where("text is not null").mapInArrow(run, "item long, held boolean, norm string, m int, bits long")
 
 
-def _candidates(texts: DataFrame, cut: DataFrame, probe: DataFrame, most_levels: int = 8) -> DataFrame:
-    """(tid_a, tid_b) with a key in common, repeats possible; keys that are too common get further segments first."""
+def _candidates(texts: DataFrame, cut: DataFrame, probe: DataFrame, per: int, most_levels: int = 8) -> DataFrame:
+    """(tid_a, tid_b) with a key in common and maps that allow it, repeats possible; keys that are too common get further segments first."""
     norms, met = texts.select("tid", "norm"), None
     none = F.lit(None).cast("array<int>")
     cut, probe = cut.withColumn("blocks", none), probe.withColumn("blocks", none)
+
+    def pairs_on(keys: DataFrame) -> DataFrame:
+        side = lambda rows, x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "m", "bits")])
+        joined = side(cut.join(keys, "key"), "a").join(side(probe, "b"), "key").where("tid_a <> tid_b")
+        near = may_be_near(F.col("m_a"), F.col("m_b"), F.col("bits_a"), F.col("bits_b"), per)
+        return joined.where(near).select("tid_a", "tid_b")
+
+    def hot(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        missing = [F.lit(None).cast("long").alias(c) for c in ("place", "spot") if c not in rows.columns]
+        found = rows.join(keys, "key").join(norms, "tid")
+        return found.select("tid", "norm", "m", "bits", "key", *[c for c in ("place", "spot") if c in rows.columns], *missing, "blocks")
+
     for level in range(most_levels):
         cut = written(cut, "segments")
         probe = written(probe.join(cut.groupBy("key").agg(F.count("*").alias("n_cut")), "key"), "probes")
@@ -260,17 +295,14 @@ def _candidates(texts: DataFrame, cut: DataFrame, probe: DataFrame, most_levels:
             heat = heat & (F.min(n - matched - k) > 0)
         info = written(probe.groupBy("key").agg(heat.alias("hot")), "segment_pairs")
         few, many = info.where("not hot").select("key"), info.where("hot").select("key")
-        pairs = cut.join(few, "key").select(F.col("tid").alias("tid_a"), "key").join(probe.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b").select("tid_a", "tid_b")
+        pairs = pairs_on(few)
         met = pairs if met is None else met.union(pairs)
         if many.isEmpty():
             return met
-        last = level + 1 == most_levels
-        hot = lambda rows: rows.join(many, "key").join(norms, "tid").select("tid", "norm", "key", F.col("place") if "place" in rows.columns else F.lit(None).cast("long").alias("place"), "blocks")
-        if last:
-            rest = cut.join(many, "key").select(F.col("tid").alias("tid_a"), "key").join(probe.select(F.col("tid").alias("tid_b"), "key"), "key").where("tid_a <> tid_b")
-            return met.union(rest.select("tid_a", "tid_b"))
-        schema = "tid long, key long, blocks array<int>"
-        cut, probe = hot(cut).mapInArrow(_deeper(False), schema), hot(probe).mapInArrow(_deeper(True), schema)
+        if level + 1 == most_levels:
+            return met.union(pairs_on(many))
+        schema = "tid long, m int, bits long, key long, blocks array<int>"
+        cut, probe = hot(cut, many).mapInArrow(_deeper(False), schema), hot(probe, many).mapInArrow(_deeper(True), schema)
     return met
 
 
@@ -286,10 +318,11 @@ def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo:
     by_photo = photos.where("held").select(F.col("item").alias("x"), "p").join(photos.where("not held").select(F.col("item").alias("y"), "p"), "p").select("x", "y", F.lit(True).alias("same_photo"), F.lit(False).alias("near_text"))
 
     items = written(normalised(rows, id_col, text, least).withColumn("tid", F.xxhash64("norm")), "items")
-    texts = written(items.groupBy("tid", "norm").agg(F.max("held").alias("in_eval"), (~F.min("held")).alias("in_train")), "texts")
-    cut = texts.where("in_eval").select("tid", "norm").mapInArrow(_key_rows(lambda n: [(n, k, i, at, size) for k in eval_edits(n, per) for i, (at, size) in enumerate(segments(n, k))]), "tid long, key long, place long")
-    probe = texts.where("in_train").select("tid", "norm").mapInArrow(_key_rows(lambda m: probes(m, per, least)), "tid long, key long, place long")
-    met = _candidates(texts, cut, probe).distinct()
+    texts = written(items.groupBy("tid", "norm", "m", "bits").agg(F.max("held").alias("in_eval"), (~F.min("held")).alias("in_train")), "texts")
+    sides = texts.select("tid", "norm", "m", "bits", "in_eval", "in_train")
+    cut = sides.where("in_eval").mapInArrow(_key_rows(lambda n: [(n, k, i, at, size) for k in eval_edits(n, per) for i, (at, size) in enumerate(segments(n, k))]), KEYED)
+    probe = sides.where("in_train").mapInArrow(_key_rows(lambda m: probes(m, per, least)), KEYED)
+    met = _candidates(texts, cut, probe, per).distinct()
     sides = met.join(texts.select(F.col("tid").alias("tid_a"), F.col("norm").alias("norm_a")), "tid_a").join(texts.select(F.col("tid").alias("tid_b"), F.col("norm").alias("norm_b")), "tid_b")
     near = sides.mapInArrow(_verify(per), "tid_a long, tid_b long")
     same = texts.where("in_eval and in_train").select(F.col("tid").alias("tid_a"), F.col("tid").alias("tid_b"))
