@@ -31,7 +31,7 @@ _MARK = regex.compile(r"\p{M}+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CACHE: dict[str, int] = {}
 #: A key that would give more pairs than this is joined together with a further segment (same result, other path).
-HOT_PAIRS = 1000
+HOT_PAIRS = 30_000
 
 
 def words(text: str | None) -> list[str]:
