@@ -306,17 +306,11 @@ def _candidates(texts: DataFrame, cut: DataFrame, probe: DataFrame, per: int, mo
     return met
 
 
-def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo: str, train: str = "train", per: int = 5, least: int = 8) -> DataFrame:
-    """Distinct (item_a, item_b, same_photo, near_text), item_a < item_b, exactly one of them in ``train``.
+def text_links(rows: DataFrame, id_col: str, text: str, per: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Items (item, held, norm, m, bits, tid) and links (tid_a, tid_b) from evaluation texts to training texts.
 
-    A pair has the same photo above 0, or texts of at least ``least`` words each within
-    one word edit for every ``per`` words of the longer. Rows with a null id or split
-    count for nothing; null texts and photos match nothing. Equal texts are compared once.
+    ``rows`` has ``held``, true for evaluation rows. Equal texts are one text, linked to itself where both sides have it.
     """
-    rows = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull()).withColumn("held", F.col(split) != train)
-    photos = rows.where(F.col(photo) > 0).select(F.col(id_col).cast("long").alias("item"), "held", F.col(photo).alias("p"))
-    by_photo = photos.where("held").select(F.col("item").alias("x"), "p").join(photos.where("not held").select(F.col("item").alias("y"), "p"), "p").select("x", "y", F.lit(True).alias("same_photo"), F.lit(False).alias("near_text"))
-
     items = written(normalised(rows, id_col, text, least).withColumn("tid", F.xxhash64("norm")), "items")
     texts = written(items.groupBy("tid", "norm", "m", "bits").agg(F.max("held").alias("in_eval"), (~F.min("held")).alias("in_train")), "texts")
     sides = texts.select("tid", "norm", "m", "bits", "in_eval", "in_train")
@@ -327,6 +321,21 @@ def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo:
     near = sides.mapInArrow(_verify(per), "tid_a long, tid_b long")
     same = texts.where("in_eval and in_train").select(F.col("tid").alias("tid_a"), F.col("tid").alias("tid_b"))
     linked = near.union(same)
+    return items, linked.distinct()
+
+
+def cross_split_pairs(df: DataFrame, id_col: str, text: str, split: str, photo: str, train: str = "train", per: int = 5, least: int = 8) -> DataFrame:
+    """Distinct (item_a, item_b, same_photo, near_text), item_a < item_b, exactly one of them in ``train``.
+
+    A pair has the same photo above 0, or texts of at least ``least`` words each within
+    one word edit for every ``per`` words of the longer. Rows with a null id or split
+    count for nothing; null texts and photos match nothing. Equal texts are compared once.
+    """
+    rows = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull()).withColumn("held", F.col(split) != train)
+    photos = rows.where(F.col(photo) > 0).select(F.col(id_col).cast("long").alias("item"), "held", F.col(photo).alias("p"))
+    by_photo = photos.where("held").select(F.col("item").alias("x"), "p").join(photos.where("not held").select(F.col("item").alias("y"), "p"), "p").select("x", "y", F.lit(True).alias("same_photo"), F.lit(False).alias("near_text"))
+
+    items, linked = text_links(rows, id_col, text, per, least)
     evals = items.where("held").select(F.col("item").alias("x"), F.col("tid").alias("tid_a"))
     trains = items.where("not held").select(F.col("item").alias("y"), F.col("tid").alias("tid_b"))
     by_text = linked.join(evals, "tid_a").join(trains, "tid_b").select("x", "y", F.lit(False).alias("same_photo"), F.lit(True).alias("near_text"))
@@ -339,3 +348,26 @@ def overlap_report(df: DataFrame, id_col: str, split: str, source: str, pairs: D
     ends = pairs.select(F.explode(F.array("item_a", "item_b")).alias(id_col)).groupBy(id_col).agg(F.count("*").alias("n"))
     rows = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & (F.col(split) != train)).select(id_col, split, source).dropDuplicates([id_col])
     return rows.join(ends, id_col, "left").groupBy(split, source).agg(F.count("*").alias("n_items"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+
+
+def item_links(df: DataFrame, id_col: str, text: str, split: str, photo: str, train: str = "train", per: int = 5, least: int = 8) -> DataFrame:
+    """One row for each item: (item_id, class_id, n_text_links, n_photo_links), without listing any pair of copies.
+
+    ``class_id`` is the smallest item with the same words in the same order, null for texts of fewer than
+    ``least`` words. The links are the rows of the other side, training or evaluation, with a near text
+    and with the same photo above 0; copies are counted, not paired. Repeated rows of an item are counted
+    each. Rows with a null id or split are left out.
+    """
+    rows = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull()).withColumn("held", F.col(split) != train)
+    items, linked = text_links(rows, id_col, text, per, least)
+    sizes = written(items.groupBy("tid").agg(F.count_if("held").alias("e"), F.count_if(~F.col("held")).alias("t"), F.min("item").alias("class_id")), "text_sizes")
+    side = lambda x, n: sizes.select(F.col("tid").alias(x), F.col(n).alias("n"))
+    of_eval = linked.join(side("tid_b", "t"), "tid_b").groupBy(F.col("tid_a").alias("tid")).agg(F.sum("n").alias("eval_links"))
+    of_train = linked.join(side("tid_a", "e"), "tid_a").groupBy(F.col("tid_b").alias("tid")).agg(F.sum("n").alias("train_links"))
+    by_text = sizes.join(of_eval, "tid", "left").join(of_train, "tid", "left")
+    photos = rows.where(F.col(photo) > 0).groupBy(F.col(photo).alias("p")).agg(F.count_if("held").alias("pe"), F.count_if(~F.col("held")).alias("pt"))
+    own = items.select(F.col("item").alias("_item"), "tid").distinct()
+    each = rows.select(F.col(id_col).cast("long").alias("item_id"), "held", F.col(photo).alias("p")).distinct()
+    joined = each.join(own, F.col("item_id") == F.col("_item"), "left").join(by_text, "tid", "left").join(photos, "p", "left")
+    pick = lambda a, b: F.coalesce(F.when(F.col("held"), F.col(a)).otherwise(F.col(b)), F.lit(0))
+    return joined.select("item_id", "class_id", pick("eval_links", "train_links").alias("n_text_links"), pick("pt", "pe").alias("n_photo_links"))

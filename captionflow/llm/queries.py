@@ -79,6 +79,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "captions"), "item_id", "split", "source", _caption_pairs(spark, d))
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.item_links(table(spark, d, "captions"), "item_id", "caption", "split", "photo_id")
+
+
 def document_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", ("source",))
 
@@ -122,4 +126,26 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p2_stretches": p2_stretches, "p4_found": p4_found, "p4_splits": p4_splits, "p4_units": p4_units, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_report": p9_report, "p9_filled": p9_filled, "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared": p10_shared}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_cleaned": p1_cleaned,
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
+    "p2_stretches": p2_stretches,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
+    "p4_units": p4_units,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p6_links": p6_links,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_mixed": p9_mixed,
+    "p9_report": p9_report,
+    "p9_filled": p9_filled,
+    "p10_found": p10_found,
+    "p10_passages": p10_passages,
+    "p10_shared": p10_shared,
+}

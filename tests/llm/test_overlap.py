@@ -70,8 +70,21 @@ def test_pairs_equal_brute_force(spark, monkeypatch, hot):
     assert set(got) == by_hand(rows) and len(got) == len(set(got))
     report = overlap.overlap_report(df, "item_id", "split", "source", pairs).collect()
     assert sum(r.n_pairs for r in report) == len(got)
+    if not hot:
+        return
+    links = {r.item_id: r for r in overlap.item_links(df, "item_id", "caption", "split", "photo_id").collect()}
+    live = [r for r in rows if r[0] is not None and r[3] is not None]
+    assert set(links) == {r[0] for r in live}
+    near = by_hand([(i, None, *rest) for i, _, *rest in live])
+    photo = by_hand([(i, p, "", *rest) for i, p, _, *rest in live])
+    for r in live:
+        assert links[r[0]].n_text_links == sum(r[0] in pair for pair in near)
+        assert links[r[0]].n_photo_links == sum(r[0] in pair for pair in photo)
+        same = [x[0] for x in live if overlap.words(x[2]) == overlap.words(r[2])]
+        assert links[r[0]].class_id == (min(same) if len(overlap.words(r[2])) >= 8 else None)
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], ITEMS)
     assert overlap.cross_split_pairs(df, "item_id", "caption", "split", "photo_id").count() == 0
+    assert overlap.item_links(df, "item_id", "caption", "split", "photo_id").count() == 0
