@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from captionflow.operators import perturb, phrases
 from captionflow.plans.registry import Registry
+from captionflow.session import spread
 from captionflow.tables import table
 
 _R = Registry()
@@ -18,7 +19,8 @@ ROOMS = {"kitchen": "wet", "bathroom": "wet", "bedroom": "dry", "hall": "dry", "
 
 def captioned(spark: SparkSession, d: str) -> DataFrame:
     """Captions as navigation items with one instruction."""
-    return table(spark, d, "captions").where("caption is not null").select(F.col("item_id").alias("pos"), F.array("caption").alias("instructions"))
+    rows = spread(table(spark, d, "captions").where("caption is not null"), "item_id")
+    return rows.select(F.col("item_id").alias("pos"), F.array("caption").alias("instructions"))
 
 
 def walks(spark: SparkSession, d: str) -> DataFrame:
