@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from captionflow.llm import pii
 
@@ -117,3 +118,26 @@ def test_cue_after_a_name_is_a_whole_phrase():
     lex = pii.Lexicon(after=frozenset(["nous a"]))
     named = lambda t: {k for k, _, _, v in pii.candidates(t, lex) if sum(v) > 0}
     assert named("Ganz Absolut nous avons payé.") == set() and named("Quendo nous a tout montré.") == {"name"}
+
+
+def test_cues_come_from_all_texts(spark):
+    """Just enough uses among many texts: any that a sample leaves out would lose the cue."""
+    name = F.when(F.col("id") % 62_500 == 17, "Later Anna waved hello.").otherwise("The view is nice.")
+    df = spark.range(0, 500_000, 1, 4).select(F.lit("c").alias("field"), "id", name.alias("text"))
+    before, after = pii.learn_cues(df)
+    assert (before - pii.BEFORE, after) == ({"later"}, {"waved hello"})
+
+
+def test_all_cues_are_kept(spark):
+    words = ["zz" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(2600)]
+    df = spark.createDataFrame([("c", i, f"{w} Anna") for i, w in enumerate(words * pii.CUE_USES)], "field string, id long, text string")
+    before, after = pii.learn_cues(df)
+    assert before - pii.BEFORE == set(words) and not after
+
+
+def test_pairs_stay_behind_only_where_their_word_is_a_cue(spark):
+    # "with" is a cue beyond "stay with", "in" is none beyond "live in"; titles are no cues
+    said = ["they stay with Anna"] * 9 + [f"{c}{d} with Bruno" for c in "abc" for d in "xyz"] + ["we live in Anna"] * 9 + ["out in Velm", "far in Oxtor"] * 20 + ["as mr Anna"] * 9
+    df = spark.createDataFrame([("c", i, t) for i, t in enumerate(said)], "field string, id long, text string")
+    before, _ = pii.learn_cues(df)
+    assert before - pii.BEFORE == {"with", "live in"}
