@@ -272,12 +272,20 @@ def _rebuilt(parts: Column, put: Callable[[Column, Column], Column]) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.coalesce(put(i, p["text"]), p["text"])), "")
 
 
-def _ranked(text: Column, slot: Column, seed: int, *more: Column) -> Column:
-    """The options of a slot in hash order."""
-    return F.transform(
-        F.sort_array(F.transform(slot["options"], lambda w: F.struct(T.hash_rank_key(seed, text, *more, slot["k"], w).alias("h"), w.alias("w")))),
-        lambda x: x["w"],
-    )
+def _ranked(text: Column, slot: Column, most: int, seed: int, *more: Column) -> Column:
+    """The first ``most`` options of a slot in the order of their ``hash_rank_key``.
+
+    What all options share is joined once, and only the hashes are sorted: equal ones are of equal
+    options, so the first place of a hash names its option (those that come again take the same one).
+    """
+    def first(options: Column, shared: Column) -> Column:
+        hashes = F.transform(options, lambda w: F.sha1(F.coalesce(F.concat(shared, F.lit("|"), w), shared)))
+        return let(hashes, lambda hs: F.transform(
+            F.slice(F.sort_array(hs), 1, most), lambda h: F.get(options, (F.array_position(hs, h) - 1).cast("int"))
+        ))
+
+    shared = F.concat_ws("|", F.lit(str(seed)), text, *more, slot["k"].cast("string"))
+    return let(F.struct(slot["options"].alias("options"), shared.alias("shared")), lambda x: first(x["options"], x["shared"]))
 
 
 def replaced(cutter: Cutter, count: int = 1, seed: int = 0) -> Variants:
@@ -285,7 +293,7 @@ def replaced(cutter: Cutter, count: int = 1, seed: int = 0) -> Variants:
 
     def variants(sentence: Column, most: int) -> Column:
         def of_slots(text: Column, parts: Column, found: Column) -> Column:
-            ranked = F.transform(F.slice(found, 1, count + most - 1), lambda s: F.struct(s["at"], F.slice(_ranked(text, s, seed), 1, most).alias("w")))
+            ranked = F.transform(F.slice(found, 1, count + most - 1), lambda s: F.struct(s["at"], _ranked(text, s, most, seed).alias("w")))
             return let(ranked, lambda r: turns(parts, r, F.size(found)))
 
         def turns(parts: Column, r: Column, n: Column) -> Column:
@@ -323,7 +331,7 @@ def remaining(cutter: Cutter, clues: int = 1, seed: int = 0) -> Variants:
                 names = F.array_join(F.transform(kept, lambda i: F.get(found, i)["k"].cast("string")), ",")
                 pick = F.transform(
                     F.filter(F.transform(found, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(kept, x["i"])),
-                    lambda x: F.struct(x["s"]["at"], F.get(_ranked(text, x["s"], seed, names), F.lit(0)).alias("w")),
+                    lambda x: F.struct(x["s"]["at"], F.get(_ranked(text, x["s"], 1, seed, names), F.lit(0)).alias("w")),
                 )
                 return let(F.map_from_entries(pick), lambda m: _rebuilt(parts, lambda i, _: F.try_element_at(m, i)))
 
@@ -474,14 +482,14 @@ def perturbator(
 
 def variants(rows: DataFrame, instructions: str, make: Variants | Filled, most: int = 10) -> DataFrame:
     """Adds ``perturbations``: at most ``most`` variants of each instruction of the array; null for a null array."""
-    none = F.array().cast("array<string>")
-    filled = make if isinstance(make, Filled) else None
+    if isinstance(make, Filled):
+        return make.added(rows.withColumn("perturbations", _of_each(instructions, make.masked, make.masks)), "perturbations", most)
+    return rows.withColumn("perturbations", _of_each(instructions, make, most))
 
-    def one(s: Column) -> Column:
-        return F.when(s.isNotNull() & (s != ""), make(s, most) if filled is None else filled.masked(s, filled.masks)).otherwise(none)
 
-    made = rows.withColumn("perturbations", F.transform(instructions, one))
-    return made if filled is None else filled.added(made, "perturbations", most)
+def _of_each(instructions: str, make: Variants, most: int) -> Column:
+    none = F.array().cast("array<string>")
+    return F.transform(instructions, lambda s: F.when(s.isNotNull() & (s != ""), make(s, most)).otherwise(none))
 
 
 def for_training(
@@ -504,7 +512,13 @@ def for_testing(rows: DataFrame, make: Variants | Filled, instructions: str = "i
 
 
 def variant_rows(rows: DataFrame, make: Variants | Filled, keys: list[str], most: int = 10, instructions: str = "instructions") -> DataFrame:
-    """One row for each variant: keys, number of the instruction, place and text."""
-    made = variants(rows, instructions, make, most)
-    lines = made.select(*keys, F.posexplode("perturbations").alias("instruction", "_v"))
+    """One row for each variant: keys, number of the instruction, place and text.
+
+    Exploded as an expression: from a column, a filter on its size is inferred, and that makes all variants twice.
+    """
+    if isinstance(make, Filled):
+        rows, made = variants(rows, instructions, make, most), F.col("perturbations")
+    else:
+        made = _of_each(instructions, make, most)
+    lines = rows.select(*keys, F.posexplode(made).alias("instruction", "_v"))
     return lines.select(*keys, "instruction", F.posexplode("_v").alias("place", "variant"))

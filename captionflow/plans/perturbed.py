@@ -14,6 +14,8 @@ _R = Registry()
 QUERIES, ORACLE, query = _R.queries, _R.oracle, _R.query
 
 OBJECTS = ("brass lamp", "oak table", "wool rug", "glass vase", "steel rack", "tin cup", "cork board", "silk fan", "clay pot", "stone bowl", "straw hat", "iron key")
+#: Bytes of the parts' file that are work enough for a task: about 30,000 rows, each with a thousand hashes and more.
+WALK_BYTES = 1 << 18
 ROOMS = {"kitchen": "wet", "bathroom": "wet", "bedroom": "dry", "hall": "dry", "room": "any", "view": "none"}
 
 
@@ -27,7 +29,8 @@ def walks(spark: SparkSession, d: str) -> DataFrame:
     """Routes past the parts, two instructions an item."""
     one = F.concat(F.lit("Turn left at the "), "p_name", F.lit(", go upstairs and walk straight on the right side of the "), "p_type", F.lit(". Head outside."))
     two = F.concat(F.lit("Keep the "), "p_name", F.lit(" on your left, above the rightmost door; it turns around in the middle of "), "p_brand", F.lit(". Stop."))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.array(one, two).alias("instructions"))
+    rows = spread(table(spark, d, "part"), "p_partkey", WALK_BYTES)
+    return rows.select(F.col("p_partkey").alias("pos"), F.array(one, two).alias("instructions"))
 
 
 # SQL ------------------------------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -7,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from captionflow import session
 from captionflow.functions import arrays
 from captionflow.operators import audit, boxes, captions, crawl, detections, documents, features, merging, nested, perturb, phrases, running, spatial, trajectories
-from captionflow.plans import records
+from captionflow.plans import perturbed, records
 
 CAPTIONS = "listing_id long, photo_id long, url string, caption string, pos long"
 
@@ -289,6 +291,28 @@ def test_drivers(spark):
     assert "Exchange" not in perturb.for_training(df, make)._jdf.queryExecution().toString()
 
 
+def test_variant_rows_make_each_variant_once(spark):
+    df = spark.createDataFrame([(1, ["turn left at the left side of it"])], "pos int, instructions array<string>")
+    lines = perturb.variant_rows(df, perturb.perturbator("direction+location"), ["pos"])
+    assert lines.count() == 10
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(lines._jdf.queryExecution(), "simple")
+    assert plan.count("array_join(regexp_extract_all") == 1
+
+
+def test_options_take_hash_order(spark):
+    words = ["lamp", "lamp", None, *(f"thing {k}" for k in range(300))]
+    cutter = lambda text: perturb.offered(perturb.cut(text, "sofa"), lambda p, k: F.array(*[F.lit(w) for w in words]))
+    got = variants_of(spark, perturb.replaced(cutter), "the red sofa", most=310)[0]
+    key = lambda w: hashlib.sha1("|".join(["0", "the red sofa", "0", *([w] if w is not None else [])]).encode()).hexdigest()
+    assert got == ["the red " + (w or "sofa") for w in sorted(words, key=key)]
+
+
+def test_walks_are_spread_over_the_cores(spark):
+    assert perturbed.walks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    few = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert session.spread(few, "p_partkey", 500).rdd.getNumPartitions() > 8
+
+
 def test_trajectories(spark):
     rows = [(l, l * 100 + i, "cap" if i % 2 else "") for l in range(5) for i in range(3 + l * 3)] + [(None, 1, "x"), (1, None, "x")]
     got = trajectories.fixed_samples(spark.createDataFrame(rows, "listing_id long, photo_id long, caption string")).collect()
