@@ -146,17 +146,15 @@ def locations() -> Cutter:
     """Location phrases and words like ``leftmost``, replaced by the phrases of all other places."""
     groups = location_phrases()
     others = {p: tuple(w for q, ws in groups.items() if q != p for w in ws) for p in groups}
+    for name, words in EXTRA_PLACES.items():
+        others |= {w: others[name] for w in words}
+    for side, other in (("left", "right"), ("right", "left")):
+        others |= {side + e: tuple(other + f for f in ENDINGS) for e in ENDINGS}
 
     def options(found: Column, _: Column) -> Column:
-        side = F.regexp_extract(found, rf"^(left|right)(?:{any_of(ENDINGS)})$", 1)
         place = F.regexp_extract(found, rf" ({any_of(PLACES)})(?: |$)", 1)
-        out = F.when(side == "left", listed(tuple("right" + e for e in ENDINGS)))
-        out = out.when(side == "right", listed(tuple("left" + e for e in ENDINGS)))
-        for name, words in EXTRA_PLACES.items():
-            out = out.when(found.isin(*words), listed(others[name]))
-        for name in PLACES:
-            out = out.when(place == name, listed(others[name]))
-        return out
+        name = F.when(F.contains(found, F.lit(" ")), place).otherwise(found)
+        return F.create_map(*[x for n, words in others.items() for x in (F.lit(n), listed(words))])[name]
 
     return lambda text: offered(cut(text, _LOCATION), options)
 

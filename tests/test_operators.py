@@ -313,6 +313,18 @@ def test_walks_are_spread_over_the_cores(spark):
     assert session.spread(few, "p_partkey", 500).rdd.getNumPartitions() > 8
 
 
+def test_walk_locations_look_at_each_find_once(spark):
+    lines = perturbed.QUERIES["perturb_walk_locations"](spark, "/root/testdata/sf0.001")
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(lines._jdf.queryExecution(), "simple")
+    assert plan.count("array_join(regexp_extract_all") == plan.count("regexp_extract(") == 1 and "Exchange hashpartitioning" in plan
+    options = lambda text: F.flatten(F.transform(perturb.locations()(text), lambda p: F.coalesce(p["options"], F.array())))
+    groups = perturb.location_phrases()
+    looked_for = [(w, place) for place, words in groups.items() for w in words if w not in perturb.NOT_LOOKED_FOR]
+    for r in spark.createDataFrame(looked_for, "w string, place string").select("w", "place", options(F.col("w")).alias("o")).collect():
+        assert r.o == [w for q, ws in groups.items() if q != r.place for w in ws], r.w
+    assert spark.range(1).select(options(F.lit("rightmost"))).first()[0] == ["leftmost", "leftside"]
+
+
 def test_trajectories(spark):
     rows = [(l, l * 100 + i, "cap" if i % 2 else "") for l in range(5) for i in range(3 + l * 3)] + [(None, 1, "x"), (1, None, "x")]
     got = trajectories.fixed_samples(spark.createDataFrame(rows, "listing_id long, photo_id long, caption string")).collect()
